@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -42,3 +44,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     neither grow nor depend on the life of any executor."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Driver-side rows as a local relation, whose exact size the planner knows, so that a
+    join with it is broadcast only while it is small."""
+    parsed = spark.createDataFrame([], schema).schema
+    columns = list(zip(*rows)) if rows else [[] for _ in parsed]
+    arrays = [pa.array(list(values), to_arrow_type(f.dataType)) for f, values in zip(parsed, columns)]
+    return spark.createDataFrame(pa.table(arrays, names=parsed.names), parsed)
