@@ -115,11 +115,15 @@ def parse_list_date(c: Column) -> Column:
     return F.when(c.rlike(_LIST_DATE), let(parts, build))
 
 
-def labelled_date(text: Column, label: str) -> Column:
-    found = F.regexp_extract(
+def labelled_day_text(text: Column, label: str) -> Column:
+    """Text of the date after ``label`` and an optional colon, ``''`` when absent."""
+    return F.regexp_extract(
         text, rf"\Q{label}\E[{WS}]*[:：]?[{WS}]*(\d{{2,4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}})", 1
     )
-    return parse_list_date(found)
+
+
+def labelled_date(text: Column, label: str) -> Column:
+    return parse_list_date(labelled_day_text(text, label))
 
 
 def roc_date(d: Column) -> Column:

@@ -106,20 +106,12 @@ def read_policy(spark: SparkSession, path: str) -> Policy:
     )
 
 
-def policy_rules(spark: SparkSession, policy: Policy) -> DataFrame:
-    """Long table of the policy: topic_no, topic, lead_source, kind, pos, keyword. Topic
-    columns are NULL for global rules."""
-    rows = []
-    for pos, keyword in enumerate(policy.general):
-        rows.append((None, None, None, "global-context", pos, keyword))
-    for number, topic in enumerate(policy.topics):
-        rows.append((number, topic.name, topic.lead_source, "topic", 0, topic.name))
-        for kind, words in (("core", topic.core), ("supporting", topic.supporting)):
-            rows.extend((number, topic.name, topic.lead_source, kind, pos, w) for pos, w in enumerate(words))
-    for pos, keyword in enumerate(policy.negative):
-        rows.append((None, None, None, "exclusion", pos, keyword))
+def policy_topics(spark: SparkSession, policy: Policy) -> DataFrame:
+    """Topics as rows: topic_no, topic, lead_source, core, supporting."""
     return small_table(
-        spark, rows, "topic_no int, topic string, lead_source string, kind string, pos int, keyword string"
+        spark,
+        [(i, t.name, t.lead_source, list(t.core), list(t.supporting)) for i, t in enumerate(policy.topics)],
+        "topic_no long, topic string, lead_source string, core array<string>, supporting array<string>",
     )
 
 
@@ -130,65 +122,57 @@ def rule_id(kind: Column, topic: Column, keyword: Column) -> Column:
     return F.concat(F.lit("default:"), kind, F.lit(":"), F.substring(F.sha2(payload, 256), 1, 16))
 
 
-def rule_rows(rules: DataFrame) -> DataFrame:
+def rule_rows(topics: DataFrame, general: list[str], negative: list[str]) -> DataFrame:
     """Rule sheet, one row per keyword, with the order columns ``rule_group, topic_no,
-    kind_no, pos``: global context first, then topics, then exclusions."""
-    kind = F.col("kind")
-    is_global = F.col("topic").isNull()
-    return rules.where(kind != "topic").select(
-        F.when(kind == "global-context", 0).when(kind == "exclusion", 2).otherwise(1).alias("rule_group"),
-        F.coalesce("topic_no", F.lit(0)).alias("topic_no"),
-        F.when(kind == "supporting", 1).otherwise(0).alias("kind_no"),
-        "pos",
-        F.when(is_global, F.lit("全域")).otherwise(F.col("topic")).alias("topic"),
-        F.when(kind == "global-context", F.lit("脈絡詞"))
-        .when(kind == "core", F.lit("核心詞"))
-        .when(kind == "supporting", F.lit("輔助詞"))
-        .otherwise(F.lit("排除詞"))
-        .alias("rule_type"),
-        "keyword",
-        F.when(kind == "exclusion", F.lit("標題")).otherwise(F.lit("標題與摘要")).alias("match_fields"),
+    kind_no, pos``: global context first, then topics (core before supporting), then
+    exclusions. A narrow explode, whatever the number of topics."""
+    global_rules = small_table(
+        topics.sparkSession,
+        [(0, "global-context", "脈絡詞", "標題與摘要", n, w) for n, w in enumerate(general)]
+        + [(2, "exclusion", "排除詞", "標題", n, w) for n, w in enumerate(negative)],
+        "rule_group int, kind string, rule_type string, match_fields string, pos int, keyword string",
+    ).select(
+        "rule_group", F.lit(0).cast("long").alias("topic_no"), F.lit(0).alias("kind_no"), "pos",
+        F.lit(None).cast("string").alias("topic"), "kind", "rule_type", "keyword", "match_fields",
+    )
+    lists = F.array(
+        F.struct(F.lit(0).alias("kind_no"), F.lit("core").alias("kind"), F.lit("核心詞").alias("rule_type"), F.col("core").alias("words")),
+        F.struct(F.lit(1).alias("kind_no"), F.lit("supporting").alias("kind"), F.lit("輔助詞").alias("rule_type"), F.col("supporting").alias("words")),
+    )
+    topic_rules = (
+        topics.select("topic_no", "topic", F.inline(lists))
+        .select("topic_no", "kind_no", "topic", "kind", "rule_type", F.posexplode("words").alias("pos", "keyword"))
+        .select(
+            F.lit(1).alias("rule_group"), "topic_no", "kind_no", "pos", "topic", "kind", "rule_type", "keyword",
+            F.lit("標題與摘要").alias("match_fields"),
+        )
+    )
+    rules = global_rules.unionByName(topic_rules)
+    return rules.select(
+        "rule_group", "topic_no", "kind_no", "pos",
+        F.coalesce("topic", F.lit("全域")).alias("topic"),
+        "rule_type", "keyword", "match_fields",
         F.lit("是").alias("enabled"),
         F.lit("default").alias("origin"),
-        rule_id(kind, F.col("topic"), F.col("keyword")).alias("rule_id"),
+        rule_id(F.col("kind"), F.col("topic"), F.col("keyword")).alias("rule_id"),
     )
 
 
-def reference_rows(rules: DataFrame) -> DataFrame:
+def reference_rows(topics: DataFrame, general: list[str], negative: list[str]) -> DataFrame:
     """Topic sheet, one row per topic with its keyword lists joined."""
-
-    def joined(kind: str, among: DataFrame, by: list[str]) -> DataFrame:
-        words = F.array_sort(F.collect_list(F.struct("pos", "keyword")))
-        return among.where(F.col("kind") == kind).groupBy(*by).agg(
-            F.array_join(F.transform(words, lambda w: w.keyword), "、").alias("words")
-        )
-
-    topics = rules.where(F.col("kind") == "topic").select("topic_no", "topic", "lead_source")
-    core = joined("core", rules, ["topic_no"]).withColumnRenamed("words", "core_words")
-    supporting = joined("supporting", rules, ["topic_no"]).withColumnRenamed("words", "supporting_words")
-    general = joined("global-context", rules, []).withColumnRenamed("words", "global_words")
-    excluded = joined("exclusion", rules, []).withColumnRenamed("words", "excluded_words")
-    one = F.lit(1)
-    return (
-        topics.join(core, "topic_no", "left")
-        .join(supporting, "topic_no", "left")
-        .withColumn("_one", one)
-        .join(general.withColumn("_one", one), "_one", "left")
-        .join(excluded.withColumn("_one", one), "_one", "left")
-        .select(
-            "topic_no",
-            "topic",
-            F.lit("是").alias("enabled"),
-            "lead_source",
-            F.lit("是").alias("match_name"),
-            F.lit("#FFFF00").alias("colour"),
-            F.coalesce("core_words", F.lit("")).alias("core_words"),
-            F.coalesce("supporting_words", F.lit("")).alias("supporting_words"),
-            F.lit("").alias("topic_context_words"),
-            F.coalesce("global_words", F.lit("")).alias("global_words"),
-            F.lit("").alias("topic_excluded_words"),
-            F.coalesce("excluded_words", F.lit("")).alias("excluded_words"),
-        )
+    return topics.select(
+        "topic_no",
+        "topic",
+        F.lit("是").alias("enabled"),
+        "lead_source",
+        F.lit("是").alias("match_name"),
+        F.lit("#FFFF00").alias("colour"),
+        F.array_join("core", "、").alias("core_words"),
+        F.array_join("supporting", "、").alias("supporting_words"),
+        F.lit("").alias("topic_context_words"),
+        F.lit("、".join(general)).alias("global_words"),
+        F.lit("").alias("topic_excluded_words"),
+        F.lit("、".join(negative)).alias("excluded_words"),
     )
 
 

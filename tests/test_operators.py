@@ -113,11 +113,11 @@ def test_policy_known_answers(spark):
     summary = policy.policy_summary(default)
     assert (summary["topic_count"], summary["keyword_count"], summary["exclusion_count"]) == (10, 107, 7)
     assert summary["ruleset_hash"] == "e75be08ee1c5dab8"
-    rules = policy.policy_rules(spark, default)
-    rows = policy.rule_rows(rules).orderBy("rule_group", "topic_no", "kind_no", "pos").collect()
+    topics = policy.policy_topics(spark, default)
+    rows = policy.rule_rows(topics, default.general, default.negative).orderBy("rule_group", "topic_no", "kind_no", "pos").collect()
     assert len(rows) == 114 and rows[0].keyword == "AI" and rows[-1].keyword == "轉知"
     assert rows[7].rule_type == "核心詞" and rows[7].keyword == "智慧生活圈"
-    refs = policy.reference_rows(rules).orderBy("topic_no").collect()
+    refs = policy.reference_rows(topics, default.general, default.negative).orderBy("topic_no").collect()
     assert len(refs) == 10 and refs[3].core_words == "矽光子、矽光子共同封裝"
     assert refs[0].excluded_words.startswith("徵才、招募")
     assert policy.version_rows(spark, default, "now").count() == 17
