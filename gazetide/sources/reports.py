@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from gazetide.schemas import REPORT
 
 
-def with_report_defaults(report: DataFrame) -> DataFrame:
+def with_report_defaults(report: DataFrame, keep: list[str] | None = None) -> DataFrame:
     empty = F.array().cast("array<string>")
     return report.select(
+        *(keep or []),
         "status",
         F.coalesce("failed_sources", empty).alias("failed_sources"),
         F.coalesce("anomalies", empty).alias("anomalies"),
