@@ -292,7 +292,6 @@ results AS (SELECT res.*, CASE WHEN oks > 0 THEN 'success' ELSE 'failed' END AS
 # --- captures ------------------------------------------------------------------------
 
 PAGE = f"CAST(floor(doc_id / {T.PER_PAGE}) AS BIGINT)"
-GOOD_PAGE = f"{PAGE} % 13 <> 0 AND {PAGE} % 17 <> 0"
 
 
 def layout_items(layout: str) -> str:
@@ -323,7 +322,7 @@ def layout_items(layout: str) -> str:
     )
     return f"""SELECT 'p' || {PAGE} AS route_id, CAST({i} % {T.PER_PAGE} AS INTEGER) AS pos, {date} AS date, {department} AS department,
   {clean(LINE)} AS title, {link} AS link, '' AS category, {summary} AS summary, 'published' AS date_source
-FROM documents WHERE {GOOD_PAGE}"""
+FROM documents WHERE {PAGE} % 17 <> 0 AND ({PAGE} % 13 <> 0 OR {q(T.PAGE_TEMPLATES[layout][1])} = 'browser')"""
 
 
 def capture_attempts() -> str:
@@ -519,7 +518,8 @@ def oracle_queries() -> dict[str, str]:
     out["nav_links"] = f"""SELECT 'p' || page_id AS route_id, CAST(i - 1 AS INTEGER) AS pos, t AS title,
       regexp_extract(url, '^(https?://)', 1) || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || {safe} AS link, '' AS date
       FROM (SELECT page_id, url, i, hs[i] AS h, ts[i] AS t FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM (SELECT page_id, url,
-        regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts FROM pages)))"""
+        regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts
+        FROM pages WHERE NOT regexp_matches(lower(regexp_extract(url, '^([^?#]*)', 1)), 'rss|feed'))))"""
     out["detail_summary"] = f"SELECT page_id, {paragraphs()} AS summary FROM pages"
     out["detail_enrichment"] = f"""WITH {ITEMS}, d AS (SELECT page_id, {paragraphs()} AS s FROM pages WHERE page_id % 2 = 0)
       SELECT ord, CASE WHEN ord % 3 = 0 THEN 'web' ELSE source END AS source, 'https://d.test/' || ord % 200 AS link,

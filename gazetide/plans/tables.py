@@ -356,11 +356,13 @@ def captures(spark: SparkSession, sf_dir: str, layouts: list[str]) -> DataFrame:
 
 
 def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's web pages as captures of a publisher without a profile."""
+    """The driver's web pages as captures of a publisher without a profile. Addresses lose
+    their query: "feed" in one would have the page read as a feed."""
     return table(spark, sf_dir, "pages").select(
         F.lit("web").alias("source"),
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("route_id"),
-        "url", F.lit("html").alias("kind"), F.lit("standard").alias("parser"), F.lit(1).alias("priority"),
+        F.regexp_extract("url", r"^([^?#]*)", 1).alias("url"), F.lit("html").alias("kind"),
+        F.lit("standard").alias("parser"), F.lit(1).alias("priority"),
         F.lit(200).alias("status_code"), F.lit(None).cast("string").alias("transport_error"),
         F.col("html").alias("body"), F.lit(0.5).alias("elapsed_seconds"),
         F.lit(None).cast("timestamp").alias("fetched_at"),
