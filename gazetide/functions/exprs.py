@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,9 @@ def text_array(values) -> Column:
 def key128(*parts: Column) -> Column:
     """16-byte grouping key over the exact parts: keeps shuffled keys short."""
     return F.substring(F.unhex(F.sha2(F.concat_ws("\u001f", *parts), 256)), 1, 16)
+
+
+def with_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add ``columns`` (aliased), evaluated exactly once per row. A plain projection would
+    be copied into every filter and projection above it; the output of a generator is not."""
+    return df.select("*", F.inline(F.array(F.struct(*columns))))

@@ -44,6 +44,11 @@ def strip_space(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
 
 
+def is_blank(c: Column) -> Column:
+    """Nothing but whitespace."""
+    return ~c.rlike(f"[^{WS}]")
+
+
 def without_space(c: Column) -> Column:
     return F.regexp_replace(c, f"[{WS}]+", "")
 

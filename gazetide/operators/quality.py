@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazetide.functions.dates import DateRange, iso_day, parse_date
-from gazetide.functions.exprs import key128
-from gazetide.functions.text import clean_text, strip_space, title_key
+from gazetide.functions.exprs import key128, let, text_array, with_once
+from gazetide.functions.text import clean_text, is_blank, strip_space, title_key
 from gazetide.functions.urls import normalize_url
 from gazetide.session import cut_lineage
 
@@ -22,43 +22,55 @@ KEPT, INVALID, EXCLUDED, DUPLICATE = "kept", "invalid_item", "excluded_non_news"
 
 
 def in_range(items: DataFrame, days: DateRange) -> DataFrame:
-    """Items whose date falls into ``days``; the date is rewritten as ISO text."""
-    return (
-        items.withColumn("_day", parse_date(F.col("date")))
-        .where(days.column(F.col("_day")))
-        .withColumn("date", F.date_format("_day", "yyyy-MM-dd"))
-        .drop("_day")
+    """Items whose date falls into ``days``; the date is rewritten as ISO text. Dates are
+    read once per row: rows outside give an empty array, which explodes to nothing."""
+    inside = F.filter(F.transform(F.array("date"), parse_date), days.column)
+    columns = [F.col("_iso").alias(c) if c == "date" else F.col(c) for c in items.columns]
+    return items.select("*", F.explode(F.transform(inside, lambda d: F.date_format(d, "yyyy-MM-dd"))).alias("_iso")).select(
+        *columns
     )
 
 
-def invalid_reason() -> Column:
-    """First reason why a row is unusable, NULL for a usable one."""
-    missing = F.concat_ws(",", *[F.when(clean_text(F.col(c)) == "", F.lit(c)) for c in REQUIRED])
-    return (
-        F.when(missing != "", F.concat(F.lit("missing_fields:"), missing))
-        .when(iso_day(strip_space(F.col("date"))).isNull(), F.lit("invalid_date"))
-        .when(F.col("_url").isNull(), F.lit("invalid_url"))
+def _missing() -> Column:
+    return F.concat_ws(",", *[F.when(is_blank(F.col(c)), F.lit(c)) for c in REQUIRED])
+
+
+def _judge(v: Column, phrases: list[str]) -> Column:
+    bad = (
+        F.when(v["missing"] != "", F.concat(F.lit("missing_fields:"), v["missing"]))
+        .when(v["day"].isNull(), F.lit("invalid_date"))
+        .when(v["url"].isNull(), F.lit("invalid_url"))
     )
 
+    def verdict(b: Column) -> Column:
+        excluded = b.isNull() & F.exists(text_array(phrases), lambda p: v["title"].contains(p))
+        return F.struct(
+            F.when(b.isNotNull(), INVALID).when(excluded, EXCLUDED).alias("verdict"),
+            F.when(b.isNotNull(), b).when(excluded, F.lit("title_keyword")).alias("reason"),
+            F.when(b.isNull(), v["title"]).alias("clean_title"),
+            v["url"].alias("norm_url"),
+        )
+
+    return let(bad, verdict)
+
 
 def validate(items: DataFrame, non_news: list[str] | None = None) -> DataFrame:
-    """Add ``verdict`` (NULL while undecided), ``reason`` and ``norm_url``; titles of
-    readable rows are cleaned. One narrow projection, no shuffle."""
+    """Add ``verdict`` (NULL while undecided), ``reason`` (NULL likewise) and ``norm_url``;
+    titles of readable rows are cleaned. A row is unusable for the first of: missing
+    fields, a date that is no ISO day, a link that is no web address. Narrow, and each row
+    is judged once."""
     phrases = NON_NEWS_PHRASES if non_news is None else non_news
-    excluded = F.lit(False)
-    for phrase in phrases:
-        excluded = excluded | F.col("_title").contains(phrase)
-    judged = (
-        items.withColumn("_url", normalize_url(F.col("link")))
-        .withColumn("_title", clean_text(F.col("title")))
-        .withColumn("_bad", invalid_reason())
+    values = F.struct(
+        _missing().alias("missing"),
+        iso_day(strip_space(F.col("date"))).alias("day"),
+        normalize_url(F.col("link")).alias("url"),
+        clean_text(F.col("title")).alias("title"),
     )
-    return (
-        judged.withColumn("verdict", F.when(F.col("_bad").isNotNull(), INVALID).when(excluded, EXCLUDED))
-        .withColumn("reason", F.coalesce(F.col("_bad"), F.when(excluded, F.lit("title_keyword"))))
-        .withColumn("title", F.when(F.col("_bad").isNull(), F.col("_title")).otherwise(F.col("title")))
-        .withColumnRenamed("_url", "norm_url")
-        .drop("_title", "_bad")
+    judged = with_once(items, let(values, lambda v: _judge(v, phrases)).alias("_j"))
+    title = F.coalesce(F.col("_j.clean_title"), F.col("title")).alias("title")
+    columns = [title if c == "title" else F.col(c) for c in items.columns]
+    return judged.select(
+        *columns, *[F.col(f"_j.{c}").alias(c) for c in ("verdict", "reason", "norm_url")]
     )
 
 

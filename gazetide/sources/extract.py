@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from gazetide.functions.dates import labelled_day_text, parse_list_date
-from gazetide.functions.exprs import let
+from gazetide.functions.exprs import let, with_once
 from gazetide.functions.outcomes import capture_failure, error_category, failure_message
 from gazetide.functions.text import (
     FEED_SUMMARY_LIMIT,
@@ -23,7 +23,7 @@ from gazetide.functions.text import (
     labelled_value,
     strip_space,
 )
-from gazetide.functions.urls import resolve_url, serialize_url, url_host
+from gazetide.functions.urls import resolve_url, url_host
 from gazetide.sources import profiles as P
 from gazetide.sources.markup import flatten_feed, html_text, parse_html, select, select_first
 
@@ -151,24 +151,27 @@ def read_detail(body: pa.Array, css: pa.Array) -> pa.Array:
 
 
 # --- strings to items ----------------------------------------------------------------
+#
+# Every reader says what it found per row: texts of the day, the title and the link, the
+# department and what else there is. NULL as day, title or link drops the row. Reading
+# days and resolving links is common to all and comes last, once.
 
 
-def _item(pos, date, department, title, link, category=None, summary=None, date_source=None) -> Column:
+def _found(day, title, link, department, category=None, summary=None, date_source=None) -> Column:
     empty = F.lit("")
     return F.struct(
-        pos.cast("int").alias("pos"),
-        date.alias("date"),
-        department.alias("department"),
+        day.alias("day"),
         title.alias("title"),
         link.alias("link"),
-        (empty if category is None else category).alias("category"),
-        (empty if summary is None else summary).alias("summary"),
+        department.alias("department"),
+        (empty if category is None else F.coalesce(category, empty)).alias("category"),
+        (empty if summary is None else F.coalesce(summary, empty)).alias("summary"),
         (F.lit("published") if date_source is None else date_source).alias("date_source"),
     )
 
 
-def _iso(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM-dd")
+def _nonempty(c: Column) -> Column:
+    return F.when(c != "", c)
 
 
 def _under(source: Column, label: Column) -> Column:
@@ -177,23 +180,17 @@ def _under(source: Column, label: Column) -> Column:
     return F.when((label == "") | (label == source), source).otherwise(F.concat(source, F.lit("／"), label))
 
 
-def _present(items: Column) -> Column:
-    return F.filter(items, lambda x: x.isNotNull())
-
-
-def feed_items(source: Column, rows: Column) -> Column:
-    """Items of a feed. First value wins, except that the last link text replaces any other
+def feed_rows(source: Column, rows: Column) -> Column:
+    """Rows of a feed. First value wins, except that the last link text replaces any other
     link."""
 
     def first(fields: Column, names: list[str]) -> Column:
         return F.get(F.filter(fields, lambda f: f["name"].isin(names)), F.lit(0))
 
-    def build(fields: Column, pos: Column) -> Column:
+    def build(fields: Column) -> Column:
         own_links = F.filter(fields, lambda f: f["name"] == "link")
         substitutes = F.filter(fields, lambda f: f["name"].isin("guid", "link@href") & (f["value"] != ""))
-        link = F.when(F.size(own_links) > 0, F.get(F.reverse(own_links), F.lit(0))["value"]).otherwise(
-            F.get(substitutes, F.lit(0))["value"]
-        )
+        link = F.coalesce(F.get(F.reverse(own_links), F.lit(0))["value"], F.get(substitutes, F.lit(0))["value"])
         names = F.filter(
             F.transform(
                 F.filter(fields, lambda f: f["name"].isin(FEED_DEPARTMENT_FIELDS)),
@@ -206,29 +203,20 @@ def feed_items(source: Column, rows: Column) -> Column:
         )
         summary = F.coalesce(cut_trim(first(fields, FEED_SUMMARY_FIELDS)["plain"], FEED_SUMMARY_LIMIT), F.lit(""))
         day = first(fields, FEED_DATE_FIELDS)
-        parts = F.struct(
-            F.coalesce(first(fields, ["title"])["value"], F.lit("")).alias("title"),
-            F.coalesce(link, F.lit("")).alias("link"),
-            summary.alias("summary"),
-        )
         return let(
-            parts,
-            lambda p: F.when(
-                (p["title"] != "") & (p["link"] != ""),
-                _item(
-                    pos,
-                    F.coalesce(day["value"], F.lit("")),
-                    F.when(source == CONTACT_SOURCE, _contact_units(p["summary"], department)).otherwise(department),
-                    clean_text(p["title"]),
-                    serialize_url(p["link"]),
-                    F.coalesce(first(fields, ["category"])["value"], F.lit("")),
-                    p["summary"],
-                    F.when(day["name"] == "updated", F.lit("updated")).otherwise(F.lit("published")),
-                ),
+            summary,
+            lambda text: _found(
+                F.coalesce(day["value"], F.lit("")),
+                clean_text(first(fields, ["title"])["value"]),
+                link,
+                F.when(source == CONTACT_SOURCE, _contact_units(text, department)).otherwise(department),
+                first(fields, ["category"])["value"],
+                text,
+                F.when(day["name"] == "updated", F.lit("updated")).otherwise(F.lit("published")),
             ),
         )
 
-    return _present(F.transform(rows, build))
+    return F.transform(rows, build)
 
 
 def _contact_units(summary: Column, fallback: Column) -> Column:
@@ -252,13 +240,6 @@ _ROC_DOTTED = r"(?U)\b(\d{3}\.\d{2}\.\d{2})\b"
 _YEAR_MONTH = rf"(\d{{4}})[{WS}]*-[{WS}]*(\d{{1,2}})"
 
 
-def _found(day: Column, title: Column, href: Column, label: Column | None = None) -> Column:
-    """What a layout finds in a row: texts of the day, the title, the link and the label of
-    the department. NULL stands for "not there"."""
-    label = F.lit(None).cast("string") if label is None else label
-    return F.struct(day.alias("day"), title.alias("title"), href.alias("href"), label.alias("label"))
-
-
 def _tip_or(tip: Column, text: Column) -> Column:
     return let(strip_space(F.coalesce(tip, F.lit(""))), lambda t: F.when(t != "", t).otherwise(text))
 
@@ -272,91 +253,63 @@ def _dated(r: Column, source: Column) -> Column:
     # The label of a department is its own node, or the category's where the profile has no
     # selector for departments.
     label = F.when(F.col("_css.department").isNotNull(), r["department"]).otherwise(r["category"])
-    return F.when(r["title"] != "", _found(r["date"], title, F.coalesce(r["row_href"], r["link_href"]), label))
+    link = F.coalesce(r["row_href"], r["link_href"])
+    return F.when(r["title"] != "", _found(r["date"], title, link, _under(source, label), r["category"], r["summary"]))
 
 
-def _prefixed(text: Column, href: Column, pattern: str) -> Column:
-    return _found(F.regexp_extract(text, pattern, 1), strip_space(F.regexp_extract(text, pattern, 2)), href)
+def _prefixed(text: Column, href: Column, pattern: str, source: Column) -> Column:
+    title = _nonempty(strip_space(F.regexp_extract(text, pattern, 2)))
+    return _found(F.regexp_extract(text, pattern, 1), title, href, source)
 
 
-def _labelled(r: Column) -> Column:
+def _labelled(r: Column, source: Column) -> Column:
     published, updated = (labelled_day_text(r["date"], name) for name in ("發布日期", "更新日期"))
     day = F.when(parse_list_date(published).isNotNull(), published).otherwise(updated)
-    return _found(day, r["link_text"], r["link_href"], labelled_value(r["date"], "發布單位"))
+    return _found(day, r["link_text"], r["link_href"], _under(source, labelled_value(r["date"], "發布單位")))
 
 
-def _in_text(r: Column) -> Column:
+def _in_text(r: Column, source: Column, url: Column) -> Column:
     day = F.regexp_extract(r["row_text"], _ROC_DOTTED, 1)
-    return F.when(day != "", _found(day, strip_space(F.replace(r["row_text"], day, F.lit(""))), F.lit("")))
+    title = _nonempty(strip_space(F.replace(r["row_text"], day, F.lit(""))))
+    return F.when(day != "", _found(day, title, url, source))
 
 
-def _year_day(r: Column) -> Column:
+def _year_day(r: Column, source: Column) -> Column:
     day = F.concat(
         F.regexp_extract(r["date"], _YEAR_MONTH, 1), F.lit("-"), F.regexp_extract(r["date"], _YEAR_MONTH, 2),
         F.lit("-"), r["part2"],
     )
-    return _found(day, _tip_or(r["row_tip"], r["row_text"]), r["row_href"])
+    return _found(day, _tip_or(r["row_tip"], r["row_text"]), r["row_href"], source)
 
 
-def _three_part(r: Column) -> Column:
+def _three_part(r: Column, source: Column) -> Column:
     month = F.regexp_extract(r["part2"], r"(\d+)", 1)
     day = F.concat(r["date"], F.lit("-"), month, F.lit("-"), r["part3"])
     label = strip_space(F.regexp_replace(r["department"], "^(?:版權來自：)*(?:版權來自:)*", ""))
-    return F.when(month != "", _found(day, r["link_text"], r["link_href"], label))
+    full = F.when((label != "") & label.startswith(source), label).otherwise(_under(source, label))
+    return F.when(month != "", _found(day, r["link_text"], r["link_href"], full))
 
 
-# Layouts whose links may have no text of their own.
-_UNTITLED_OK = ["tooltip", "labelled", "year_day", "three_part"]
-
-
-def page_items(source: Column, layout: Column, url: Column, rows: Column) -> Column:
-    """Items of a list page; rows without usable date, title or link are left out. Layouts
-    differ in where they look, the rest is common."""
+def page_rows(source: Column, layout: Column, url: Column, rows: Column) -> Column:
+    """Rows of a list page. Layouts differ in where they look."""
 
     def look(r: Column) -> Column:
+        tip = _tip_or(r["link_tip"], r["link_text"])
+        unit = _under(source, labelled_value(r["link_text"], "發布單位"))
         return (
             F.when(layout == "dated", _dated(r, source))
-            .when(layout == "links", _found(F.lit(""), r["row_text"], r["row_href"]))
-            .when(layout == "row_text", _found(r["row_text"], r["link_text"], r["link_href"]))
-            .when(layout == "prefixed", _prefixed(r["link_text"], r["link_href"], _DAY_TITLE))
-            .when(layout == "roc_prefixed", _prefixed(r["row_text"], r["row_href"], _ROC_DAY_TITLE))
-            .when(
-                layout == "tooltip",
-                _found(r["link_text"], _tip_or(r["link_tip"], r["link_text"]), r["link_href"],
-                       labelled_value(r["link_text"], "發布單位")),
-            )
-            .when(layout == "labelled", _labelled(r))
-            .when(layout == "in_text", _in_text(r))
-            .when(layout == "year_day", _year_day(r))
-            .when(layout == "three_part", _three_part(r))
+            .when(layout == "links", _found(F.lit(""), _nonempty(r["row_text"]), r["row_href"], F.lit("")))
+            .when(layout == "row_text", _found(r["row_text"], _nonempty(r["link_text"]), r["link_href"], source))
+            .when(layout == "prefixed", _prefixed(r["link_text"], r["link_href"], _DAY_TITLE, source))
+            .when(layout == "roc_prefixed", _prefixed(r["row_text"], r["row_href"], _ROC_DAY_TITLE, source))
+            .when(layout == "tooltip", _found(r["link_text"], tip, r["link_href"], unit))
+            .when(layout == "labelled", _labelled(r, source))
+            .when(layout == "in_text", _in_text(r, source, url))
+            .when(layout == "year_day", _year_day(r, source))
+            .when(layout == "three_part", _three_part(r, source))
         )
 
-    def build(r: Column, pos: Column) -> Column:
-        return let(look(r), lambda x: let(_iso(parse_list_date(x["day"])), lambda day: finish(r, pos, x, day)))
-
-    def finish(r: Column, pos: Column, x: Column, day: Column) -> Column:
-        is_links = layout == "links"
-        usable = (
-            (day.isNotNull() | is_links)
-            & x["href"].isNotNull()
-            & x["title"].isNotNull()
-            & ((x["title"] != "") | layout.isin(_UNTITLED_OK) | (layout == "dated"))
-        )
-        own_name = (layout == "three_part") & (x["label"] != "") & x["label"].startswith(source)
-        department = (
-            F.when(is_links, F.lit("")).when(own_name, x["label"]).otherwise(_under(source, x["label"]))
-        )
-        link = F.when(layout == "in_text", url).otherwise(resolve_url(url, x["href"]))
-        return F.when(
-            usable,
-            _item(
-                pos, F.coalesce(day, F.lit("")), department, x["title"], link,
-                F.when(layout == "dated", F.coalesce(r["category"], F.lit(""))).otherwise(F.lit("")),
-                F.when(layout == "dated", F.coalesce(r["summary"], F.lit(""))).otherwise(F.lit("")),
-            ),
-        )
-
-    return _present(F.transform(rows, build))
+    return F.transform(rows, look)
 
 
 _CMS_TYPE = "array<struct<publish_up:string,title:string,id:string,jsh_unit:struct<name:string>>>"
@@ -368,55 +321,63 @@ _NEXT_TYPE = (
 _NEXT_SCRIPT = r"""(?is)<script[^>]*\bid=["']?__NEXT_DATA__["']?[^>]*>(.*?)</script>"""
 
 
-def _trimmed(c: Column) -> Column:
-    return strip_space(F.coalesce(c, F.lit("")))
-
-
-def cms_items(source: Column, rows: Column) -> Column:
+def cms_rows(source: Column, rows: Column) -> Column:
     pages = F.create_map(*[F.lit(x) for kv in P.CMS_PAGES.items() for x in kv])
 
-    def build(r: Column, pos: Column) -> Column:
-        title, unit = _trimmed(r["title"]), _trimmed(r["jsh_unit"]["name"])
-        department = F.when((unit == "") | unit.isin(P.CMS_OWN_NAMES), source).otherwise(F.concat(source, F.lit("／"), unit))
-        link = F.concat(F.try_element_at(pages, source), r["id"])
-        return let(
-            parse_list_date(r["publish_up"]),
-            lambda d: F.when(
-                d.isNotNull() & (title != "") & (F.coalesce(r["id"], F.lit("")) != ""),
-                _item(pos, _iso(d), department, title, link),
-            ),
+    def build(r: Column) -> Column:
+        unit = F.coalesce(strip_space(r["jsh_unit"]["name"]), F.lit(""))
+        own = (unit == "") | unit.isin(P.CMS_OWN_NAMES)
+        return _found(
+            r["publish_up"], _nonempty(strip_space(r["title"])),
+            F.concat(F.try_element_at(pages, source), _nonempty(r["id"])),
+            F.when(own, source).otherwise(F.concat(source, F.lit("／"), unit)),
         )
 
-    return _present(F.transform(rows, build))
+    return F.transform(rows, build)
 
 
-def open_data_items(source: Column, rows: Column, texts: Column) -> Column:
-    def build(r: Column, pos: Column) -> Column:
-        title, link = _trimmed(r["Title"]), _trimmed(r["Source"])
-        return let(
-            parse_list_date(r["公告日期"]),
-            lambda d: F.when(
-                d.isNotNull() & (title != "") & (link != ""),
-                _item(pos, _iso(d), _under(source, _trimmed(r["資料來源"])), title, link,
-                      summary=F.coalesce(F.get(texts, pos), F.lit(""))),
-            ),
-        )
+def open_data_rows(source: Column, rows: Column, texts: Column) -> Column:
+    return F.transform(
+        rows,
+        lambda r, i: _found(
+            r["公告日期"], _nonempty(strip_space(r["Title"])), _nonempty(strip_space(r["Source"])),
+            _under(source, strip_space(r["資料來源"])), summary=F.get(texts, i),
+        ),
+    )
 
-    return _present(F.transform(rows, build))
 
+def next_data_rows(source: Column, rows: Column) -> Column:
+    return F.transform(
+        rows,
+        lambda r: _found(r["date"], _nonempty(strip_space(r["label"])), _nonempty(strip_space(r["link"])), source),
+    )
+
+
+def _finish(found: Column, layout: Column, url: Column) -> Column:
+    """Found rows to items: days become ISO text (feeds keep theirs as written, links have
+    none), links are resolved against the page (a feed's links stand alone, JSON rows come
+    with whole addresses)."""
+    undated = layout.isin("feed", "links")
+    whole = layout.isin("cms_json", "open_data", "in_text")
 
-def next_data_items(source: Column, url: Column, rows: Column) -> Column:
-    def build(r: Column, pos: Column) -> Column:
-        title, link = _trimmed(r["label"]), _trimmed(r["link"])
+    def build(x: Column, pos: Column) -> Column:
+        day = F.when(undated, x["day"]).otherwise(F.date_format(parse_list_date(x["day"]), "yyyy-MM-dd"))
+        relative = ~x["link"].rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
+        link = F.when(whole | ((layout == "feed") & relative), x["link"]).otherwise(resolve_url(url, x["link"]))
+        usable = x["title"].isNotNull() & x["link"].isNotNull() & ((x["link"] != "") | (layout != "feed"))
         return let(
-            parse_list_date(r["date"]),
+            day,
             lambda d: F.when(
-                d.isNotNull() & (title != "") & (link != ""),
-                _item(pos, _iso(d), source, title, resolve_url(url, link)),
+                usable & d.isNotNull(),
+                F.struct(
+                    pos.cast("int").alias("pos"), d.alias("date"), x["department"].alias("department"),
+                    x["title"].alias("title"), link.alias("link"), x["category"].alias("category"),
+                    x["summary"].alias("summary"), x["date_source"].alias("date_source"),
+                ),
             ),
         )
 
-    return _present(F.transform(rows, build))
+    return F.filter(F.transform(found, build), lambda i: i.isNotNull())
 
 
 # --- the job -------------------------------------------------------------------------
@@ -455,14 +416,12 @@ def parse_captures(captures: DataFrame, profiles: DataFrame) -> DataFrame:
         .withColumn("_next", F.from_json("_script", _NEXT_TYPE))
         .withColumn("_next", F.get(F.col("_next.props.pageProps.data.content"), F.lit(0))["data"]["item"])
     )
-    nothing = F.array().cast(ITEM_ARRAY)
-    items = (
-        F.when(early != "", nothing)
-        .when(layout == "feed", feed_items(source, F.col("_feed.rows")))
-        .when(layout == "cms_json", cms_items(source, F.col("_cms")))
-        .when(layout == "open_data", open_data_items(source, F.col("_open"), F.col("_texts")))
-        .when(layout == "next_data", next_data_items(source, url, F.col("_next")))
-        .when(layout.isin(page_layouts), page_items(source, layout, url, F.col("_page")))
+    found = (
+        F.when(layout == "feed", feed_rows(source, F.col("_feed.rows")))
+        .when(layout == "cms_json", cms_rows(source, F.col("_cms")))
+        .when(layout == "open_data", open_data_rows(source, F.col("_open"), F.col("_texts")))
+        .when(layout == "next_data", next_data_rows(source, F.col("_next")))
+        .when(layout.isin(page_layouts), page_rows(source, layout, url, F.col("_page")))
     )
     no_rows = (layout != "links") & layout.isin(page_layouts) & (F.size("_page") == 0)
     problem = (
@@ -475,21 +434,26 @@ def parse_captures(captures: DataFrame, profiles: DataFrame) -> DataFrame:
         .when((layout == "next_data") & F.col("_next").isNull(), F.lit("invalid item array"))
         .when(no_rows, F.concat(source, F.lit(" page does not contain "), F.col("_css.item")))
     )
-    detail = F.coalesce(
-        F.col("_problem"), F.col("transport_error"),
+    fetch_detail = F.coalesce(
+        F.col("transport_error"),
         F.when(F.col("kind") == "browser", F.lit("challenge page")),
         F.concat(F.lit("HTTP "), F.col("status_code").cast("string")),
     )
-    failure = F.when(early != "", early).when(F.col("_problem").isNotNull(), F.lit("parser_regression")).otherwise(F.lit(""))
-    carried = [c for c in captures.columns if c not in ("body", "transport_error", "status_code", "fetched_at")]
-    return (
-        read.withColumn("_problem", problem)
-        .withColumn("failure_class", failure)
-        .withColumn("items", F.when(F.col("failure_class") == "", items).otherwise(nothing))
-        .withColumn(
-            "message", F.when(F.col("failure_class") != "", failure_message(F.col("failure_class"), detail)).otherwise(F.lit(""))
+
+    def outcome(p: Column) -> Column:
+        failure = F.when(early != "", early).when(p.isNotNull(), F.lit("parser_regression")).otherwise(F.lit(""))
+        return F.struct(
+            failure.alias("failure_class"),
+            F.when(early != "", failure_message(early, fetch_detail))
+            .when(p.isNotNull(), failure_message(F.lit("parser_regression"), p))
+            .otherwise(F.lit(""))
+            .alias("message"),
+            F.when(failure == "", _finish(found, layout, url)).otherwise(F.array().cast(ITEM_ARRAY)).alias("items"),
         )
-        .select(*carried, F.col("_reader").alias("reader"), "failure_class", "message", "items")
+
+    carried = [c for c in captures.columns if c not in ("body", "transport_error", "status_code", "fetched_at")]
+    return with_once(read, let(problem, outcome).alias("_r")).select(
+        *carried, F.col("_reader").alias("reader"), "_r.failure_class", "_r.message", "_r.items"
     )
 
 
