@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gazetide.functions.exprs import let
-from gazetide.functions.text import WS
 
 ZONE = "Asia/Taipei"
 
@@ -22,9 +21,9 @@ MAIL_ZONES = {
 
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _YMD_PATTERNS = [
-    rf"^[{WS}]*(\d{{1,4}})-[{WS}]*(\d{{1,2}})-[{WS}]*(\d{{1,2}})$",
-    rf"^[{WS}]*(\d{{1,4}})/[{WS}]*(\d{{1,2}})/[{WS}]*(\d{{1,2}})$",
-    rf"^[{WS}]*(\d{{1,4}})年[{WS}]*(\d{{1,2}})月[{WS}]*(\d{{1,2}})日$",
+    r"(?U)^\s*([0-9]{1,4})-\s*([0-9]{1,2})-\s*([0-9]{1,2})$",
+    r"(?U)^\s*([0-9]{1,4})/\s*([0-9]{1,2})/\s*([0-9]{1,2})$",
+    r"(?U)^\s*([0-9]{1,4})年\s*([0-9]{1,2})月\s*([0-9]{1,2})日$",
 ]
 _ANYWHERE = r"(20\d{2})[-/]([01]?\d)[-/]([0-3]?\d)"
 _INSTANT = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})$"
@@ -118,7 +117,7 @@ def parse_list_date(c: Column) -> Column:
 def labelled_day_text(text: Column, label: str) -> Column:
     """Text of the date after ``label`` and an optional colon, ``''`` when absent."""
     return F.regexp_extract(
-        text, rf"\Q{label}\E[{WS}]*[:：]?[{WS}]*(\d{{2,4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}})", 1
+        text, rf"(?U)\Q{label}\E\s*[:：]?\s*(\d{{2,4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}})", 1
     )
 
 

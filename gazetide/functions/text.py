@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gazetide.functions.exprs import let
 
-# The Unicode White_Space characters, as a regex class body that Java
-# and RE2 read alike.
-WS = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# The Unicode White_Space characters, as a regex class body. Patterns here
+# begin with (?U), which makes \\s stand for the same set and runs faster than the class.
+WHITE_SPACE = r"\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 # Labels that publishers put before a department name.
 DEPARTMENT_LABELS = [
@@ -36,31 +36,35 @@ DETAIL_SUMMARY_LIMIT = 1_200
 
 def clean_text(c: Column) -> Column:
     """Collapse runs of Unicode whitespace to one space and trim."""
-    return F.trim(F.regexp_replace(c, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def strip_space(c: Column) -> Column:
     """Trim Unicode whitespace at both ends only."""
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def is_blank(c: Column) -> Column:
     """Nothing but whitespace."""
-    return ~c.rlike(f"[^{WS}]")
+    return ~c.rlike(r"(?U)\S")
 
 
 def without_space(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WS}]+", "")
+    return F.regexp_replace(c, r"(?U)\s+", "")
+
+
+def ascii_parentheses(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("（"), F.lit("(")), F.lit("）"), F.lit(")"))
 
 
 def title_key(c: Column) -> Column:
     """Comparison form of a title: ASCII parentheses, no whitespace."""
-    return F.translate(without_space(c), "（）", "()")
+    return ascii_parentheses(without_space(c))
 
 
 def match_text(c: Column) -> Column:
     """Comparison form for keyword matching: no whitespace, lower case, ASCII parentheses."""
-    return F.translate(F.lower(without_space(c)), "（）", "()")
+    return ascii_parentheses(F.lower(without_space(c)))
 
 
 def cut(c: Column, limit: int) -> Column:
@@ -77,7 +81,7 @@ def collapsed_summary(c: Column, limit: int) -> Column:
 
 
 def has_cjk(c: Column) -> Column:
-    return c.rlike(CJK_CLASS)
+    return (F.octet_length(c) > F.char_length(c)) & c.rlike(CJK_CLASS)
 
 
 def text_class(c: Column) -> Column:
@@ -108,7 +112,7 @@ def is_department_alias(source: Column, department: Column) -> Column:
 
 def labelled_value(text: Column, label: str) -> Column:
     """First token after ``label`` and an optional colon; ``''`` when absent."""
-    return F.regexp_extract(text, rf"\Q{label}\E[{WS}]*[:：]?[{WS}]*([^{WS}]+)", 1)
+    return F.regexp_extract(text, rf"(?U)\Q{label}\E\s*[:：]?\s*(\S+)", 1)
 
 
 def site_link(source: Column, link: Column) -> Column:

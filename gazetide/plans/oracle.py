@@ -4,7 +4,7 @@ no code path with the Spark side except fixed values."""
 from __future__ import annotations
 
 from gazetide.functions.outcomes import FAILURE_CLASSES
-from gazetide.functions.text import WS
+from gazetide.functions.text import WHITE_SPACE
 from gazetide.functions.urls import TRACKING_KEYS
 from gazetide.operators import relevance as R
 from gazetide.operators.policy import Policy
@@ -18,11 +18,11 @@ def q(value: str) -> str:
 
 
 def clean(x: str) -> str:
-    return f"trim(regexp_replace({x}, '[{WS}]+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '[{WHITE_SPACE}]+', ' ', 'g'))"
 
 
 def bare(x: str) -> str:
-    return f"regexp_replace({x}, '[{WS}]+', '', 'g')"
+    return f"regexp_replace({x}, '[{WHITE_SPACE}]+', '', 'g')"
 
 
 def title_key(x: str) -> str:

@@ -15,7 +15,6 @@ from gazetide.functions.exprs import let, with_once
 from gazetide.functions.outcomes import capture_failure, error_category, failure_message
 from gazetide.functions.text import (
     FEED_SUMMARY_LIMIT,
-    WS,
     clean_text,
     cut_trim,
     department_name,
@@ -35,12 +34,12 @@ FEED_DEPARTMENT_FIELDS = ["departmentallname", "deptname", "source", "author", "
 # The publisher that names its department in the text, and titles of persons
 # that may follow the department there.
 CONTACT_SOURCE = "金管會"
-CONTACT_PATTERN = rf"聯絡單位[{WS}]*[:：][{WS}]*(.*?)[{WS}]+聯絡電話[{WS}]*[:：]"
+CONTACT_PATTERN = r"(?U)聯絡單位\s*[:：]\s*(.*?)\s+聯絡電話\s*[:：]"
 PERSON_TITLES = "科長|組長|主任|專員|秘書|視察|科員|技正|稽核|先生|小姐"
 
 # Publishers whose titles carry something that is no title.
-TRAILING_DATE_SOURCE, TRAILING_DATE = "環境部", rf"[{WS}]+\d{{2,4}}-\d{{1,2}}-\d{{1,2}}$"
-LEADING_LABEL_SOURCE, LEADING_LABEL = "榮總", rf"^點擊前往[{WS}]*"
+TRAILING_DATE_SOURCE, TRAILING_DATE = "環境部", r"(?U)\s+\d{2,4}-\d{1,2}-\d{1,2}$"
+LEADING_LABEL_SOURCE, LEADING_LABEL = "榮總", r"(?U)^點擊前往\s*"
 
 ITEM_ARRAY = (
     "array<struct<pos:int,date:string,department:string,title:string,link:string,"
@@ -50,7 +49,7 @@ ITEM_ARRAY = (
 
 def looks_like_feed(url: Column, body: Column) -> Column:
     """Feed by address or by its first characters."""
-    head = F.lower(F.regexp_replace(F.regexp_replace(body, "^﻿+", ""), f"^[{WS}]+", ""))
+    head = F.lower(F.regexp_replace(F.regexp_replace(body, "^﻿+", ""), r"(?U)^\s+", ""))
     return F.lower(url).rlike("rss|feed") | head.startswith("<?xml") | head.startswith("<rss") | head.startswith("<feed")
 
 
@@ -234,10 +233,10 @@ def _contact_units(summary: Column, fallback: Column) -> Column:
     return let(units, lambda u: F.when(F.size(u) > 0, F.array_join(u, "、")).otherwise(fallback))
 
 
-_DAY_TITLE = rf"^(\d{{4}}/\d{{1,2}}/\d{{1,2}})[{WS}]*(.+)$"
-_ROC_DAY_TITLE = rf"^(\d{{2,3}}-\d{{1,2}}-\d{{1,2}})[{WS}]+(.+)$"
+_DAY_TITLE = r"(?U)^(\d{4}/\d{1,2}/\d{1,2})\s*(.+)$"
+_ROC_DAY_TITLE = r"(?U)^(\d{2,3}-\d{1,2}-\d{1,2})\s+(.+)$"
 _ROC_DOTTED = r"(?U)\b(\d{3}\.\d{2}\.\d{2})\b"
-_YEAR_MONTH = rf"(\d{{4}})[{WS}]*-[{WS}]*(\d{{1,2}})"
+_YEAR_MONTH = r"(?U)(\d{4})\s*-\s*(\d{1,2})"
 
 
 def _tip_or(tip: Column, text: Column) -> Column:
