@@ -14,12 +14,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def sql_literal(value) -> str:
+    """SQL text of a string, None, list, tuple (of named fields: dict) literal."""
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, dict):
+        return "named_struct(" + ", ".join(f"'{k}', {sql_literal(v)}" for k, v in value.items()) + ")"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(map(sql_literal, value)) + ")"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def text_array(values) -> Column:
     """Literal array<string>, also for an empty list."""
-    values = list(values)
-    if not values:
-        return F.array().cast("array<string>")
-    return F.array(*[F.lit(v) for v in values])
+    return F.expr(sql_literal(list(values))).cast("array<string>")
 
 
 def key128(*parts: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +17,10 @@ from gazetide.operators import policy as P
 from gazetide.operators import quality as Q
 from gazetide.operators import relevance as R
 from gazetide.plans import tables as T
-from gazetide.session import cut_lineage
+from gazetide.session import cut_lineage, shared_folder
 from gazetide.sources import catalog as C
 from gazetide.sources import details, extract, profiles, reports
-from gazetide.streaming.progress import run_progress
+from gazetide.streaming.progress import follow, latest, run_progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -593,3 +594,13 @@ def legacy_reports(spark, sf):
 def progress_of_runs(spark, sf):
     """ST-1."""
     return run_progress(T.run_events(spark, sf))
+
+
+@query
+def progress_stream(spark, sf):
+    """ST-1 as a stream over the event files, read back from its sink."""
+    schema = T.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    base = f"{shared_folder(spark)}/progress-{uuid.uuid4()}"
+    follow(T.run_events_from(events), f"{base}/out", f"{base}/log").awaitTermination()
+    return latest(spark.read.parquet(f"{base}/out"))

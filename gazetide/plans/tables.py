@@ -15,7 +15,7 @@ from gazetide.functions.outcomes import FAILURE_CLASSES
 from gazetide.functions.text import clean_text
 from gazetide.operators.policy import Policy, Topic
 from gazetide.schemas import as_items
-from gazetide.session import small_table
+from gazetide.session import small_table, spread
 
 FIRST_DAY = "2026-07-27"
 WEEK: DateRange = week_of(dt.date(2026, 8, 3))
@@ -43,8 +43,14 @@ AFFILIATION_PATHS = {
 AGENCY_SHEETS = {"src0": "sheet-a", "src10": "sheet-b", "src13": "sheet-c"}
 
 
+TEXT_TABLES = ["documents", "pages", "conversations"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table. The text tables, whose rows are costly to work on, may be one file of
+    one row group."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def first_line(text: Column) -> Column:

@@ -27,22 +27,25 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster; on a local master one is made if none is set."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
+    current = sc.getCheckpointDir()
+    if current is not None:
+        return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="gazetide-ckpt-")
     sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder so that iterative plans
     neither grow nor depend on the life of any executor."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -53,3 +56,15 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     columns = list(zip(*rows)) if rows else [[] for _ in parsed]
     arrays = [pa.array(list(values), to_arrow_type(f.dataType)) for f, values in zip(parsed, columns)]
     return spark.createDataFrame(pa.table(arrays, names=parsed.names), parsed)
+
+
+_SPLIT = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input over the cores that is too small for the scan to split: below one
+    scan split per core, by the planner's size of it. Larger inputs are returned as they
+    are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * _SPLIT else df

@@ -33,3 +33,27 @@ def run_progress(events: DataFrame) -> DataFrame:
         F.max_by("kind", "seq").alias("last_kind"),
     )
     return per_run.withColumn("percent", percent(F.col("last_kind"), F.col("completed"), F.col("total")))
+
+
+def follow(events: DataFrame, out: str, checkpoint: str):
+    """Start a stream that keeps the progress of runs under ``out``. Every micro-batch
+    writes the runs it changed into a folder of its own, which a repeated batch replaces."""
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return (
+        run_progress(events)
+        .writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(store)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest(stored: DataFrame) -> DataFrame:
+    """Newest progress per run from what ``follow`` stored."""
+    columns = [c for c in stored.columns if c not in ("run_id", "epoch")]
+    newest = stored.groupBy("run_id").agg(F.max_by(F.struct(*columns), "epoch").alias("_s"))
+    return newest.select("run_id", *[F.col(f"_s.{c}").alias(c) for c in columns])
