@@ -15,12 +15,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def sql_literal(value) -> str:
-    """SQL text of a string, None, list, tuple (of named fields: dict) literal."""
-    if value is None:
-        return "CAST(NULL AS STRING)"
+    """SQL text of a string, bool, list or dict (a struct) literal."""
+    if isinstance(value, bool):
+        return str(value).lower()
     if isinstance(value, dict):
         return "named_struct(" + ", ".join(f"'{k}', {sql_literal(v)}" for k, v in value.items()) + ")"
-    if isinstance(value, (list, tuple)):
+    if isinstance(value, list):
         return "array(" + ", ".join(map(sql_literal, value)) + ")"
     return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
