@@ -135,7 +135,7 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def first_come(
-    edges: DataFrame, heavy_from: int = 1_000_000, patience: int = 8, short_tail: int = 50_000
+    edges: DataFrame, heavy_from: int = 20_000_000, patience: int = 8, short_tail: int = 50_000
 ) -> DataFrame:
     """``ord`` of the rows a reader would keep, from columns ord, tkey, ukey.
 

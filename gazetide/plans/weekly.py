@@ -177,7 +177,7 @@ def write_run(run: WeeklyRun, options: RunOptions) -> dict:
     document = report(run, book)
     stamp = run.started_at.strftime("%Y%m%d_%H%M%S_%f")
     line = spark.createDataFrame([(json.dumps(document, ensure_ascii=False, default=str),)], "value string")
-    line.coalesce(1).write.mode("overwrite").text(f"{report_dir}/news_scraper_run_{stamp}.json")
+    line.coalesce(1).write.mode("overwrite").text(f"{report_dir}/run_{stamp}.json")
     if options.fail_on_source_error and document["failed_sources"]:
         raise SourceFailure(", ".join(document["failed_sources"]))
     return document

@@ -99,7 +99,7 @@ def test_write_run(spark, run, tmp_path):
     assert spark.read.parquet(f"{book}/{D.SHEET_RULES}").count() == 114
     assert spark.read.parquet(f"{book}/{D.SHEET_VERSION}").count() == 17
     assert spark.read.parquet(f"{tmp_path}/issues").count() == 1
-    reports = list(pathlib.Path(tmp_path, "執行紀錄").glob("news_scraper_run_*.json"))
+    reports = list(pathlib.Path(tmp_path, "執行紀錄").glob("run_*.json"))
     assert len(reports) == 1
     text = next(reports[0].glob("part-*")).read_text(encoding="utf-8")
     assert json.loads(text)["report_schema_version"] == 4
