@@ -4,7 +4,6 @@ column expressions; nothing here knows about dates, links or publishers."""
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 from xml.parsers import expat
 
@@ -141,9 +140,14 @@ _SIMPLE = re.compile(
 )
 
 
-@lru_cache(maxsize=1024)
-def compile_selector(css: str):
-    """Selector list -> alternatives of (child-of-previous?, [simple tests]) steps."""
+_compiled: dict[str, list] = {}
+
+
+def compile_selector(css: str) -> list:
+    """Selector list -> alternatives of (child-of-previous?, [simple tests]) steps. Kept per
+    worker: profiles hold a few dozen selectors."""
+    if css in _compiled:
+        return _compiled[css]
     alternatives = []
     for one in css.split(","):
         steps, end = [], 0
@@ -156,6 +160,7 @@ def compile_selector(css: str):
             steps.append((found["child"] is not None, tests))
             end = found.end()
         alternatives.append(steps)
+    _compiled[css] = alternatives
     return alternatives
 
 
