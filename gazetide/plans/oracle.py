@@ -526,7 +526,7 @@ def oracle_queries() -> dict[str, str]:
         CASE WHEN ord % 2 = 1 AND summary <> '' THEN summary WHEN ord % 3 = 0 THEN coalesce(s, '') ELSE '' END AS summary
       FROM items LEFT JOIN d ON d.page_id = ord % 200"""
     out["legacy_reports"] = f"""SELECT event_id, event_type AS status, CASE WHEN k % 2 = 0 THEN 's' || k ELSE '' END AS failed_sources,
-      CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS input_count, CASE WHEN k % 2 = 0 THEN 'invalid_items' ELSE '' END AS alert_reasons,
+      CAST(CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS BIGINT) AS input_count, CASE WHEN k % 2 = 0 THEN 'invalid_items' ELSE '' END AS alert_reasons,
       CASE WHEN k % 2 = 0 THEN 'a.xlsx' ELSE '' END AS output_file, '' AS report_file FROM (SELECT *, {K} AS k FROM events)"""
     out["progress_of_runs"] = """SELECT run_id, completed, failed, 200 AS total, last_kind, CASE last_kind WHEN 'writing_outputs' THEN 95
         ELSE least(95, greatest(5, CAST(floor(5 + completed / 200 * 90 + 0.5) AS INTEGER))) END AS percent

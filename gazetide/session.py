@@ -21,6 +21,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # Checkpoints go when nothing refers to them any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Plans here are built from many small expressions; a call site per expression costs
         # more than the plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

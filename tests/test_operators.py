@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -123,6 +124,23 @@ def test_policy_known_answers(spark):
     assert policy.version_rows(spark, default, "now").count() == 17
 
 
+def test_policy_from_json(spark, tmp_path):
+    path = tmp_path / "policy.json"
+    path.write_text(json.dumps({
+        "version": "9", "general_keywords": ["AI"], "negative_keywords": ["it's"],
+        "initiatives": [{"name": "T", "lead_agency": "x", "lead_source": "s", "exact_phrases": [], "strong_keywords": ["a\\b"], "context_keywords": []}],
+        "thresholds": {"high": 90, "possible": 30, "negative_penalty": 10},
+    }), encoding="utf-8")
+    got = policy.read_policy(spark, str(path))
+    assert got == policy.Policy("9", (policy.Topic("T", "s", ("a\\b",), ()),), ("AI",), ("it's",), 90, 30, 10)
+    df = spark.createDataFrame([("see a\\b, it's (AI)", "s", "")], "title string, source string, summary string")
+    rel = relevance.score_items(df, got).first().rel
+    assert (rel.score, rel.matched_keywords, rel.excluded_keywords) == (75, ["a\\b", "AI"], ["it's"])
+    assert rel.relevance == "可能相關"
+    with pytest.raises(ValueError):
+        policy.Policy("0", (), tuple(f"k{i}" for i in range(6000)), ())
+
+
 def scored(spark, title, source, summary):
     df = spark.createDataFrame([(title, source, summary)], "title string, source string, summary string")
     return relevance.score_items(df, policy.default_policy()).first().rel
