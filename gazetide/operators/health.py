@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gazetide.functions.outcomes import error_category
+from gazetide.operators.lookup import salted_lookup
 
 
 def _ok() -> Column:
@@ -26,7 +27,7 @@ def made_attempts(attempts: DataFrame) -> DataFrame:
     are read together."""
     first = attempts.groupBy("source").agg(F.min(F.when(_ok(), F.col("attempt_no"))).alias("_first"))
     return (
-        attempts.join(first, "source")
+        salted_lookup(attempts, first, ["source"], F.col("attempt_no"))
         .where(F.col("aggregate_routes") | F.col("_first").isNull() | (F.col("attempt_no") <= F.col("_first")))
         .drop("_first")
     )

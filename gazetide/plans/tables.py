@@ -43,14 +43,14 @@ AFFILIATION_PATHS = {
 AGENCY_SHEETS = {"src0": "sheet-a", "src10": "sheet-b", "src13": "sheet-c"}
 
 
-TEXT_TABLES = ["documents", "pages", "conversations"]
+COSTLY_TABLES = ["documents", "pages", "conversations", "orders"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. The text tables, whose rows are costly to work on, may be one file of
-    one row group."""
+    """A driver table. Tables whose rows are costly to work on may be one file of one row
+    group, which a scan cannot split."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if name in COSTLY_TABLES else df
 
 
 def first_line(text: Column) -> Column:

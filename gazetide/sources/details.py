@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gazetide.functions.exprs import text_array
 from gazetide.functions.text import DETAIL_SUMMARY_LIMIT, cut_trim
+from gazetide.operators.lookup import salted_lookup
 from gazetide.sources.extract import read_detail
 from gazetide.sources.profiles import DETAIL_SELECTORS
 
@@ -44,7 +45,7 @@ def enrich(items: DataFrame, pages: DataFrame, selectors: dict[str, list[str]] |
         )
     )
     filled = (
-        wanting.join(found, ["source", "link"], "left")
+        salted_lookup(wanting, found, ["source", "link"], F.col("ord"), "left")
         .withColumn("summary", F.coalesce("_text", F.lit("")))
         .select(*items.columns)
     )

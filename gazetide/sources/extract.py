@@ -15,6 +15,7 @@ from gazetide.functions.exprs import let, with_once
 from gazetide.functions.outcomes import capture_failure, error_category, failure_message
 from gazetide.functions.text import (
     FEED_SUMMARY_LIMIT,
+    WHITE_SPACE,
     clean_text,
     cut_trim,
     department_name,
@@ -47,10 +48,12 @@ ITEM_ARRAY = (
 )
 
 
+_FEED_START = rf"(?i)\A\x{{FEFF}}*[{WHITE_SPACE}]*<(?:\?xml|rss|feed)"
+
+
 def looks_like_feed(url: Column, body: Column) -> Column:
-    """Feed by address or by its first characters."""
-    head = F.lower(F.regexp_replace(F.regexp_replace(body, "^﻿+", ""), r"(?U)^\s+", ""))
-    return F.lower(url).rlike("rss|feed") | head.startswith("<?xml") | head.startswith("<rss") | head.startswith("<feed")
+    """Feed by address or by its first characters after byte order marks and whitespace."""
+    return F.lower(url).rlike("rss|feed") | body.rlike(_FEED_START)
 
 
 def dispatch(source: Column, layout: Column, kind: Column, parser: Column, url: Column, body: Column) -> Column:
