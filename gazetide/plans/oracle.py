@@ -8,6 +8,7 @@ from gazetide.functions.text import WHITE_SPACE
 from gazetide.functions.urls import TRACKING_KEYS
 from gazetide.operators import relevance as R
 from gazetide.operators.policy import Policy
+from gazetide.operators.digest import DIGEST_COLUMNS
 from gazetide.plans import tables as T
 
 ROUNDS = 14
@@ -431,6 +432,14 @@ def oracle_queries() -> dict[str, str]:
         FROM placed WHERE relevance IN ('高度相關', '可能相關')
       UNION ALL SELECT CASE agency {sheet} END, row_number() OVER (PARTITION BY agency ORDER BY {tie}), {shown}
         FROM placed WHERE agency IN ({', '.join(q(a) for a in T.AGENCY_SHEETS)})"""
+    cells = ", ".join(f"substr({c}, 1, 32767) AS {c}" if c != "score" else c for c in DIGEST_COLUMNS)
+    out["digest_table"] = rows + f""", {placed}, numbered AS (
+      SELECT '全部新聞' AS sheet, row_number() OVER (ORDER BY {tie}) AS row_no, * FROM placed
+      UNION ALL SELECT '已初步篩選工作表', row_number() OVER (ORDER BY CASE relevance WHEN '高度相關' THEN 0 ELSE 1 END, score DESC, topics, {tie}), *
+        FROM placed WHERE relevance IN ('高度相關', '可能相關')
+      UNION ALL SELECT CASE agency {sheet} END, row_number() OVER (PARTITION BY agency ORDER BY {tie}), *
+        FROM placed WHERE agency IN ({', '.join(q(a) for a in T.AGENCY_SHEETS)}))
+      SELECT CAST(CAST(date_trunc('week', CAST(date AS DATE)) AS DATE) AS VARCHAR) AS week_start, sheet, row_no, {cells} FROM numbered"""
     out["date_choices"] = f"""WITH {ITEMS} SELECT date, count(*) AS row_count, '民國' || (year(CAST(date AS DATE)) - 1911) || '/' ||
       month(CAST(date AS DATE)) || '/' || day(CAST(date AS DATE)) AS roc_date FROM items GROUP BY date"""
 

@@ -17,6 +17,7 @@ from gazetide.operators import policy as P
 from gazetide.operators import quality as Q
 from gazetide.operators import relevance as R
 from gazetide.plans import tables as T
+from gazetide.plans.weekly import write_sheets
 from gazetide.session import cut_lineage, shared_folder
 from gazetide.sources import catalog as C
 from gazetide.sources import details, extract, profiles, reports
@@ -316,6 +317,18 @@ def digest_sheets(spark, sf):
     )
 
 
+@query
+def digest_table(spark, sf):
+    """SNK-1: the sheets written as a table by week and sheet, read back."""
+    rows = cut_lineage(D.digest_rows(T.items(spark, sf), T.TEST_POLICY, T.affiliation(spark)))
+    sheets = D.sheets(rows, T.catalog(spark, sf), T.AGENCY_SHEETS)
+    path = f"{shared_folder(spark)}/digest-{uuid.uuid4()}"
+    write_sheets(sheets.withColumn("week_start", F.date_trunc("week", F.to_date("date")).cast("date")), path)
+    return spark.read.parquet(path).select(
+        F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "sheet", "row_no", *D.DIGEST_COLUMNS
+    )
+
+
 @query
 def date_choices(spark, sf):
     """AGG-13: the dates of the digest in both calendars."""
