@@ -111,6 +111,6 @@ def latest_captures(captures: DataFrame) -> DataFrame:
     """The newest capture of every (source, route); ties go to the greater address, outcome
     and body so that the choice is repeatable. A partial aggregate: each task sends on at
     most one capture per route."""
-    recency = F.struct("fetched_at", "url", "status_code", F.sha2("body", 256))
+    recency = F.struct("fetched_at", "url", "status_code", F.xxhash64("body"))
     newest = captures.groupBy("source", "route_id").agg(F.max_by(F.struct(*captures.columns), recency).alias("_c"))
     return newest.select("_c.*")
