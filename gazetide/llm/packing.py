@@ -188,7 +188,7 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b if b in own else next(others)) for b in range(256)}
 
 
-STEP_BYTES = 8 << 20
+STEP_BYTES = 2 << 20
 
 
 def in_steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

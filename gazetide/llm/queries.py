@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetide.llm import packing
+from gazetide.llm import decontamination, neardup, packing, toxicity
 from gazetide.llm.common import table
 
 
@@ -15,5 +15,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(pieces)
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.scored(docs, toxicity.learn(docs, labels))
+
+
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(found)
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_toxicity": op3_toxicity,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op7_decontamination": op7_decontamination,
+}
 SQL: dict[str, str] = {}
