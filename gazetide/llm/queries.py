@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetide.llm import decontamination, neardup, packing, toxicity
+from gazetide.llm import decontamination, neardup, packing, pii, sql, toxicity
 from gazetide.llm.common import table
+from gazetide.session import cut_lineage
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +30,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = cut_lineage(pii.candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "__spans"))
+    return pii.digest(pii.decided(spans, pii.learned(spans)))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_toxicity": op3_toxicity,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_decontamination": op7_decontamination,
+    "op9_pii": op9_pii,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_near_duplicates": sql.OP5, "op7_decontamination": sql.OP7}
