@@ -8,12 +8,13 @@ sharply concentrated because one shingle fills few bins. ``bands`` groups of ``r
 become band keys; two documents that share one are candidates.
 
 Copies fold first: documents with equal shingle sets form a class, and only its smallest id goes
-on. Candidates are found without listing the pairs of a bucket: first every member is confirmed
-against one pivot, the one it shares most buckets with; only where a bucket still holds several
-components are the pairs across them listed, in lengths that can reach the threshold. Links
-are confirmed on full sets, and components follow from links. All pairs in a bucket are either in
-one component or confirmed, so no link that shares a bucket is lost: with 32 bands of 4 a pair at
-0.8 shares none with probability (1 - 0.8**4)**32, below 1e-7.
+on. Candidates are found without listing the pairs of a bucket. First every member is confirmed
+against pivots, the members with most company; components follow from the links. Only what a
+bucket then still holds of several components is compared in full: in a small bucket as pairs
+whose lengths can reach the threshold, in a large one tile by tile, where pairs stay inside the
+task. Links are confirmed on full sets. Two documents of one bucket are thus in one component or
+compared, and at 0.8 similarity 32 bands of 4 leave a pair without a bucket with probability
+(1 - 0.8**4)**32, below 1e-7.
 
 Defined results: null and empty texts have no shingles and stand alone. Rows with a null id
 stand alone, with a null component, and are kept. Rows that repeat an id are each judged by their
@@ -172,6 +173,65 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     )
 
 
+SMALL, TILE, COLUMNS = 32, 512, 4096
+
+
+def tile_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``a``, ``b`` across components in large buckets (key, id, component, c). A
+    bucket's members are dealt into blocks of about ``TILE`` and every two blocks meet in
+    a task of their own, where intersections come from products of incidence tiles. No pair leaves
+    a task but links that join two components there, fewer than the task has members."""
+    sets = full_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), k)
+    blocks = F.ceil(F.col("c") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
+    placed = members.select("key", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tiles = placed.select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", F.col("id").alias("doc_id")
+    ).join(sets, "doc_id")
+
+    def compare(tile: pa.Table) -> pa.Table:
+        import numpy as np
+
+        tile = tile.combine_chunks().sort_by("doc_id")
+        ids, component, own = (tile.column(c).to_numpy() for c in ("doc_id", "component", "own"))
+        lists = tile.column("shingles").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        ends = lists.offsets.to_numpy()
+        sizes, values = np.diff(ends), lists.flatten().to_numpy()
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        row, column = np.repeat(np.arange(len(ids)), sizes)[count[column] > 1], number[column[count[column] > 1]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        width = int(number[-1]) + 1 if len(number) else 0
+        for at in range(0, width, COLUMNS):
+            low, high = np.searchsorted(column, (at, at + COLUMNS))
+            cells = np.zeros((len(ids), COLUMNS), np.float32)
+            cells[row[low:high], column[low:high] - at] = 1
+            both += cells @ cells.T
+        both = both.astype(np.int64)
+        linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+        if tile.column("i")[0] != tile.column("j")[0]:
+            linked &= own[:, None] != own[None, :]
+        found = []
+        root = {c: c for c in component.tolist()}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for x, y in np.argwhere(np.triu(linked & (component[:, None] != component[None, :]), 1)).tolist():
+            u, v = top(int(component[x])), top(int(component[y]))
+            if u != v:
+                root[max(u, v)] = min(u, v)
+                found.append((int(ids[x]), int(ids[y])))
+        return pa.table([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return cut_lineage(tiles.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def link_table(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> DataFrame:
     """``node``, ``component`` of all class heads that have a link."""
     heads = sketched.where("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(
@@ -180,37 +240,60 @@ def link_table(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> Da
     members = sketched.join(heads, ["doc_id", "set_hash"], "left_semi").select(
         F.col("doc_id").alias("id"), "n_shingles", F.explode("keys").alias("key")
     )
-    shared = members.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).where("pivot <> other")
-    buckets = cut_lineage(members.join(shared.select("key", "pivot"), "key"))
-    # One pivot for each member: the one of most of its buckets.
-    votes = buckets.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
-    best = votes.groupBy("id").agg(F.max(F.struct("n", F.negative("pivot"))).alias("best"))
-    stars = best.select((-F.col("best")["col2"]).alias("a"), F.col("id").alias("b"))
+    shared = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    buckets = cut_lineage(members.join(shared, "key"))
+    # The pivot of a bucket: its member with the most company over all its buckets.
+    company = buckets.groupBy("id").agg(F.sum("c").alias("company"))
+    pivots = (
+        buckets.join(company, "id")
+        .groupBy("key")
+        .agg(F.max(F.struct("company", F.negative("id").alias("minus"))).alias("best"))
+        .select("key", (-F.col("best")["minus"]).alias("pivot"))
+    )
+    votes = cut_lineage(
+        buckets.join(pivots, "key").where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
+    )
+    # First every member against the pivot it meets most, then against its other pivots where
+    # the two are still apart.
+    best = votes.groupBy("id").agg(F.max(F.struct("n", F.negative("pivot").alias("minus"))).alias("best"))
+    stars = best.select((-F.col("best")["minus"]).alias("a"), F.col("id").alias("b"))
     links = confirmed(stars, docs, k, percent)
     labels = connected_components(links)
-    # Pairs across the components that a bucket still holds.
-    open_ = buckets.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "id", "n_shingles", F.coalesce("component", "id").alias("component")
-    )
-    mixed_keys = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    left = cut_lineage(open_.join(mixed_keys.select("key"), "key", "left_semi"))
-    right = left.select(
+
+    def labelled(rows: DataFrame, column: str, to: str) -> DataFrame:
+        found = rows.join(labels.select(F.col("node").alias(column), F.col("component").alias(to)), column, "left")
+        return found.withColumn(to, F.coalesce(to, column))
+
+    apart = labelled(labelled(votes, "id", "of_id"), "pivot", "of_pivot").where("of_id <> of_pivot")
+    tested = stars.select(F.col("a").alias("pivot"), F.col("b").alias("id"))
+    more = confirmed(
+        apart.join(tested, ["id", "pivot"], "left_anti").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(),
+        docs, k, percent,
+    )
+    if not more.isEmpty():
+        links = cut_lineage(links.union(more))
+        labels = connected_components(links)
+    # What a bucket still holds of several components is compared in full.
+    open_ = labelled(buckets, "id", "component")
+    split = open_.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    left = cut_lineage(open_.join(split.select("key"), "key", "left_semi"))
+    few = left.where(F.col("c") <= SMALL)
+    right = few.select(
         "key", F.col("id").alias("id2"), F.col("n_shingles").alias("n2"), F.col("component").alias("component2")
     )
     across = (
-        left.join(right, "key")
+        few.join(right, "key")
         .where(
             (F.col("component") < F.col("component2"))
             & (100 * F.least("n_shingles", "n2") >= percent * F.greatest("n_shingles", "n2"))
         )
         .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         .distinct()
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    more = confirmed(across, docs, k, percent)
-    if more.isEmpty():
+    rest = confirmed(across, docs, k, percent).union(tile_links(left.where(F.col("c") > SMALL), docs, k, percent))
+    if rest.isEmpty():
         return labels
-    return connected_components(links.union(more))
+    return connected_components(links.union(rest))
 
 
 def near_duplicates(
