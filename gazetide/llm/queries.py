@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetide.llm import decontamination, neardup, packing, pii, sql, toxicity
+from gazetide.llm import chat, decontamination, neardup, neighbours, packing, pii, sharding, sql, toxicity
 from gazetide.llm.common import table
 from gazetide.session import cut_lineage
 
@@ -16,11 +16,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(pieces)
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.scored(docs, toxicity.learn(docs, labels))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.assigned(table(spark, sf_dir, "documents")))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -35,11 +43,31 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.decided(spans, pii.learned(spans)))
 
 
+#: A conversation whose texts hold control strings.
+CONTROL_STRINGS = """SELECT * FROM VALUES
+    (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
+    AS t(conv_id, turn, role, text)"""
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    records = chat.conversations_as_records(rows.unionByName(spark.sql(CONTROL_STRINGS)))
+    return chat.digest(chat.read_back(chat.formatted(chat.canonical(records))))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_neighbours": op2_neighbours,
     "op3_toxicity": op3_toxicity,
+    "op4_sharding": op4_sharding,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op9_pii": op9_pii,
+    "op10_chat": op10_chat,
+}
+SQL: dict[str, str] = {
+    "op2_neighbours": sql.OP2,
+    "op5_near_duplicates": sql.OP5,
+    "op7_decontamination": sql.OP7,
+    "op10_chat": sql.OP10,
 }
-SQL: dict[str, str] = {"op5_near_duplicates": sql.OP5, "op7_decontamination": sql.OP7}
