@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetide.llm import chat, decontamination, neardup, neighbours, packing, pii, sharding, sql, toxicity
+from gazetide.llm import chat, decontamination, lm, neardup, neighbours, packing, pii, sharding, sql, toxicity
 from gazetide.llm.common import table
 from gazetide.session import cut_lineage
 
@@ -38,6 +38,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(found)
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = cut_lineage(pii.candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "__spans"))
     return pii.digest(pii.decided(spans, pii.learned(spans)))
@@ -62,6 +66,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_near_duplicates": op5_near_duplicates,
     "op7_decontamination": op7_decontamination,
+    "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
     "op10_chat": op10_chat,
 }
