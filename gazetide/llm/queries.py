@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetide.llm import chat, decontamination, lm, neardup, neighbours, packing, pii, sharding, sql, toxicity
+from gazetide.llm import chat, decontamination, licenses, lm, neardup, neighbours, packing, pii, sharding, sql, toxicity
 from gazetide.llm.common import table
 from gazetide.session import cut_lineage
 
@@ -33,6 +33,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.digest(found)
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_licenses": op6_licenses,
     "op7_decontamination": op7_decontamination,
     "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
