@@ -13,7 +13,7 @@ a long clean text scores like a short one.
 Training reads a bounded sample (``max_positive``, ``max_unlabelled``, ``max_negative`` rows,
 expected, by a hash of the id; the prior is counted over all labels); scoring reads every whole
 text. Labels of the learning fold alone are used, confirmed clean ones only to set the scale of
-the score.
+the score, together with positives that the classifier has not seen.
 
 Defined results: null and empty texts have no features and get the score of the bias. Rows with
 a null id are never learned from and are not held out. Repeated label rows of a document count
@@ -55,8 +55,13 @@ def document_features(text: str | None) -> list[int]:
     return sorted({hashed(f) for w in tokens(text) for f in features_of(w)})
 
 
-def train(positive, unlabelled, negative, prior: float, seed: int, most: int = 4096, steps: int = 400):
-    """(features, weights, bias, scale, shift) from lists of feature arrays. numpy only."""
+LEAST_SURPRISE = 14.0
+THRESHOLD = 0.7
+
+
+def train(positive, unlabelled, negative, apart, prior: float, most: int = 4096, steps: int = 1000):
+    """(features, weights, bias, scale, shift) from lists of feature arrays: positives,
+    unlabelled, confirmed clean, and positives kept apart from training. numpy only."""
     import numpy as np
 
     def flat(docs):
@@ -73,10 +78,12 @@ def train(positive, unlabelled, negative, prior: float, seed: int, most: int = 4
     known[known] = candidates[at[known]] == values_u[known]
     count_u = np.bincount(at[known], minlength=len(candidates))
     rate_p, rate_u = count_p / n_p, count_u / n_u
-    # Were a feature independent of the class, the unlabelled rate would be the positives' too.
-    lift = (rate_p + 0.5 / n_p) / (rate_u + 0.5 / n_u)
-    floor = max(2, int(np.ceil(0.01 * n_p)))
-    chosen = np.flatnonzero((count_p >= floor) & (lift > 2.0))
+    # Were a feature independent of the class, one rate would explain both counts: twice the
+    # log-likelihood ratio says how far it does not.
+    both = (count_p + count_u) / (n_p + n_u)
+    gain = lambda k, n, r: k * np.log(np.maximum(k / n, 1e-12) / r) + (n - k) * np.log(np.maximum(1 - k / n, 1e-12) / np.maximum(1 - r, 1e-12))
+    surprise = 2 * (gain(count_p, n_p, both) + gain(count_u, n_u, both))
+    chosen = np.flatnonzero((rate_p > 2 * rate_u) & (surprise > LEAST_SURPRISE))
     if len(chosen) > most:
         chosen = np.sort(chosen[np.argsort(-(rate_p - rate_u)[chosen], kind="stable")[:most]])
     features = candidates[chosen]
@@ -105,26 +112,28 @@ def train(positive, unlabelled, negative, prior: float, seed: int, most: int = 4
         as_negative = gradient(u, sigmoid(g_u) / n_u), gradient(p, -prior * sigmoid(g_p) / n_p)
         if negative_risk >= 0:
             as_positive = gradient(p, -prior * sigmoid(-g_p) / n_p)
-            d_w = as_positive[0] + as_negative[0][0] + as_negative[1][0] + 1e-4 * w
+            d_w = as_positive[0] + as_negative[0][0] + as_negative[1][0] + 1e-5 * w
             d_b = as_positive[1] + as_negative[0][1] + as_negative[1][1]
         else:  # over-fitted: back
             d_w, d_b = -as_negative[0][0] - as_negative[1][0], -as_negative[0][1] - as_negative[1][1]
         m, v = 0.9 * m + 0.1 * d_w, 0.999 * v + 0.001 * d_w**2
         m_b, v_b = 0.9 * m_b + 0.1 * d_b, 0.999 * v_b + 0.001 * d_b**2
-        rate = 0.05 / (1 - 0.9**step)
+        rate = 0.1 / (1 - 0.9**step)
         w -= rate * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         b -= rate * m_b / (np.sqrt(v_b / (1 - 0.999**step)) + 1e-8)
-    # The scale of the score: a logistic fit of margins, positives against confirmed clean text.
-    clean = margin(matrix(*flat(negative)), len(negative)) if negative else margin(u, n_u)
-    x = np.concatenate((margin(p, n_p), clean))
-    y = np.concatenate((np.ones(n_p), np.zeros(len(clean))))
-    weight = np.where(y == 1, prior / n_p, (1 - prior) / max(1, len(clean)))
-    centre, spread = float(np.average(x, weights=weight)), float(np.std(x)) or 1.0
-    z, scale, shift = (x - centre) / spread, 1.0, 0.0
-    for _ in range(200):
-        error = weight * (sigmoid(scale * z + shift) - y)
-        scale, shift = max(0.0, scale - 4.0 * (error * z).sum() - 0.004 * scale), shift - 4.0 * error.sum()
-    return features, w, b, scale / spread, shift - scale * centre / spread
+    # The scale of the score: the best F1 on positives kept apart and confirmed clean text lies
+    # at the threshold.
+    toxic = np.sort(margin(matrix(*flat(apart)), len(apart)) if apart else margin(p, n_p))
+    clean = np.sort(margin(matrix(*flat(negative)), len(negative)) if negative else margin(u, n_u))
+    margins = np.unique(np.concatenate((toxic, clean, [b])))
+    cuts = np.append((margins[1:] + margins[:-1]) / 2, margins[-1] + 1)
+    hit = prior * (1 - np.searchsorted(toxic, cuts) / len(toxic))
+    false = (1 - prior) * (1 - np.searchsorted(clean, cuts) / len(clean))
+    f1 = 2 * hit / (hit + false + prior)
+    best = cuts[f1 >= f1.max() - 1e-9]
+    scale = 6 / max(1.0, float(np.median(toxic) - np.median(clean)))
+    shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - scale * (best[0] + best[-1]) / 2)
+    return features, w, b, scale, shift
 
 
 def class_prior(labels: DataFrame) -> float:
@@ -182,8 +191,8 @@ def learn(
                 rows = batch.slice(at, 200).to_pydict()
                 for text, toxic, unlabelled, part in zip(rows["text"], rows["toxic"], rows["u"], rows["part"]):
                     found = document_features(text)
-                    if toxic == 1:
-                        out += [(i, 1, found) for i in range(classifiers)]
+                    if toxic == 1:  # each classifier keeps its part of them apart
+                        out += [(i, 3 if i == part else 1, found) for i in range(classifiers)]
                     if toxic == 0:
                         out.append((part, 0, found))
                     if unlabelled:
@@ -205,8 +214,8 @@ def learn(
         ends, values = lists.offsets.to_numpy(), lists.flatten().to_numpy()
         ends = ends - ends[0]
         # One order whatever the order of arrival.
-        of = {k: sorted((values[ends[i] : ends[i + 1]] for i in np.flatnonzero(kinds == k)), key=lambda x: x.tobytes()) for k in (1, 2, 0)}
-        features, w, b, scale, shift = train(of[1], of[2], of[0], prior, seed=0)
+        of = {k: sorted((values[ends[i] : ends[i + 1]] for i in np.flatnonzero(kinds == k)), key=lambda x: x.tobytes()) for k in (1, 2, 0, 3)}
+        features, w, b, scale, shift = train(of[1], of[2], of[0], of[3], prior)
         return pa.table(
             {
                 "part": pa.array([key[0].as_py()], pa.int32()),
@@ -264,9 +273,6 @@ def scorer(models: list[tuple]):
     return score
 
 
-THRESHOLD = 0.7
-
-
 def scored(docs: DataFrame, models: list[tuple], folds: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     return docs.select(
