@@ -90,7 +90,8 @@ def text_class(c: Column) -> Column:
 
 def department_name(c: Column) -> Column:
     """Department text without leading labels; internal codes and URLs give ``''``."""
-    labels = "|".join(DEPARTMENT_LABELS)
+    # The compatibility form U+F92D of the third character of the first label counts too.
+    labels = "|".join(DEPARTMENT_LABELS).replace("版權來自", r"版權[\x{4F86}\x{F92D}]自")
     bare = F.trim(F.regexp_replace(clean_text(c), rf"^(?:(?:{labels})[:：] ?)+", ""))
 
     def reject_codes(d: Column) -> Column:

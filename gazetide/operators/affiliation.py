@@ -9,31 +9,63 @@ from gazetide.functions.exprs import key128, let
 from gazetide.functions.text import clean_text, strip_space, title_key
 from gazetide.session import small_table
 
-# Parent organisation -> organisations below it, each with the steps between.
-PARENTS = {
-    "內政部": ["國土管理署", "國家公園署", "國土測繪中心", "警政署", "消防署"],
-    "國防部": ["中科院", "國防院"],
-    "教育部": ["國教院"],
-    "法務部": ["矯正署", "最高檢察署"],
-    "交通部": ["觀光署", "公路局", "高速公路局", "航港局", "中央氣象署"],
-    "農業部": ["農業金融署", "農糧署", "漁業署", "農村發展及水土保持署", "防檢署", "農科園區"],
-    "衛生福利部": ["食藥署", "疾管署", "國健署", "社家署"],
-    "勞動部": ["勞動力發展署", "職業安全衛生署", "勞動基金運用局"],
-    "數位發展部": ["數位產業署", "資通安全署", "國家資通安全研究院"],
-    "國科會": ["國家實驗研究院", "國家太空中心"],
-    "海委會": ["海巡署", "海巡署/艦隊分署", "海巡署/偵防分署"],
-    "退輔會": ["榮總"],
-}
+# Publisher, and the path from its parent organisation down to it.
+AFFILIATIONS = [
+    ("內政部", []),
+    ("國防部", []),
+    ("教育部", []),
+    ("法務部", []),
+    ("交通部", []),
+    ("農業部", []),
+    ("衛生福利部", []),
+    ("勞動部", []),
+    ("數位發展部", []),
+    ("國科會", []),
+    ("海委會", []),
+    ("退輔會", []),
+    ("國土管理署", ["內政部", "國土管理署"]),
+    ("國家公園署", ["內政部", "國家公園署"]),
+    ("國土測繪中心", ["內政部", "國土測繪中心"]),
+    ("警政署", ["內政部", "警政署"]),
+    ("消防署", ["內政部", "消防署"]),
+    ("中科院", ["國防部", "中科院"]),
+    ("國防院", ["國防部", "國防院"]),
+    ("國教院", ["教育部", "國教院"]),
+    ("矯正署", ["法務部", "矯正署"]),
+    ("最高檢察署", ["法務部", "最高檢察署"]),
+    ("觀光署", ["交通部", "觀光署"]),
+    ("公路局", ["交通部", "公路局"]),
+    ("高速公路局", ["交通部", "高速公路局"]),
+    ("航港局", ["交通部", "航港局"]),
+    ("中央氣象署", ["交通部", "中央氣象署"]),
+    ("農業金融署", ["農業部", "農業金融署"]),
+    ("農糧署", ["農業部", "農糧署"]),
+    ("漁業署", ["農業部", "漁業署"]),
+    ("農村發展及水土保持署", ["農業部", "農村發展及水土保持署"]),
+    ("防檢署", ["農業部", "防檢署"]),
+    ("農科園區", ["農業部", "農科園區"]),
+    ("食藥署", ["衛生福利部", "食藥署"]),
+    ("疾管署", ["衛生福利部", "疾管署"]),
+    ("國健署", ["衛生福利部", "國健署"]),
+    ("社家署", ["衛生福利部", "社家署"]),
+    ("勞動力發展署", ["勞動部", "勞動力發展署"]),
+    ("職業安全衛生署", ["勞動部", "職業安全衛生署"]),
+    ("勞動基金運用局", ["勞動部", "勞動基金運用局"]),
+    ("數位產業署", ["數位發展部", "數位產業署"]),
+    ("資通安全署", ["數位發展部", "資通安全署"]),
+    ("國家資通安全研究院", ["數位發展部", "國家資通安全研究院"]),
+    ("國家實驗研究院", ["國科會", "國家實驗研究院"]),
+    ("國家太空中心", ["國科會", "國家太空中心"]),
+    ("海巡署", ["海委會", "海巡署"]),
+    ("艦隊分署", ["海委會", "海巡署", "艦隊分署"]),
+    ("偵防分署", ["海委會", "海巡署", "偵防分署"]),
+    ("榮總", ["退輔會", "榮總"]),
+]
 
 
 def default_affiliation(spark: SparkSession) -> DataFrame:
     """(source, path): full path for children, an empty path for parents."""
-    rows = [(parent, []) for parent in PARENTS]
-    for parent, children in PARENTS.items():
-        for child in children:
-            steps = child.split("/")
-            rows.append((steps[-1], [parent, *steps]))
-    return small_table(spark, rows, "source string, path array<string>")
+    return small_table(spark, AFFILIATIONS, "source string, path array<string>")
 
 
 def with_affiliation(items: DataFrame, affiliation: DataFrame, source: Column | None = None) -> DataFrame:

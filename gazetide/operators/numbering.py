@@ -16,7 +16,7 @@ def number_rows(df: DataFrame, group: str, order: list[Column], name: str = "row
 
     Rows are range-partitioned by group and order, so a large group spans many tasks; the
     number is the place inside the task plus the rows of the group in earlier tasks. The
-    table of offsets has at most (tasks + groups) rows, which bounds the broadcast.
+    table of offsets has at most (tasks + groups) rows; the planner broadcasts it while small.
     """
     keys = [F.col(group).asc(), *order]
     sorted_rows = cut_lineage(
@@ -30,7 +30,7 @@ def number_rows(df: DataFrame, group: str, order: list[Column], name: str = "row
     )
     return (
         sorted_rows.join(
-            F.broadcast(offsets),
+            offsets,
             F.col(group).eqNullSafe(F.col("_group")) & (F.col("_task") == F.col("_run")),
         )
         .withColumn(name, F.col("_before") + F.col("_id") - F.col("_first") + 1)

@@ -46,10 +46,6 @@ DEFAULT_GENERAL = ["AI", "人工智慧", "生成式AI", "生成式人工智慧",
 DEFAULT_NEGATIVE = ["徵才", "招募", "職缺", "採購", "招標", "決標", "轉知"]
 DEFAULT_HIGH, DEFAULT_POSSIBLE, DEFAULT_PENALTY = 80, 40, 50
 
-# A policy travels inside the plan as literals, so its size is checked.
-MAX_KEYWORDS = 5_000
-
-
 @dataclass(frozen=True)
 class Topic:
     name: str
@@ -68,10 +64,6 @@ class Policy:
     possible: int = DEFAULT_POSSIBLE
     penalty: int = DEFAULT_PENALTY
 
-    def __post_init__(self):
-        if self.keyword_count + len(self.negative) > MAX_KEYWORDS:
-            raise ValueError(f"a policy may hold at most {MAX_KEYWORDS} keywords")
-
     @property
     def keyword_count(self) -> int:
         return len(self.general) + sum(len(t.core) + len(t.supporting) for t in self.topics)

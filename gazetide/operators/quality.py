@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from gazetide.functions.dates import DateRange, iso_day, parse_date
 from gazetide.functions.exprs import key128, let, text_array, with_once
 from gazetide.functions.text import clean_text, is_blank, strip_space, title_key
 from gazetide.functions.urls import normalize_url
-from gazetide.session import cut_lineage
+from gazetide.session import cut_lineage, materialised, shared_folder
 
 # A title with one of these is a notice and no news.
 NON_NEWS_PHRASES = ["事求人機關徵才系統"]
@@ -90,94 +89,83 @@ def exact_dedupe(items: DataFrame) -> DataFrame:
 #
 # A row is dropped when either key belongs to an earlier *kept* row. Seen as a graph, the
 # two keys are nodes and a row is an edge; the result is the matching that a walk over the
-# edges in reading order would pick. Each round keeps every edge that comes first at both
-# of its nodes and drops the edges that touch a kept one, until no edge is left.
-
-_HEAVY_SHARE = 1_000
-
-
-def _without_touched(left: DataFrame, kept: DataFrame, sizes: DataFrame, key: str, heavy_above: int | None) -> DataFrame:
-    """``left`` without edges whose ``key`` node is taken by ``kept``.
-
-    With ``heavy_above`` set, nodes with more rows than that are settled by a broadcast and
-    their rows spread over salts, so that no node's rows meet in one task. Fewer than
-    ``_HEAVY_SHARE`` nodes can be that large, since each holds over 1/_HEAVY_SHARE of all.
-    """
-    taken = kept.select(key)
-    if heavy_above is None:
-        return left.join(taken, key, "left_anti")
-    heavy = (
-        sizes.where(F.col("n") > heavy_above)
-        .select(key)
-        .join(taken.withColumn("_taken", F.lit(True)), key, "left")
-        .withColumn("_heavy", F.lit(True))
-    )
-    marked = left.join(F.broadcast(heavy), key, "left").where(F.col("_taken").isNull())
-    salted = marked.withColumn(
-        "_salt", F.when(F.col("_heavy"), F.pmod(F.hash("ord"), F.lit(_HEAVY_SHARE)) + 1).otherwise(F.lit(0))
-    )
-    return salted.join(taken.withColumn("_salt", F.lit(0)), [key, "_salt"], "left_anti").drop(
-        "_salt", "_heavy", "_taken"
-    )
+# edges in reading order would pick.
+#
+# An edge that comes first at both of its nodes is kept. An edge that only one earlier edge
+# touches is kept exactly if that one is not, so along a chain of such edges the answer
+# follows from its start and the distance to it, which doubling pointers finds in a logarithmic
+# number of joins. What touches a kept edge goes; a round later the rest has fewer neighbours.
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    used_t: set[bytes] = set()
-    used_u: set[bytes] = set()
-    for batch in batches:
-        kept = []
-        for row_ord, t, u in zip(batch["ord"], batch["tkey"], batch["ukey"]):
-            if t not in used_t and u not in used_u:
-                used_t.add(t)
-                used_u.add(u)
-                kept.append(row_ord)
-        yield pd.DataFrame({"ord": kept}, dtype="int64")
+def _chained(edges: DataFrame) -> DataFrame:
+    """``ord``, ``start``, ``odd`` of the edges with one earlier neighbour: the edge at which
+    their chain starts, and whether their distance to it is odd. ``edges``: ord, earlier."""
+    step = cut_lineage(edges.select("ord", F.col("earlier").alias("start"), F.lit(True).alias("odd")))
+    while True:
+        on = step.select(F.col("ord").alias("start"), F.col("start").alias("_next"), F.col("odd").alias("_odd"))
+        if step.join(on, "start", "left_semi").isEmpty():
+            return step
+        step = cut_lineage(
+            step.join(on, "start", "left").select(
+                "ord",
+                F.coalesce("_next", "start").alias("start"),
+                F.when(F.col("_odd").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("_odd")).alias("odd"),
+            )
+        )
 
 
-def first_come(
-    edges: DataFrame, heavy_from: int = 20_000_000, patience: int = 8, short_tail: int = 50_000
-) -> DataFrame:
+def first_come(edges: DataFrame) -> DataFrame:
     """``ord`` of the rows a reader would keep, from columns ord, tkey, ukey.
 
     Copies of the same pair of keys are folded first (map-side), as only the earliest can
-    ever be kept. Rounds go on for as long as they have to; a tail that after ``patience``
-    rounds is provably short (at most ``short_tail`` edges, e.g. one long chain) is walked
-    in a single pass instead.
+    ever be kept. A path of any length takes two rounds; further rounds are for branches.
+    Nodes with very many rows are folded map-side, and their side of a join can be split.
     """
     left = cut_lineage(edges.groupBy("tkey", "ukey").agg(F.min("ord").alias("ord")))
-    found: DataFrame | None = None
-    rounds = 0
-    while True:
-        n = left.count()
-        if n == 0:
-            break
-        if rounds >= patience and n <= short_tail:
-            tail = left.coalesce(1).sortWithinPartitions("ord").mapInPandas(_walk, "ord long")
-            found = tail if found is None else found.unionByName(tail)
-            break
-        by_t = left.groupBy("tkey").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
-        by_u = left.groupBy("ukey").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
-        kept = cut_lineage(by_t.drop("n").join(by_u.drop("n"), "ord"))
-        heavy_above = n // _HEAVY_SHARE if n >= heavy_from else None
-        rest = _without_touched(left, kept, by_t, "tkey", heavy_above)
-        rest = _without_touched(rest, kept, by_u, "ukey", heavy_above)
-        left = cut_lineage(rest.select("tkey", "ukey", "ord"))
-        found = kept.select("ord") if found is None else found.unionByName(kept.select("ord"))
-        rounds += 1
-    return found if found is not None else edges.select("ord").limit(0)
-
-
-def process(items: DataFrame, non_news: list[str] | None = None, **tuning) -> DataFrame:
+    folder = f"{shared_folder(edges.sparkSession)}/first-come-{uuid.uuid4().hex}"
+    edges.select(F.col("ord").cast("long")).limit(0).write.parquet(folder)
+    while not left.isEmpty():
+        by_t = left.groupBy("tkey").agg(F.min("ord").alias("t_first"), F.count("*").alias("t_n"))
+        by_u = left.groupBy("ukey").agg(F.min("ord").alias("u_first"), F.count("*").alias("u_n"))
+        seen = left.join(by_t, "tkey").join(by_u, "ukey")
+        first_t, first_u = F.col("ord") == F.col("t_first"), F.col("ord") == F.col("u_first")
+        seen = cut_lineage(
+            seen.select(
+                "ord", "tkey", "ukey",
+                F.when(first_t & first_u, 0)
+                .when(first_u & (F.col("t_n") == 2), 1)
+                .when(first_t & (F.col("u_n") == 2), 1)
+                .otherwise(2).alias("n_earlier"),
+                F.when(first_t, F.col("u_first")).otherwise(F.col("t_first")).alias("earlier"),
+            )
+        )
+        starts = seen.where("n_earlier = 0").select("ord")
+        chained = _chained(seen.where("n_earlier = 1"))
+        settled = chained.join(starts.withColumnRenamed("ord", "start"), "start", "left_semi")
+        kept = cut_lineage(
+            starts.union(settled.where("not odd").select("ord")).join(seen.select("ord", "tkey", "ukey"), "ord")
+        )
+        kept.select(F.col("ord").cast("long")).write.mode("append").parquet(folder)
+        left = cut_lineage(
+            seen.join(kept.select("tkey"), "tkey", "left_anti")
+            .join(kept.select("ukey"), "ukey", "left_anti")
+            .select("tkey", "ukey", "ord")
+        )
+    return edges.sparkSession.read.schema("ord long").parquet(folder)
+
+
+def process(items: DataFrame, non_news: list[str] | None = None) -> DataFrame:
     """Judge every row: ``verdict`` is kept, invalid_item, excluded_non_news or duplicate.
-    Kept rows carry the cleaned title and the normalised link."""
-    judged = validate(items, non_news)
+    Kept rows carry the cleaned title and the normalised link. Rows are judged once and
+    written to the shared folder."""
+    judged = materialised(validate(items, non_news), "judged")
     source = clean_text(F.col("source"))
     edges = judged.where(F.col("verdict").isNull()).select(
         "ord",
         key128(source, clean_text(F.col("date")), title_key(F.col("title"))).alias("tkey"),
         key128(source, F.col("norm_url")).alias("ukey"),
     )
-    kept = first_come(edges, **tuning).withColumn("_kept", F.lit(True))
+    kept = first_come(edges).withColumn("_kept", F.lit(True))
     return (
         judged.join(kept, "ord", "left")
         .withColumn(

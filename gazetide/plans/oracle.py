@@ -11,9 +11,6 @@ from gazetide.operators.policy import Policy
 from gazetide.operators.digest import DIGEST_COLUMNS
 from gazetide.plans import tables as T
 
-ROUNDS = 14
-
-
 def q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -106,23 +103,24 @@ def judged(source: str, name: str = "judged", date_ok: str | None = None) -> str
 
 
 def greedy(source: str, order: str = "ord") -> str:
-    """CTEs from ``judged`` rows to ``done``: rounds written out, then checked to have left
-    nothing undecided."""
+    """CTEs from ``judged`` rows to ``done``; they need WITH RECURSIVE."""
     ctes = [
         judged(source),
         f"""l0 AS MATERIALIZED (SELECT {order} AS o, source || chr(31) || date || chr(31) || {title_key('ctitle')} AS tk,
       source || chr(31) || nurl AS uk FROM judged WHERE verdict0 IS NULL)""",
     ]
-    for r in range(ROUNDS):
-        ctes.append(f"""k{r} AS MATERIALIZED (SELECT o, tk, uk FROM (SELECT *, min(o) OVER (PARTITION BY tk) AS mt,
-      min(o) OVER (PARTITION BY uk) AS mu FROM l{r}) WHERE o = mt AND o = mu)""")
-        ctes.append(f"""l{r + 1} AS MATERIALIZED (SELECT * FROM l{r} WHERE tk NOT IN (SELECT tk FROM k{r})
-      AND uk NOT IN (SELECT uk FROM k{r}))""")
-    kept = " UNION ALL ".join(f"SELECT o FROM k{r}" for r in range(ROUNDS))
-    ctes.append(f"kept AS MATERIALIZED ({kept})")
+    # A step drops what touches a row kept in the step before, then keeps what comes first
+    # in both groups; it ends when nothing is left.
+    ctes.append("""steps AS (
+  SELECT o, tk, uk, o = min(o) OVER (PARTITION BY tk) AND o = min(o) OVER (PARTITION BY uk) AS kept FROM l0
+  UNION ALL
+  SELECT o, tk, uk, o = min(o) OVER (PARTITION BY tk) AND o = min(o) OVER (PARTITION BY uk) AS kept
+  FROM (SELECT o, tk, uk, bool_or(kept) OVER (PARTITION BY tk) AS t, bool_or(kept) OVER (PARTITION BY uk) AS u FROM steps)
+  WHERE NOT t AND NOT u)""")
+    ctes.append("kept AS MATERIALIZED (SELECT o FROM steps WHERE kept)")
     ctes.append(f"""done AS MATERIALIZED (
   SELECT *, CASE WHEN verdict0 IS NOT NULL THEN verdict0 WHEN {order} IN (SELECT o FROM kept) THEN 'kept'
-      WHEN {order} IN (SELECT o FROM l{ROUNDS}) THEN 'undecided' ELSE 'duplicate' END AS verdict FROM judged)""")
+      ELSE 'duplicate' END AS verdict FROM judged)""")
     return ",\n".join(ctes)
 
 
@@ -392,12 +390,12 @@ def oracle_queries() -> dict[str, str]:
       CASE WHEN bad IS NULL THEN ctitle ELSE title END AS title FROM judged"""
     out["exact_dedupe"] = f"""WITH {ITEMS}, l AS (SELECT * REPLACE ('https://x.test/' || department AS link) FROM items)
       SELECT ord, source, date, title, link FROM (SELECT *, row_number() OVER (PARTITION BY source, date, title, link ORDER BY ord) AS rn FROM l) WHERE rn = 1"""
-    base = f"WITH {ITEMS}, {greedy('items')} "
+    base = f"WITH RECURSIVE {ITEMS}, {greedy('items')} "
     out["greedy_dedupe"] = base + f"SELECT {DONE_COLUMNS} FROM done"
     out["quality_issues"] = base + f"""SELECT d.ord, d.verdict AS issue, d.reason, i.source, i.date, i.department, d.title, i.link, i.category,
       i.summary, i.date_source FROM (SELECT {DONE_COLUMNS} FROM done) d JOIN items i ON i.ord = d.ord WHERE verdict <> 'kept'"""
     out["affiliated_dedupe"] = f"WITH {ITEMS}, {affiliated()} SELECT ord, source, date, title, link FROM survivors"
-    out["affiliated_then_greedy"] = f"""WITH {ITEMS}, {affiliated()}, {greedy('survivors')}
+    out["affiliated_then_greedy"] = f"""WITH RECURSIVE {ITEMS}, {affiliated()}, {greedy('survivors')}
       SELECT source, verdict, count(*) AS item_count FROM done GROUP BY 1, 2"""
     out["agency_path"] = f"""WITH {ITEMS}, {affiliation_cte()},
       j AS (SELECT * REPLACE (source || '／' || department || ' / ' || date_source || '／ ' AS department) FROM items), {path_cte('j')}
@@ -418,7 +416,7 @@ def oracle_queries() -> dict[str, str]:
     out["digest_rows"] = rows + "SELECT * FROM digest"
     out["digest_order"] = rows + f"""SELECT ord, agency, coalesce(src_order, 2147483647) AS src_order, date, department_path, title
       FROM digest LEFT JOIN {SRC_ORDER} c ON c.name = agency"""
-    out["selected_digest"] = f"""WITH {ITEMS}, {WEEK_ITEMS}, {greedy('witems')}, {KEPT_WEEK}, {digest('kitems')}
+    out["selected_digest"] = f"""WITH RECURSIVE {ITEMS}, {WEEK_ITEMS}, {greedy('witems')}, {KEPT_WEEK}, {digest('kitems')}
       SELECT * FROM digest WHERE relevance IN ('高度相關', '可能相關')"""
     tie = "src_order, date, department_path, title, ord"
     sheet = " ".join(f"WHEN {q(a)} THEN {q(s)}" for a, s in T.AGENCY_SHEETS.items())
@@ -530,10 +528,10 @@ def oracle_queries() -> dict[str, str]:
         regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS ts
         FROM pages WHERE NOT regexp_matches(lower(regexp_extract(url, '^([^?#]*)', 1)), 'rss|feed'))))"""
     out["detail_summary"] = f"SELECT page_id, {paragraphs()} AS summary FROM pages"
-    out["detail_enrichment"] = f"""WITH {ITEMS}, d AS (SELECT page_id, {paragraphs()} AS s FROM pages WHERE page_id % 2 = 0)
-      SELECT ord, CASE WHEN ord % 3 = 0 THEN 'web' ELSE source END AS source, 'https://d.test/' || ord % 200 AS link,
-        CASE WHEN ord % 2 = 1 AND summary <> '' THEN summary WHEN ord % 3 = 0 THEN coalesce(s, '') ELSE '' END AS summary
-      FROM items LEFT JOIN d ON d.page_id = ord % 200"""
+    out["detail_enrichment"] = f"""WITH {ITEMS}, d AS (SELECT page_id, {paragraphs()} AS s FROM pages)
+      SELECT ord, CASE WHEN ord % 4 < 2 THEN 'web' ELSE source END AS source, 'https://d.test/' || ord // 4 AS link,
+        CASE WHEN ord % 2 = 1 AND summary <> '' THEN summary WHEN ord % 4 < 2 THEN coalesce(s, '') ELSE '' END AS summary
+      FROM items LEFT JOIN d ON d.page_id = ord // 4"""
     out["legacy_reports"] = f"""SELECT event_id, event_type AS status, CASE WHEN k % 2 = 0 THEN 's' || k ELSE '' END AS failed_sources,
       CAST(CASE WHEN k % 2 = 0 THEN k ELSE 0 END AS BIGINT) AS input_count, CASE WHEN k % 2 = 0 THEN 'invalid_items' ELSE '' END AS alert_reasons,
       CASE WHEN k % 2 = 0 THEN 'a.xlsx' ELSE '' END AS output_file, '' AS report_file FROM (SELECT *, {K} AS k FROM events)"""

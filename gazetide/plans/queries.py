@@ -323,7 +323,10 @@ def digest_table(spark, sf):
     rows = cut_lineage(D.digest_rows(T.items(spark, sf), T.TEST_POLICY, T.affiliation(spark)))
     sheets = D.sheets(rows, T.catalog(spark, sf), T.AGENCY_SHEETS)
     path = f"{shared_folder(spark)}/digest-{uuid.uuid4()}"
-    write_sheets(sheets.withColumn("week_start", F.date_trunc("week", F.to_date("date")).cast("date")), path)
+    dated = cut_lineage(sheets.withColumn("week_start", F.date_trunc("week", F.to_date("date")).cast("date")))
+    # A week written twice holds the second run alone.
+    write_sheets(dated.withColumn("sheet", F.concat("sheet", F.lit("-old"))).where("row_no <= 3"), path)
+    write_sheets(dated, path)
     return spark.read.parquet(path).select(
         F.date_format("week_start", "yyyy-MM-dd").alias("week_start"), "sheet", "row_no", *D.DIGEST_COLUMNS
     )
@@ -562,14 +565,13 @@ def detail_summary(spark, sf):
 @query
 def detail_enrichment(spark, sf):
     """JOIN-6, FIL-7: items without summary get the text of their page."""
-    folder = F.when(F.col("page_id") % 2 == 0, F.lit("https://d.test/")).otherwise(F.lit("https://e.test/"))
-    pages = T.table(spark, sf, "pages").select(
-        F.concat(folder, F.col("page_id").cast("string")).alias("url"), F.col("html").alias("body")
-    )
+    # Four items ask for every page, one of them with a reader and without a summary.
+    address = lambda n: F.concat(F.lit("https://d.test/"), n.cast("string"))
+    pages = T.table(spark, sf, "pages").select(address(F.col("page_id")).alias("url"), F.col("html").alias("body"))
     items = T.items(spark, sf).select(
         "ord",
-        F.when(F.col("ord") % 3 == 0, F.lit("web")).otherwise(F.col("source")).alias("source"),
-        F.concat(F.lit("https://d.test/"), (F.col("ord") % 200).cast("string")).alias("link"),
+        F.when(F.col("ord") % 4 < 2, F.lit("web")).otherwise(F.col("source")).alias("source"),
+        address(F.floor(F.col("ord") / 4)).alias("link"),
         F.when(F.col("ord") % 2 == 0, F.lit("")).otherwise(F.col("summary")).alias("summary"),
     )
     return details.enrich(items, pages, _ARTICLE)

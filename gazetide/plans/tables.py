@@ -15,7 +15,7 @@ from gazetide.functions.outcomes import FAILURE_CLASSES
 from gazetide.functions.text import clean_text
 from gazetide.operators.policy import Policy, Topic
 from gazetide.schemas import as_items
-from gazetide.session import small_table, spread
+from gazetide.session import small_table
 
 FIRST_DAY = "2026-07-27"
 WEEK: DateRange = week_of(dt.date(2026, 8, 3))
@@ -43,14 +43,9 @@ AFFILIATION_PATHS = {
 AGENCY_SHEETS = {"src0": "sheet-a", "src10": "sheet-b", "src13": "sheet-c"}
 
 
-COSTLY_TABLES = ["documents", "pages", "conversations", "orders"]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. Tables whose rows are costly to work on may be one file of one row
-    group, which a scan cannot split."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in COSTLY_TABLES else df
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def first_line(text: Column) -> Column:

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gazetide.functions.exprs import text_array
 from gazetide.functions.dates import DateRange, resolve_range
 from gazetide.operators import affiliation as A
 from gazetide.operators import digest as D
@@ -67,7 +68,9 @@ def run_week(
     selected = C.select_sources(catalog, options.sources)
     routes = C.expand_routes(catalog).join(selected.select("source"), "source", "left_semi")
     of_route = ["src_order", "attempt_no", "aggregate_routes", "coverage_reduced", "url", "kind", "parser", "priority"]
-    fetched = C.latest_captures(captures).drop("url", "kind", "parser", "priority").join(
+    # Only captures of selected routes are looked at.
+    asked = captures.join(routes.select("source", "route_id"), ["source", "route_id"], "left_semi")
+    fetched = C.latest_captures(asked).drop("url", "kind", "parser", "priority").join(
         routes.select("source", "route_id", *of_route), ["source", "route_id"]
     )
     parsed = cut_lineage(extract.parse_captures(fetched, profiles))
@@ -92,6 +95,11 @@ def source_diagnostics(run: WeeklyRun) -> DataFrame:
     return run.results.join(per_source, "source", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
 
 
+def _status(run: WeeklyRun, failed: int, alerts: list[str]) -> str:
+    row = run.sheets.sparkSession.range(1).select(Q.run_status(F.lit(failed), text_array(alerts)).alias("status"))
+    return row.first().status
+
+
 def report(run: WeeklyRun, output_file: str = "") -> dict:
     """The run report. Its parts are bounded by the catalog (a row per selected source or
     route) or are single rows; the rows of the issues stay in a table of their own."""
@@ -107,7 +115,7 @@ def report(run: WeeklyRun, output_file: str = "") -> dict:
         d["route_failure_classes"] = trail.get(d["source"], [])
     failed = sorted(d["source"] for d in diagnostics if d["status"] == "failed")
     alerts = counted.pop("alert_reasons")
-    status = "partial_failure" if failed else "attention" if alerts else "success"
+    status = _status(run, len(failed), alerts)
     pairs = lambda df: {r[0]: r[1] for r in df.collect()}
     summary = P.policy_summary(run.policy)
     finished = dt.datetime.now(dt.timezone.utc)
@@ -161,10 +169,10 @@ def write_run(run: WeeklyRun, options: RunOptions) -> dict:
     base = options.output_dir.rstrip("/")
     report_dir = (options.report_dir or f"{base}/執行紀錄").rstrip("/")
     book = f"{base}/本週新聞整理（{run.days.roc_label()}）"
-    week = F.lit(run.days.start)
-    write_sheets(run.sheets.withColumn("week_start", week), f"{base}/digest")
-    issues = Q.issues(run.processed).withColumn("week_start", week)
-    _by_partition(issues, f"{base}/issues", ["week_start", "issue"])
+    # The week of the run is replaced even if nothing is left to write for it.
+    run.sheets.write.mode("overwrite").partitionBy("sheet").parquet(f"{base}/digest/week_start={run.days.start}")
+    issues = Q.issues(run.processed)
+    issues.write.mode("overwrite").partitionBy("issue").parquet(f"{base}/issues/week_start={run.days.start}")
     topics = P.policy_topics(spark, run.policy)
     tables = {
         D.SHEET_REFERENCE: P.reference_rows(topics, run.policy.general, run.policy.negative),
@@ -183,13 +191,18 @@ def write_run(run: WeeklyRun, options: RunOptions) -> dict:
     return document
 
 
-def _by_partition(df: DataFrame, path: str, columns: list[str]) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*columns).parquet(path)
+def _by_week(df: DataFrame, path: str, column: str) -> None:
+    """Replace the folder of every week in ``df`` as a whole, so that nothing of an earlier
+    run of that week stays; below it, a folder per value of ``column``. Weeks are few."""
+    for (week,) in df.select("week_start").distinct().collect():
+        own = df.where(F.col("week_start").eqNullSafe(F.lit(week))).drop("week_start")
+        name = "__HIVE_DEFAULT_PARTITION__" if week is None else week
+        own.write.mode("overwrite").partitionBy(column).parquet(f"{path}/week_start={name}")
 
 
 def write_sheets(sheets: DataFrame, path: str) -> None:
-    """Digest table by week and sheet; only the partitions of this run are replaced."""
-    _by_partition(sheets, path, ["week_start", "sheet"])
+    """Digest table by week and sheet; the weeks of this run are replaced."""
+    _by_week(sheets, path, "sheet")
 
 
 def export_csv(spark: SparkSession, path: str, sheet: str, target: str) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +34,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; on a local master one is made if none is set."""
+    """The checkpoint folder of the cluster: the setting spark.checkpoint.dir. A local master
+    without it gets one of its own."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is not None:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="gazetide-ckpt-")
     sc.setCheckpointDir(folder)
@@ -54,6 +56,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: made once, read with the columns
+    that are needed. It stays until the folder goes."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """Driver-side rows as a local relation, whose exact size the planner knows, so that a
     join with it is broadcast only while it is small."""
@@ -61,15 +72,3 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     columns = list(zip(*rows)) if rows else [[] for _ in parsed]
     arrays = [pa.array(list(values), to_arrow_type(f.dataType)) for f, values in zip(parsed, columns)]
     return spark.createDataFrame(pa.table(arrays, names=parsed.names), parsed)
-
-
-_SPLIT = 32 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread an input over the cores that is too small for the scan to split: below one
-    scan split per core, by the planner's size of it. Larger inputs are returned as they
-    are, without a shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * _SPLIT else df

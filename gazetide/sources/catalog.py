@@ -8,18 +8,14 @@ from pyspark.sql import functions as F
 from gazetide.functions.urls import url_host
 from gazetide.schemas import CATALOG
 from gazetide.session import small_table
-from gazetide.sources.catalog_values import PER_ROUTE, PUBLISHERS, READ_TOGETHER
+from gazetide.sources.catalog_values import PUBLISHERS
 
 
 def default_catalog(spark: SparkSession) -> DataFrame:
-    rows = []
-    for place, (name, urls) in enumerate(PUBLISHERS):
-        routes = [
-            {"id": i, "url": urls[at], "kind": kind, "parser": parser, "priority": n + 1, "official": True,
-             "coverage_reduced": reduced}
-            for n, (i, at, kind, parser, reduced) in enumerate(PER_ROUTE.get(name, []))
-        ]
-        rows.append((place, name, urls, name in READ_TOGETHER, routes))
+    rows = [
+        (n, p["name"], p["urls"], p["aggregate_routes"], [{**r, "official": True} for r in p["routes"]])
+        for n, p in enumerate(PUBLISHERS)
+    ]
     return small_table(spark, rows, CATALOG)
 
 
@@ -109,8 +105,12 @@ def worklist(jobs: DataFrame) -> DataFrame:
 
 def latest_captures(captures: DataFrame) -> DataFrame:
     """The newest capture of every (source, route); ties go to the greater address, outcome
-    and body so that the choice is repeatable. A partial aggregate: each task sends on at
-    most one capture per route."""
-    recency = F.struct("fetched_at", "url", "status_code", F.xxhash64("body"))
-    newest = captures.groupBy("source", "route_id").agg(F.max_by(F.struct(*captures.columns), recency).alias("_c"))
-    return newest.select("_c.*")
+    and body so that the choice is repeatable. The choice is made on narrow rows, of which
+    each task sends at most one per route; bodies are only joined to it. Captures that
+    agree in all of that are one."""
+    recency = F.struct("fetched_at", "url", "status_code", F.xxhash64("body").alias("body"))
+    marked = captures.withColumn("_recency", recency)
+    newest = marked.groupBy("source", "route_id").agg(F.max("_recency").alias("_newest"))
+    same = marked["_recency"].eqNullSafe(newest["_newest"])
+    chosen = marked.join(newest, ["source", "route_id"]).where(same)
+    return chosen.dropDuplicates(["source", "route_id"]).select(captures.columns)

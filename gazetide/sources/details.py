@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gazetide.functions.exprs import text_array
 from gazetide.functions.text import DETAIL_SUMMARY_LIMIT, cut_trim
-from gazetide.operators.lookup import salted_lookup
 from gazetide.sources.extract import read_detail
 from gazetide.sources.profiles import DETAIL_SELECTORS
 
@@ -31,21 +30,28 @@ def needs_detail(selectors: dict[str, list[str]] | None = None) -> Column:
 
 
 def enrich(items: DataFrame, pages: DataFrame, selectors: dict[str, list[str]] | None = None) -> DataFrame:
-    """Fill empty summaries from detail pages (url, body; one per url); items whose page is
-    absent or unreadable stay as they are. Pages nobody asks for are dropped before they
-    are parsed, and items that need no page take no part in the join."""
+    """Fill empty summaries from detail pages (url, body, and fetched_at where there is one);
+    items whose page is absent or unreadable stay as they are. Of several captures of a page
+    the newest that can be read counts, then the greater body. Pages nobody asks for are
+    dropped before they are parsed, and items that need no page take no part in the join,
+    whose side of the items can be split."""
     wanting = items.where(needs_detail(selectors))
     wanted = wanting.select(F.col("link").alias("url"), "source").distinct()
+    fetched = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
     found = (
         pages.where(F.col("body").isNotNull())
         .join(wanted, "url")
         .select(
             F.col("url").alias("link"), "source",
+            F.struct(fetched.alias("at"), F.xxhash64("body").alias("body")).alias("_recency"),
             detail_summary(F.col("source"), F.col("body"), selectors).alias("_text"),
         )
+        .where(F.col("_text") != "")
+        .groupBy("link", "source")
+        .agg(F.max_by("_text", "_recency").alias("_text"))
     )
     filled = (
-        salted_lookup(wanting, found, ["source", "link"], F.col("ord"), "left")
+        wanting.join(found, ["source", "link"], "left")
         .withColumn("summary", F.coalesce("_text", F.lit("")))
         .select(*items.columns)
     )

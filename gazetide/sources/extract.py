@@ -24,6 +24,7 @@ from gazetide.functions.text import (
     strip_space,
 )
 from gazetide.functions.urls import resolve_url, url_host
+from gazetide.operators.numbering import number_rows
 from gazetide.sources import profiles as P
 from gazetide.sources.markup import flatten_feed, html_text, parse_html, select, select_first
 
@@ -314,20 +315,29 @@ def page_rows(source: Column, layout: Column, url: Column, rows: Column) -> Colu
     return F.transform(rows, look)
 
 
-_CMS_TYPE = "array<struct<publish_up:string,title:string,id:string,jsh_unit:struct<name:string>>>"
-_OPEN_TYPE = "array<struct<`公告日期`:string,`Title`:string,`Source`:string,`資料來源`:string,`內容`:string>>"
-_NEXT_TYPE = (
-    "struct<props:struct<pageProps:struct<data:struct<content:array<struct<data:struct<"
-    "item:array<struct<date:string,label:string,link:string>>>>>>>>>"
-)
+# Fields of the JSON layouts and where they are in an element.
+_CMS_FIELDS = {"publish_up": "$.publish_up", "title": "$.title", "id": "$.id", "unit": "$.jsh_unit.name"}
+_OPEN_FIELDS = {c: f"$['{c}']" for c in ("公告日期", "Title", "Source", "資料來源", "內容")}
+_NEXT_FIELDS = {c: f"$.{c}" for c in ("date", "label", "link")}
+_NEXT_ITEMS = "$.props.pageProps.data.content[0].data.item"
 _NEXT_SCRIPT = r"""(?is)<script[^>]*\bid=["']?__NEXT_DATA__["']?[^>]*>(.*?)</script>"""
 
 
+def json_elements(text: Column, path: str, fields: dict[str, str], closing: str) -> Column:
+    """Elements of the JSON array at ``path`` as structs of strings: NULL if the text is no
+    JSON, does not end with ``closing``, or has no array there; an element that is no object has NULLs."""
+    whole = F.when(F.rtrim(strip_space(text)).endswith(closing), text)
+    elements = F.try_variant_get(F.try_parse_json(whole), path, "array<variant>")
+    return F.transform(
+        elements, lambda e: F.struct(*[F.try_variant_get(e, at, "string").alias(name) for name, at in fields.items()])
+    )
+
+
 def cms_rows(source: Column, rows: Column) -> Column:
     pages = F.create_map(*[F.lit(x) for kv in P.CMS_PAGES.items() for x in kv])
 
     def build(r: Column) -> Column:
-        unit = F.coalesce(strip_space(r["jsh_unit"]["name"]), F.lit(""))
+        unit = F.coalesce(strip_space(r["unit"]), F.lit(""))
         own = (unit == "") | unit.isin(P.CMS_OWN_NAMES)
         return _found(
             r["publish_up"], _nonempty(strip_space(r["title"])),
@@ -411,12 +421,11 @@ def parse_captures(captures: DataFrame, profiles: DataFrame) -> DataFrame:
         .withColumn("_css", F.when(layout == "links", links_css).otherwise(css))
         .withColumn("_page", read_page(F.when(layout.isin(page_layouts), good_body), F.col("_css")))
         .withColumn("_feed", read_feed(F.when(layout == "feed", good_body)))
-        .withColumn("_cms", F.from_json(F.when(layout == "cms_json", good_body), _CMS_TYPE))
-        .withColumn("_open", F.from_json(F.when(layout == "open_data", good_body), _OPEN_TYPE))
+        .withColumn("_cms", json_elements(F.when(layout == "cms_json", good_body), "$", _CMS_FIELDS, "]"))
+        .withColumn("_open", json_elements(F.when(layout == "open_data", good_body), "$", _OPEN_FIELDS, "]"))
         .withColumn("_texts", html_texts(F.transform("_open", lambda r: r["內容"])))
         .withColumn("_script", F.when(layout == "next_data", F.regexp_extract(good_body, _NEXT_SCRIPT, 1)))
-        .withColumn("_next", F.from_json("_script", _NEXT_TYPE))
-        .withColumn("_next", F.get(F.col("_next.props.pageProps.data.content"), F.lit(0))["data"]["item"])
+        .withColumn("_next", json_elements(F.col("_script"), _NEXT_ITEMS, _NEXT_FIELDS, "}"))
     )
     found = (
         F.when(layout == "feed", feed_rows(source, F.col("_feed.rows")))
@@ -474,20 +483,15 @@ def attempts_of(parsed: DataFrame) -> DataFrame:
     )
 
 
-_ROUTE_BITS, _PLACE_BITS = 10, 34
-
-
 def items_of(parsed: DataFrame) -> DataFrame:
-    """Item rows of parsed captures that carry src_order and attempt_no. ``ord`` packs
-    publisher, route and place on the page."""
-    fits = (F.col("attempt_no") < (1 << _ROUTE_BITS)) & (F.col("src_order") < (1 << 16))
-    packed = (
-        F.shiftleft(F.col("src_order").cast("long"), _ROUTE_BITS + _PLACE_BITS)
-        .bitwiseOR(F.shiftleft(F.col("attempt_no").cast("long"), _PLACE_BITS))
-        .bitwiseOR(F.col("_i.pos").cast("long"))
+    """Item rows of parsed captures that carry src_order and attempt_no. ``ord`` numbers them
+    from 0 by publisher, route and place on the page."""
+    rows = parsed.select("source", "route_id", "src_order", "attempt_no", F.explode("items").alias("_i")).withColumn(
+        "_all", F.lit(0)
     )
-    return parsed.select("source", "route_id", "src_order", "attempt_no", F.explode("items").alias("_i")).select(
-        F.when(fits, packed).otherwise(F.raise_error(F.lit("catalog too large for ord"))).alias("ord"),
+    order = [F.col(c).asc() for c in ("src_order", "attempt_no", "source", "route_id", "_i.pos")]
+    return number_rows(rows, "_all", order, "_n").select(
+        (F.col("_n") - 1).cast("long").alias("ord"),
         "source", "route_id",
         *[F.col(f"_i.{c}").alias(c) for c in ("date", "department", "title", "link", "category", "summary", "date_source")],
     )

@@ -59,20 +59,41 @@ def greedy(rows):
     return kept
 
 
-@pytest.mark.parametrize(
-    "tuning", [{}, {"heavy_from": 0}, {"patience": 0, "short_tail": 10_000}, {"patience": 1, "short_tail": 40}]
-)
-def test_first_come_equals_walk(spark, tuning):
-    rng = random.Random(7)
+def as_edges(spark, rows):
+    return spark.createDataFrame(rows, "ord long, t string, u string").select(
+        "ord", F.encode("t", "utf-8").alias("tkey"), F.encode("u", "utf-8").alias("ukey")
+    )
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_first_come_equals_walk(spark, seed):
+    rng = random.Random(seed)
     rows = [(i, f"t{rng.randrange(40)}", f"u{rng.randrange(40)}") for i in rng.sample(range(1000), 300)]
-    # one hot title with many links, one hot link with many titles, and a chain
+    # one hot title with many links, one hot link with many titles, and chains
     rows += [(2000 + i, "hot", f"h{i}") for i in range(150)] + [(3000 + i, f"k{i}", "hotlink") for i in range(150)]
     rows += [(4000 + i, f"c{(i + 1) // 2}", f"d{i // 2}") for i in range(30)]
-    edges = spark.createDataFrame(rows, "ord long, t string, u string").select(
-        "ord", F.encode("t", "utf-8").alias("tkey"), F.encode("u", "utf-8").alias("ukey")
+    rows += [(5000 + o, f"e{(i + 1) // 2}", f"f{i // 2}") for i, o in enumerate(rng.sample(range(60), 60))]
+    assert sorted(r.ord for r in quality.first_come(as_edges(spark, rows)).collect()) == greedy(rows)
+
+
+def test_first_come_of_a_long_chain(spark, monkeypatch):
+    n = 100_000
+    chain = spark.range(n).select(
+        F.col("id").alias("ord"),
+        F.encode(F.concat(F.lit("c"), F.floor((F.col("id") + 1) / 2)), "utf-8").alias("tkey"),
+        F.encode(F.concat(F.lit("d"), F.floor(F.col("id") / 2)), "utf-8").alias("ukey"),
     )
-    got = sorted(r.ord for r in quality.first_come(edges, **tuning).collect())
-    assert got == greedy(rows)
+    hot = spark.range(5000).select(
+        (F.col("id") + n).alias("ord"), F.encode(F.lit("hot"), "utf-8").alias("tkey"),
+        F.encode(F.concat(F.lit("h"), F.col("id")), "utf-8").alias("ukey"),
+    )
+    rounds = []
+    inner = quality._chained
+    monkeypatch.setattr(quality, "_chained", lambda e: rounds.append(1) or inner(e))
+    kept = quality.first_come(chain.union(hot))
+    # Every other row of the chain, and the first of the hot title.
+    assert kept.count() == n // 2 + 1 and kept.where(f"ord < {n} and ord % 2 = 1").isEmpty()
+    assert len(rounds) <= 3
 
 
 def test_first_come_empty(spark):
@@ -137,8 +158,6 @@ def test_policy_from_json(spark, tmp_path):
     rel = relevance.score_items(df, got).first().rel
     assert (rel.score, rel.matched_keywords, rel.excluded_keywords) == (75, ["a\\b", "AI"], ["it's"])
     assert rel.relevance == "可能相關"
-    with pytest.raises(ValueError):
-        policy.Policy("0", (), tuple(f"k{i}" for i in range(6000)), ())
 
 
 def scored(spark, title, source, summary):
