@@ -404,6 +404,11 @@ def oracle_queries() -> dict[str, str]:
     words = ["AI", "of", "the", "Ingre", "nt er", "ü", "çon", "des", "GPU", "que los"]
     out["keyword_hits"] = f"""SELECT doc_id, coalesce(array_to_string({hits('t', words)}, '|'), '') AS hits
       FROM (SELECT doc_id, {match_text('text')} AS t FROM documents)"""
+    out["keyword_hits_table"] = f"""WITH kw AS (SELECT DISTINCT keyword, {match_text('keyword')} AS norm
+        FROM (SELECT split_part(text, ' ', 2) AS keyword FROM documents) WHERE length(keyword) > 7),
+      texts AS (SELECT doc_id AS id, {match_text('text')} AS t FROM documents)
+      SELECT id, keyword FROM texts JOIN kw ON norm <> '' AND CASE WHEN length(norm) <= 4 AND regexp_matches(norm, '^[a-z0-9]+$')
+        THEN list_contains(string_split_regex(t, '[^a-z0-9]+'), norm) ELSE contains(t, norm) END"""
     score = f"WITH {ITEMS}, {scoring('items', T.TEST_POLICY)} "
     out["relevance_score"] = score + f"""SELECT ord, relevance, score, {js('topics')} AS topics, {js('leads')} AS priority_sources,
       {js('words')} AS matched_keywords, {js('exclusions')} AS excluded_keywords, {js('reasons', '；')} AS reasons FROM scored"""
@@ -514,6 +519,21 @@ def oracle_queries() -> dict[str, str]:
         FROM s WHERE k % 5 <> 0 AND k % 3 <> 0"""
     out["source_selection"] = """SELECT pos, source, 'src' IN (substr(source, 1, 3)) AND source IN (SELECT 'src' || s_suppkey FROM supplier) AS known
       FROM (VALUES (0, 'src3'), (1, 'nobody'), (2, 'src1'), (3, 'src7')) v(pos, source)"""
+    out["worklist_places"] = """SELECT row_number() OVER (ORDER BY priority DESC, source) AS place, source, priority
+      FROM (SELECT 'c' || c_custkey AS source, c_custkey % 10 AS priority FROM customer)"""
+    out["numbered_items"] = f"""SELECT row_number() OVER (ORDER BY CAST(route_id[2:] AS BIGINT), pos) - 1 AS ord, route_id, title, link
+      FROM ({layout_items('feed')})"""
+    out["latest_captures"] = """SELECT 'p' || page_id AS route_id, CAST(200 + n AS INTEGER) AS status_code, md5(html) AS body_md5
+      FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seen DESC, n DESC) AS place
+        FROM (SELECT page_id, html, n, page_id * (31 * n + 93) % 101 AS seen FROM pages, range(3) AS r(n))) WHERE place = 1"""
+    out["source_list"] = "SELECT 'src' || s_suppkey AS name FROM supplier"
+    out["capture_gaps"] = """WITH routes AS (
+        SELECT 'src' || s_suppkey AS source, unnest(CASE WHEN s_suppkey % 5 = 0 THEN ['early', 'late', 'later']
+          WHEN s_suppkey % 3 = 0 THEN ['primary', 'alternate-1'] ELSE ['primary'] END) AS route_id FROM supplier),
+      captures AS (SELECT DISTINCT 'src' || c_custkey AS source, CASE WHEN c_custkey % 3 = 0 THEN 'alternate-1' ELSE 'primary' END AS route_id
+        FROM customer)
+      SELECT source, route_id, 'no_capture' AS gap FROM (SELECT * FROM routes EXCEPT SELECT * FROM captures)
+      UNION ALL SELECT source, route_id, 'no_route' FROM (SELECT * FROM captures EXCEPT SELECT * FROM routes)"""
     out["worklist"] = "SELECT 'c' || c_custkey AS source, c_custkey % 10 AS priority FROM customer ORDER BY 2 DESC, 1"
     out["feed_sniff"] = """SELECT page_id, is_feed, CASE WHEN page_id % 11 = 0 THEN 'cms_json' WHEN page_id % 11 = 1 THEN 'row_text'
         WHEN is_feed THEN 'feed' WHEN page_id % 11 = 2 THEN 'dated' WHEN page_id % 5 = 0 THEN 'unsupported' ELSE 'links' END AS reader

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ from gazetide.operators import quality as Q
 from gazetide.operators import relevance as R
 from gazetide.plans import tables as T
 from gazetide.plans.weekly import write_sheets
+from gazetide.operators.numbering import number_rows
 from gazetide.session import cut_lineage, shared_folder
 from gazetide.sources import catalog as C
 from gazetide.sources import details, extract, profiles, reports
@@ -248,6 +250,14 @@ def keyword_hits(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", F.array_join(hits, "|").alias("hits"))
 
 
+@query
+def keyword_hits_table(spark, sf):
+    """JOIN-4 with a table of keywords: long words of all documents, sought in every document."""
+    docs = T.table(spark, sf, "documents")
+    words = docs.select(F.split_part("text", F.lit(" "), F.lit(2)).alias("keyword")).where("char_length(keyword) > 7")
+    return R.keyword_matches(docs.select(F.col("doc_id").alias("id"), "text"), words)
+
+
 @query
 def relevance_score(spark, sf):
     """SCA-13, JOIN-5, AGG-11: classification of every item."""
@@ -486,6 +496,54 @@ def worklist(spark, sf):
     return C.worklist(jobs)
 
 
+@query
+def worklist_places(spark, sf):
+    """SORT-4 with the place of every job."""
+    jobs = T.table(spark, sf, "customer").select(
+        F.lit(0).alias("all"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source"),
+        (F.col("c_custkey") % 10).alias("priority"),
+    )
+    return number_rows(jobs, "all", C.work_order(), "place").select("place", "source", "priority")
+
+
+@query
+def source_list(spark, sf):
+    """SRC-4."""
+    return C.source_names(T.catalog(spark, sf))
+
+
+@query
+def latest_captures(spark, sf):
+    """SRC-5: of three captures of every page the newest."""
+    pages = T.page_captures(spark, sf)
+    page = F.substring("route_id", 2, 20).cast("long")
+    at = lambda n: F.timestamp_seconds(page * (31 * n + 93) % 101)
+    captures = reduce(
+        DataFrame.unionByName, [pages.withColumn("fetched_at", at(n)).withColumn("status_code", F.lit(200 + n)) for n in range(3)]
+    )
+    return C.latest_captures(captures).select("route_id", "status_code", F.md5("body").alias("body_md5"))
+
+
+@query
+def capture_gaps(spark, sf):
+    """JOIN-3: captures without a route, and routes without a capture."""
+    routes = C.expand_routes(T.catalog(spark, sf))
+    k = F.col("c_custkey")
+    captures = T.table(spark, sf, "customer").select(
+        F.concat(F.lit("src"), k.cast("string")).alias("source"),
+        F.when(k % 3 == 0, F.lit("alternate-1")).otherwise(F.lit("primary")).alias("route_id"),
+    )
+    return C.capture_gaps(captures, routes)
+
+
+@query
+def numbered_items(spark, sf):
+    """SET-2: items of all feed captures as one numbered table."""
+    parsed = _parsed(spark, sf, ["feed"]).withColumn("attempt_no", F.lit(1))
+    placed = parsed.withColumn("src_order", F.substring("route_id", 2, 20).cast("long"))
+    return extract.items_of(placed).select("ord", "route_id", "title", "link")
+
+
 @query
 def feed_sniff(spark, sf):
     """SRC-6, SRC-7: reader chosen for every page."""

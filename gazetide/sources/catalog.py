@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetide.functions.urls import url_host
@@ -98,9 +98,14 @@ def select_sources(catalog: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def work_order() -> list[Column]:
+    """Falling priority, then name."""
+    return [F.desc("priority"), F.asc("source")]
+
+
 def worklist(jobs: DataFrame) -> DataFrame:
-    """Jobs by falling priority, then name."""
-    return jobs.orderBy(F.desc("priority"), F.asc("source"))
+    """Jobs in the order of work."""
+    return jobs.orderBy(*work_order())
 
 
 def latest_captures(captures: DataFrame) -> DataFrame:
@@ -114,3 +119,14 @@ def latest_captures(captures: DataFrame) -> DataFrame:
     same = marked["_recency"].eqNullSafe(newest["_newest"])
     chosen = marked.join(newest, ["source", "route_id"]).where(same)
     return chosen.dropDuplicates(["source", "route_id"]).select(captures.columns)
+
+
+def capture_gaps(captures: DataFrame, routes: DataFrame) -> DataFrame:
+    """(source, route_id, gap): routes that nobody captured (``no_capture``) and captures of
+    routes that the catalog does not have (``no_route``)."""
+    have, asked = (df.select("source", "route_id").distinct() for df in (captures, routes))
+    by = ["source", "route_id"]
+    return (
+        asked.join(have, by, "left_anti").withColumn("gap", F.lit("no_capture"))
+        .unionByName(have.join(asked, by, "left_anti").withColumn("gap", F.lit("no_route")))
+    )

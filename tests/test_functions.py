@@ -23,9 +23,9 @@ def test_limits_and_cjk(evaluate):
 def test_department(evaluate):
     got = evaluate(
         text.department_name,
-        ["版權所有： 發布單位:民政司", "1.2.3.4.5", "https://x.test", "WWW.x.test", "A＞B>C", "來源單位"],
+        ["版權所有： 發布單位:民政司", "1.2.3.4.5", "https://x.test", "WWW.x.test", "A＞B>C", "來源單位", "版權\uf92d自：甲", "版權來自:乙"],
     )
-    assert got == ["民政司", "", "", "", "A／B／C", "來源單位"]
+    assert got == ["民政司", "", "", "", "A／B／C", "來源單位", "甲", "乙"]
     alias = evaluate(
         lambda c: text.is_department_alias(F.lit("國發會"), c), ["國發會", "國家發展委員會", "行政院國發會", "綜合處"]
     )

@@ -160,6 +160,17 @@ def test_policy_from_json(spark, tmp_path):
     assert rel.relevance == "可能相關"
 
 
+def test_keyword_matches(spark):
+    texts = ["see the AI（x）", "aiming high", "generative ai, GPU", "", None, "a" * 50_000 + " zz 大語言 模型"]
+    words = ["AI", "gpu", "（X）", "大語言模型", "z", " ", "", None, "aiming high", "AI", "ative ai,g"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    got = relevance.keyword_matches(table, spark.createDataFrame([(w,) for w in words], "keyword string")).collect()
+    normal = table.select("id", relevance.keyword_hits(relevance.match_text(F.col("text")), [w for w in words if w and w.strip()]).alias("h"))
+    want = {(r.id, w) for r in normal.collect() for w in r.h or []}
+    assert sorted((r.id, r.keyword) for r in got) == sorted(want) and len(want) >= 3
+    assert relevance.keyword_matches(table, spark.createDataFrame([], "keyword string")).collect() == []
+
+
 def scored(spark, title, source, summary):
     df = spark.createDataFrame([(title, source, summary)], "title string, source string, summary string")
     return relevance.score_items(df, policy.default_policy()).first().rel

@@ -283,3 +283,30 @@ def test_health(spark):
     assert extra["mute"].failure_class == "source_outage"
     assert {r.failure_class: r.source_count for r in health.failure_class_counts(results).collect()} == {"source_outage": 1}
     assert {r.error_category: r.attempt_count for r in health.error_category_counts(made).collect()} == {"connection": 3}
+
+
+def test_default_catalog_is_as_published(spark):
+    rows = {r.name: r for r in C.default_catalog(spark).collect()}
+    assert len(rows) == 72
+    # Fallback addresses are routes of their own and no addresses of the publisher.
+    for name in ("矯正署", "農業金融署", "漁業署", "社家署", "環境部", "工程會"):
+        assert len(rows[name].urls) == 1 and len(rows[name].routes) == 2
+        assert rows[name].routes[0].url == rows[name].urls[0] != rows[name].routes[1].url
+    assert [r.name for r in rows.values() if r.aggregate_routes] == ["司法院", "財政部"]
+
+
+def test_json_pages_are_strict(spark):
+    cases = {
+        '{"error":"down"}': None, '{"title":"t","publish_up":"2026-08-05","id":1}': None, '[{"title":"t"}] junk': None, "": None, "[]": 0,
+        '[{"title":"t","publish_up":"2026-08-05","id":1},7,"x",null]': 1, ' [{"title":"t","publish_up":"2026-08-05","id":"2"}]\n': 1,
+    }
+    rows = [("國家公園署", f"r{n}", "https://x.test", "json", "nps-json", 1, 200, None, body, 0.1, NOW) for n, body in enumerate(cases)]
+    got = {r.route_id: r for r in extract.parse_captures(spark.createDataFrame(rows, SCHEMA), profiles.default_profiles(spark)).collect()}
+    for n, want in enumerate(cases.values()):
+        assert (None if got[f"r{n}"].failure_class else len(got[f"r{n}"]["items"])) == want, list(cases)[n]
+
+
+def test_capture_gaps(spark):
+    captures = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2")], "source string, route_id string")
+    routes = spark.createDataFrame([("a", "1"), ("a", "2")], "source string, route_id string")
+    assert sorted(tuple(r) for r in C.capture_gaps(captures, routes).collect()) == [("a", "2", "no_capture"), ("b", "2", "no_route")]

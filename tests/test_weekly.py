@@ -108,6 +108,15 @@ def test_write_run(spark, run, tmp_path):
     assert csv.columns == D.HEADINGS and csv.count() == 4
 
 
+def test_a_week_written_again_is_replaced(spark, tmp_path):
+    rows = [(dt.date(2026, 8, 3), s, n) for s in ("a", "b") for n in range(3)] + [(dt.date(2026, 8, 10), "c", 1)]
+    sheets = spark.createDataFrame(rows, "week_start date, sheet string, row_no long")
+    W.write_sheets(sheets, f"{tmp_path}/d")
+    W.write_sheets(sheets.where("sheet = 'b' and row_no = 0"), f"{tmp_path}/d")
+    left = sorted((r.sheet, r.row_no) for r in spark.read.parquet(f"{tmp_path}/d").collect())
+    assert left == [("b", 0), ("c", 1)]
+
+
 def test_bad_parameters_raise_before_any_job(spark):
     with pytest.raises(ValueError):
         W.run_week(None, None, None, None, None, W.RunOptions(date="2026-08-05", end_date="2026-08-06"))
