@@ -19,13 +19,14 @@ MAIL_ZONES = {
     "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00",
 }
 
+# The forms dates are written in.
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _YMD_PATTERNS = [
     r"(?U)^\s*([0-9]{1,4})-\s*([0-9]{1,2})-\s*([0-9]{1,2})$",
     r"(?U)^\s*([0-9]{1,4})/\s*([0-9]{1,2})/\s*([0-9]{1,2})$",
     r"(?U)^\s*([0-9]{1,4})年\s*([0-9]{1,2})月\s*([0-9]{1,2})日$",
 ]
-_ANYWHERE = r"(20\d{2})[-/]([01]?\d)[-/]([0-3]?\d)"
+_ANYWHERE = r"(?s)^.*?(20\d{2})[-/]([01]?\d)[-/]([0-3]?\d).*$"
 _INSTANT = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:\d{2})$"
 _MAIL = (
     r"^\s*(?:([A-Za-z]{3})\s*,)?\s*(\d{1,2})\s+([A-Za-z]{3})\s+(\d{2,4})\s+"
@@ -40,10 +41,21 @@ def ymd(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(text, "yyyy-MM-dd")
 
 
+_MARK = "\u0001"
+
+
+def _groups(c: Column, pattern: str, n: int, body) -> Column:
+    """``body`` of the ``n`` groups of a pattern over the whole text, NULL without a match. One
+    pass rewrites the text to its groups between marks; the text is divided there."""
+    marked = F.regexp_replace(c, pattern, "".join(f"{_MARK}${i}" for i in range(1, n + 1)))
+    return let(
+        F.split(marked, _MARK),
+        lambda g: F.when((F.size(g) == n + 1) & (F.get(g, F.lit(0)) == ""), body(lambda i: F.get(g, F.lit(i)))),
+    )
+
+
 def _from_pattern(c: Column, pattern: str) -> Column:
-    found = c.rlike(pattern)
-    part = [F.regexp_extract(c, pattern, i) for i in (1, 2, 3)]
-    return F.when(found, ymd(*part))
+    return _groups(c, pattern, 3, lambda g: ymd(g(1), g(2), g(3)))
 
 
 def _local_date(ts: Column) -> Column:
@@ -56,33 +68,33 @@ def _instant_date(c: Column) -> Column:
 
 
 def _mail_date(c: Column) -> Column:
-    g = [F.regexp_extract(c, _MAIL, i) for i in range(9)]
-    fields = F.struct(*[x.alias(f"g{i}") for i, x in enumerate(g)])
-
-    def assemble(m: Column) -> Column:
-        short = F.char_length(m.g4)
-        number = m.g4.cast("int")
+    def assemble(g) -> Column:
+        short = F.char_length(g(4))
+        number = g(4).cast("int")
         year = (
             F.when((short == 2) & (number < 50), number + 2000)
             .when(short <= 3, number + 1900)
             .otherwise(number)
         )
-        at = F.instr(F.lit(_MONTHS), F.lower(m.g3))
+        at = F.instr(F.lit(_MONTHS), F.lower(g(3)))
         month = F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
-        zone = F.upper(m.g8)
+        zone = F.upper(g(8))
         named = F.try_element_at(F.create_map(*[F.lit(x) for kv in MAIL_ZONES.items() for x in kv]), zone)
         offset = (
             F.when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
             .when(zone.rlike("^[A-Z]$"), F.lit("+00:00"))
             .otherwise(named)
         )
-        day = ymd(year.cast("string"), month.cast("string"), m.g2)
-        same_day_name = (m.g1 == "") | (F.lower(m.g1) == F.lower(F.date_format(day, "EEE")))
-        clock = F.concat_ws(":", F.lpad(m.g5, 2, "0"), m.g6, F.when(m.g7 == "", F.lit("00")).otherwise(m.g7))
-        stamp = F.try_to_timestamp(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), clock, offset))
-        return F.when(same_day_name, _local_date(stamp))
+        clock = F.concat_ws(":", F.lpad(g(5), 2, "0"), g(6), F.when(g(7) == "", F.lit("00")).otherwise(g(7)))
+
+        def on(day: Column) -> Column:
+            same_day_name = (g(1) == "") | (F.lower(g(1)) == F.lower(F.date_format(day, "EEE")))
+            stamp = F.try_to_timestamp(F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), clock, offset))
+            return F.when(same_day_name, _local_date(stamp))
+
+        return let(ymd(year.cast("string"), month.cast("string"), g(2)), on)
 
-    return F.when(c.rlike(_MAIL), let(fields, assemble))
+    return _groups(c, _MAIL, 8, assemble)
 
 
 def parse_date(c: Column) -> Column:
