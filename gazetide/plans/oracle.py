@@ -320,8 +320,8 @@ def layout_items(layout: str) -> str:
         f"trim(substr({clean('text')}, 1, 4000))" if layout == "feed" else clean("text") if layout == "open_data" else "''"
     )
     return f"""SELECT 'p' || {PAGE} AS route_id, CAST({i} % {T.PER_PAGE} AS INTEGER) AS pos, {date} AS date, {department} AS department,
-  {clean(LINE)} AS title, {link} AS link, '' AS category, {summary} AS summary, 'published' AS date_source
-FROM documents WHERE {PAGE} % 17 <> 0 AND ({PAGE} % 13 <> 0 OR {q(T.PAGE_TEMPLATES[layout][1])} = 'browser')"""
+  {clean('text')} AS title, {link} AS link, '' AS category, {summary} AS summary, 'published' AS date_source
+FROM documents"""
 
 
 def capture_attempts() -> str:
@@ -446,7 +446,7 @@ def oracle_queries() -> dict[str, str]:
     out["date_choices"] = f"""WITH {ITEMS} SELECT date, count(*) AS row_count, '民國' || (year(CAST(date AS DATE)) - 1911) || '/' ||
       month(CAST(date AS DATE)) || '/' || day(CAST(date AS DATE)) AS roc_date FROM items GROUP BY date"""
 
-    tokens = f"list_filter(string_split({LINE}, ' '), lambda w: w <> '')"
+    tokens = f"list_filter(string_split(text, ' '), lambda w: w <> '')"
     topics = f"""topics AS (SELECT doc_id AS topic_no, source || '-' || doc_id AS topic, source AS lead_source,
       list_filter(w, lambda x: length(x) > 6) AS core, list_filter(w, lambda x: length(x) <= 6) AS supporting
       FROM (SELECT *, {unique(tokens)} AS w FROM documents))"""

@@ -564,8 +564,8 @@ def feed_sniff(spark, sf):
     )
 
 
-def _parsed(spark, sf, layouts):
-    return extract.parse_captures(T.captures(spark, sf, layouts), profiles.default_profiles(spark))
+def _parsed(spark, sf, layouts, failing=False):
+    return extract.parse_captures(T.captures(spark, sf, layouts, failing), profiles.default_profiles(spark))
 
 
 def _items_of_layout(layout: str) -> Query:
@@ -588,7 +588,7 @@ ALL_LAYOUTS = list(T.PAGE_TEMPLATES)
 @query
 def capture_attempts(spark, sf):
     """SRC-5, SRC-7, JOIN-3: attempts of captures of every kind in one pass."""
-    parsed = _parsed(spark, sf, ALL_LAYOUTS)
+    parsed = _parsed(spark, sf, ALL_LAYOUTS, failing=True)
     routed = (
         parsed.withColumn("attempt_no", F.lit(1)).withColumn("coverage_reduced", F.lit(False))
         .withColumn("aggregate_routes", F.lit(True))

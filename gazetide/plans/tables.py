@@ -284,7 +284,7 @@ def _json_text(c: Column) -> Column:
 
 def _page_fields() -> dict[str, Column]:
     day = day_of(F.col("doc_id"))
-    title = clean_text(first_line(F.col("text")))
+    title = clean_text(F.col("text"))
     roc_year = (F.year(day) - 1911).cast("string")
     month_day = F.date_format(day, "MM-dd")
     return {
@@ -306,10 +306,10 @@ def _page_fields() -> dict[str, Column]:
     }
 
 
-def captures(spark: SparkSession, sf_dir: str, layouts: list[str]) -> DataFrame:
-    """Pages of eight documents each, rendered in turn in the given layouts. Pages whose
-    number divides by 13 failed with an HTTP status, by 17 with a time-out. ``src_order``
-    and the other route columns are those of one route per page."""
+def captures(spark: SparkSession, sf_dir: str, layouts: list[str], failing: bool = False) -> DataFrame:
+    """Pages of eight documents each, rendered in turn in the given layouts, with the whole text
+    of a document as its title. With ``failing``, pages whose number divides by 13 failed
+    with an HTTP status, by 17 with a time-out."""
     fields = _page_fields()
     page = F.floor(F.col("doc_id") / PER_PAGE)
     names = F.array(*[F.lit(x) for x in layouts])
@@ -339,7 +339,7 @@ def captures(spark: SparkSession, sf_dir: str, layouts: list[str]) -> DataFrame:
         F.lit(None).cast("string"),
         lambda acc, r: F.when(acc.isNull(), r).otherwise(F.concat(acc, comma, r)),
     )
-    broken, late = F.col("page") % 13 == 0, F.col("page") % 17 == 0
+    broken, late = ((F.col("page") % n == 0) & F.lit(failing) for n in (13, 17))
     return pages.withColumn("rows", joined).select(
         source.alias("source"),
         F.concat(F.lit("p"), F.col("page").cast("string")).alias("route_id"),
@@ -371,8 +371,8 @@ def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A policy with a topic per document: words of its first line as keywords."""
-    words = F.array_distinct(F.filter(F.split(first_line(F.col("text")), " "), lambda w: w != ""))
+    """A policy with a topic per document: the words of its text as keywords."""
+    words = F.array_distinct(F.filter(F.split("text", " "), lambda w: w != ""))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("topic_no"),
         F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("topic"),
