@@ -324,6 +324,25 @@ def layout_items(layout: str) -> str:
 FROM documents"""
 
 
+def weekly() -> str:
+    """CTEs of a run: pages with their outcome, the routes that win, the items of the week."""
+    return f"""pages AS (
+  SELECT page, page % {T.WEEK_SOURCES} AS k, page % 17 <> 0 AND page % 13 <> 0 AS ok, n,
+    row_number() OVER (PARTITION BY page % {T.WEEK_SOURCES} ORDER BY page) AS attempt_no,
+    CASE WHEN page % 17 = 0 THEN 'runner_network'
+      WHEN page % 13 = 0 THEN ['access_blocked', 'parser_regression', 'source_outage'][page % 3 + 1] ELSE '' END AS failure_class
+  FROM (SELECT {PAGE} AS page, count(*) AS n FROM documents GROUP BY 1)),
+firsts AS (SELECT k, min(attempt_no) FILTER (ok) AS first_ok, max(attempt_no) FILTER (ok) AS last_ok FROM pages GROUP BY k),
+made AS (SELECT p.*, f.first_ok, f.last_ok FROM pages p JOIN firsts f USING (k)
+  WHERE k % 2 = 0 OR first_ok IS NULL OR attempt_no <= first_ok),
+witems AS (
+  SELECT row_number() OVER (ORDER BY k, m.attempt_no, doc_id) AS ord, 'src' || k AS source, CAST({day('doc_id')} AS VARCHAR) AS date,
+    lang AS department, {clean('text')} AS title, 'https://news.example/a?id=' || doc_id || '&x=1' AS link, '' AS category,
+    trim(substr({clean('text')}, 1, 4000)) AS summary, 'published' AS date_source
+  FROM documents d JOIN made m ON m.page = {PAGE} AND m.ok
+  WHERE {day('doc_id')} BETWEEN DATE '{T.WEEK.start}' AND DATE '{T.WEEK.end}')"""
+
+
 def capture_attempts() -> str:
     layouts = list(T.PAGE_TEMPLATES)
     pick = lambda n: "[" + ", ".join(q(T.PAGE_TEMPLATES[x][n]) for x in layouts) + f"][page % {len(layouts)} + 1]"
@@ -423,6 +442,27 @@ def oracle_queries() -> dict[str, str]:
       FROM digest LEFT JOIN {SRC_ORDER} c ON c.name = agency"""
     out["selected_digest"] = f"""WITH RECURSIVE {ITEMS}, {WEEK_ITEMS}, {greedy('witems')}, {KEPT_WEEK}, {digest('kitems')}
       SELECT * FROM digest WHERE relevance IN ('高度相關', '可能相關')"""
+    run = f"WITH RECURSIVE {weekly()}"
+    out["weekly_run"] = f"""{run}, {affiliated('witems')}, {greedy('survivors')}, {KEPT_WEEK},
+      {digest('kitems').replace(affiliation_cte() + ',', '', 1)}
+      SELECT {', '.join(DIGEST_COLUMNS)} FROM digest"""
+    cats = " ".join(f"WHEN {q(n)} THEN {q(r[0])}" for n, r in FAILURE_CLASSES.items())
+    out["weekly_attempts"] = f"""{run} SELECT 'src' || k AS source, CAST(attempt_no AS INTEGER) AS attempt_no, 'p' || page AS route_id,
+      CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, CASE WHEN ok THEN n ELSE 0 END AS item_count, failure_class,
+      CASE failure_class {cats} ELSE '' END AS error_category FROM made"""
+    out["weekly_diagnostics"] = f"""{run}, tried AS (
+        SELECT k, bool_or(ok) AS won, count(*) AS attempt_count, count(*) FILTER (NOT ok) AS failed_attempts,
+          max(page) FILTER (ok AND attempt_no = CASE WHEN k % 2 = 0 THEN last_ok ELSE first_ok END) AS final_page,
+          coalesce(string_agg(failure_class, ',' ORDER BY attempt_no) FILTER (NOT ok), '') AS route_failure_classes
+        FROM made GROUP BY k),
+      counted AS (SELECT source, count(*) AS n FROM witems GROUP BY 1)
+      SELECT 'src' || k AS source, CASE WHEN won THEN 'success' ELSE 'failed' END AS status, won AND failed_attempts > 0 AS unstable,
+        attempt_count, failed_attempts, coalesce('p' || final_page, '') AS final_route_id, coalesce(c.n, 0) AS item_count,
+        route_failure_classes FROM tried LEFT JOIN counted c ON c.source = 'src' || k"""
+    out["weekly_status"] = """WITH r AS (SELECT user_id % 50 AS run, count(*) FILTER (event_type = 'error' AND user_id < 100) AS failed,
+        count(*) FILTER (event_type = 'click') AS dup, count(*) AS n FROM events GROUP BY 1),
+      a AS (SELECT *, CASE WHEN dup >= 5 AND dup / n >= 0.2 THEN 'duplicate_spike' ELSE '' END AS alerts FROM r)
+      SELECT run, CASE WHEN failed > 0 THEN 'partial_failure' WHEN alerts <> '' THEN 'attention' ELSE 'success' END AS status, alerts FROM a"""
     tie = "src_order, date, department_path, title, ord"
     sheet = " ".join(f"WHEN {q(a)} THEN {q(s)}" for a, s in T.AGENCY_SHEETS.items())
     placed = f"placed AS (SELECT digest.*, coalesce(src_order, 2147483647) AS src_order FROM digest LEFT JOIN {SRC_ORDER} c ON c.name = agency)"

@@ -18,7 +18,8 @@ from gazetide.operators import policy as P
 from gazetide.operators import quality as Q
 from gazetide.operators import relevance as R
 from gazetide.plans import tables as T
-from gazetide.plans.weekly import write_sheets
+from gazetide.plans import weekly as W
+from gazetide.plans.weekly import RunOptions, run_week, write_sheets
 from gazetide.operators.numbering import number_rows
 from gazetide.session import cut_lineage, shared_folder
 from gazetide.sources import catalog as C
@@ -677,3 +678,46 @@ def progress_stream(spark, sf):
     base = f"{shared_folder(spark)}/progress-{uuid.uuid4()}"
     follow(T.run_events_from(events), f"{base}/out", f"{base}/log").awaitTermination()
     return latest(spark.read.parquet(f"{base}/out"))
+
+
+def _weekly(spark, sf):
+    captures, catalog = T.weekly_inputs(spark, sf)
+    options = RunOptions(date="2026-08-05", dedupe_affiliated=True)
+    return run_week(captures, catalog, profiles.default_profiles(spark), T.affiliation(spark), T.TEST_POLICY, options)
+
+
+@query
+def weekly_run(spark, sf):
+    """The run from captures to digest rows: SRC-5, JOIN-3, SET-1, SET-2, FIL-1, WIN-4, WIN-3, PRJ-1."""
+    return _weekly(spark, sf).rows.select(*D.DIGEST_COLUMNS)
+
+
+@query
+def weekly_attempts(spark, sf):
+    """JOIN-3, AGG-12: the attempts that the run made."""
+    return _weekly(spark, sf).made.select("source", "attempt_no", "route_id", "status", "item_count", "failure_class", "error_category")
+
+
+@query
+def weekly_diagnostics(spark, sf):
+    """AGG-3: outcome, attempts, items of the week and failure classes in order, per source."""
+    return W.source_diagnostics(_weekly(spark, sf)).select(
+        "source", "status", "unstable", "attempt_count", "failed_attempts", "final_route_id", "item_count",
+        F.array_join("route_failure_classes", ",").alias("route_failure_classes"),
+    )
+
+
+@query
+def weekly_status(spark, sf):
+    """AGG-9: every user's run judged by its failed sources and its alerts."""
+    events = T.table(spark, sf, "events")
+    per_run = events.groupBy((F.col("user_id") % 50).alias("run")).agg(
+        F.count_if((F.col("event_type") == "error") & (F.col("user_id") < 100)).alias("failed_sources"),
+        F.count_if(F.col("event_type") == "click").alias("duplicate_count"),
+        F.lit(0).cast("long").alias("invalid_count"), F.lit(0).cast("long").alias("excluded_non_news_count"),
+        F.count("*").alias("input_count"),
+    )
+    return Q.with_alerts(per_run).select(
+        "run", Q.run_status(F.col("failed_sources"), F.col("alert_reasons")).alias("status"),
+        F.array_join("alert_reasons", ",").alias("alerts"),
+    )

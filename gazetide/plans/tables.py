@@ -356,6 +356,39 @@ def captures(spark: SparkSession, sf_dir: str, layouts: list[str], failing: bool
     )
 
 
+WEEK_SOURCES = 20
+
+
+def weekly_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(captures, catalog) of a run: feed pages dealt to publishers, each page a route; even
+    publishers have their routes read together, every fifth has a route nobody captured."""
+    page = F.substring("route_id", 2, 20).cast("long")
+    name = lambda k: F.concat(F.lit("src"), k.cast("string"))
+    pages = captures(spark, sf_dir, ["feed"], failing=True).withColumn("source", name(page % WEEK_SOURCES))
+    route = F.struct(
+        F.concat(F.lit("p"), F.col("page").cast("string")).alias("id"),
+        F.concat(F.lit(PAGE_URL), F.col("page").cast("string")).alias("url"), F.lit("rss").alias("kind"),
+        F.lit("standard-rss").alias("parser"), F.col("page").cast("int").alias("priority"), F.lit(True).alias("official"),
+        F.lit(False).alias("coverage_reduced"),
+    )
+    missing = F.struct(
+        F.lit("missing").alias("id"), F.lit(PAGE_URL).alias("url"), F.lit("rss").alias("kind"), F.lit("standard-rss").alias("parser"),
+        F.lit(1_000_000_000).alias("priority"), F.lit(True).alias("official"), F.lit(True).alias("coverage_reduced"),
+    )
+    k = F.col("k")
+    routes = F.when(k % 5 == 0, F.concat("routes", F.array(missing))).otherwise(F.col("routes"))
+    catalog = (
+        table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / PER_PAGE).alias("page")).distinct()
+        .groupBy((F.col("page") % WEEK_SOURCES).alias("k"))
+        .agg(F.collect_list(route).alias("routes"))
+        .select(
+            k.cast("int").alias("src_order"), name(k).alias("name"), F.array().cast("array<string>").alias("urls"),
+            (k % 2 == 0).alias("aggregate_routes"), routes.alias("routes"),
+        )
+    )
+    return pages, catalog
+
+
 def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's web pages as captures of a publisher without a profile. Addresses lose
     their query: "feed" in one would have the page read as a feed."""

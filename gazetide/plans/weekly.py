@@ -90,9 +90,22 @@ def run_week(
 
 
 def source_diagnostics(run: WeeklyRun) -> DataFrame:
-    """Per selected source: outcome, attempts and the items that fell into the week."""
+    """Per selected source: outcome, attempts, the items that fell into the week, and the
+    classes of its failed attempts in their order (at most one per route of the source)."""
     per_source = run.items.groupBy("source").agg(F.count("*").alias("item_count"))
-    return run.results.join(per_source, "source", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
+    trail = (
+        H.failure_trail(run.made)
+        .groupBy("source")
+        .agg(F.array_sort(F.collect_list(F.struct("attempt_no", "failure_class"))).alias("_trail"))
+        .select("source", F.transform("_trail", lambda t: t["failure_class"]).alias("route_failure_classes"))
+    )
+    none = F.array().cast("array<string>")
+    return (
+        run.results.join(per_source, "source", "left")
+        .join(trail, "source", "left")
+        .withColumn("item_count", F.coalesce("item_count", F.lit(0)))
+        .withColumn("route_failure_classes", F.coalesce("route_failure_classes", none))
+    )
 
 
 def _status(run: WeeklyRun, failed: int, alerts: list[str]) -> str:
@@ -107,12 +120,6 @@ def report(run: WeeklyRun, output_file: str = "") -> dict:
     kept = Q.kept_items(run.processed)
     diagnostics = [r.asDict() for r in source_diagnostics(run).collect()]
     attempts = [r.asDict() for r in run.made.orderBy("source", "attempt_no").collect()]
-    trail: dict[str, list[str]] = {}
-    for a in attempts:
-        if a["status"] == "failed":
-            trail.setdefault(a["source"], []).append(a["failure_class"])
-    for d in diagnostics:
-        d["route_failure_classes"] = trail.get(d["source"], [])
     failed = sorted(d["source"] for d in diagnostics if d["status"] == "failed")
     alerts = counted.pop("alert_reasons")
     status = _status(run, len(failed), alerts)
