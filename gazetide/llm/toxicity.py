@@ -6,9 +6,10 @@ text at the rate of the class prior. A numpy classifier minimises the class-prio
 fall below zero by over-fitting and is then driven back. Several classifiers, each with its own
 share of the unlabelled text, are trained in tasks of their own and averaged.
 
-A document is the set of its words and word beginnings. Only features that are commoner among
-the positives than the corpus explains are used, so words that are merely rare add nothing, and
-a long clean text scores like a short one.
+A document is the set of its words and word beginnings. Only features with which a text is toxic
+rather than not, by a likelihood-ratio test, are used, and of those only what explains positives
+that other features leave open; words that are merely rare or shared by copies add nothing, and a
+long clean text scores like a short one.
 
 Training reads a bounded sample (``max_positive``, ``max_unlabelled``, ``max_negative`` rows,
 expected, by a hash of the id; the prior is counted over all labels); scoring reads every whole
@@ -59,6 +60,33 @@ LEAST_SURPRISE = 14.0
 THRESHOLD = 0.7
 
 
+def covering(rows, columns, chosen, n_p: int, most: int = 300):
+    """Of the ``chosen`` columns those that explain the positives best, one after another: a
+    positive counts half as much once more for every one it has. What only a family of
+    copies shares explains nothing that the common marks do not. ``rows``, ``columns``: the
+    cells of the positives."""
+    import numpy as np
+
+    at = np.searchsorted(chosen, columns)
+    known = at < len(chosen)
+    known[known] = chosen[at[known]] == columns[known]
+    rows, at = rows[known], at[known]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    begins = np.searchsorted(at, np.arange(len(chosen) + 1))
+    weight, left, taken = np.ones(n_p), np.ones(len(chosen), bool), []
+    least = max(2.0, 0.005 * n_p)
+    while len(taken) < most and len(chosen):
+        gain = np.where(left, np.bincount(at, weight[rows], len(chosen)), 0.0)
+        best = int(gain.argmax())
+        if gain[best] < least:
+            break
+        taken.append(best)
+        left[best] = False
+        weight[rows[begins[best] : begins[best + 1]]] *= 0.5
+    return chosen[np.sort(np.array(taken, np.int64))]
+
+
 def train(positive, unlabelled, negative, apart, prior: float, most: int = 4096, steps: int = 1000):
     """(features, weights, bias, scale, shift) from lists of feature arrays: positives,
     unlabelled, confirmed clean, and positives kept apart from training. numpy only."""
@@ -83,9 +111,11 @@ def train(positive, unlabelled, negative, apart, prior: float, most: int = 4096,
     both = (count_p + count_u) / (n_p + n_u)
     gain = lambda k, n, r: k * np.log(np.maximum(k / n, 1e-12) / r) + (n - k) * np.log(np.maximum(1 - k / n, 1e-12) / np.maximum(1 - r, 1e-12))
     surprise = 2 * (gain(count_p, n_p, both) + gain(count_u, n_u, both))
-    chosen = np.flatnonzero((rate_p > 2 * rate_u) & (surprise > LEAST_SURPRISE))
+    # Of those, features with which a text is toxic rather than not.
+    chosen = np.flatnonzero((prior * rate_p > 0.5 * rate_u) & (surprise > LEAST_SURPRISE))
     if len(chosen) > most:
-        chosen = np.sort(chosen[np.argsort(-(rate_p - rate_u)[chosen], kind="stable")[:most]])
+        chosen = np.sort(chosen[np.argsort(-surprise[chosen], kind="stable")[:most]])
+    chosen = covering(rows_p, np.searchsorted(candidates, values_p), chosen, n_p)
     features = candidates[chosen]
 
     def matrix(rows, values):
@@ -132,7 +162,7 @@ def train(positive, unlabelled, negative, apart, prior: float, most: int = 4096,
     f1 = 2 * hit / (hit + false + prior)
     best = cuts[f1 >= f1.max() - 1e-9]
     scale = 6 / max(1.0, float(np.median(toxic) - np.median(clean)))
-    shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - scale * (best[0] + best[-1]) / 2)
+    shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - scale * (0.7 * best[0] + 0.3 * best[-1]))
     return features, w, b, scale, shift
 
 
