@@ -1,8 +1,8 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
 Patterns propose spans. Labelers vote on each (yes, no or silent): the shape of the text, a
-gazetteer, a checksum, the words before it, and whether it stands alone. Only the counts of vote
-patterns leave the rows, at most ``3 ** 5`` per kind. Expectation-maximisation over those counts
+gazetteer, a checksum, the words before it, and whether it stands alone. Silence
+is no evidence. Only the counts of vote patterns leave the rows, at most ``3 ** 5`` per kind. Expectation-maximisation over those counts
 estimates how reliable each labeler is; the labels it infers train a logistic span classifier
 whose weights are literals in the plan that scores the spans.
 
@@ -242,21 +242,23 @@ def span_classifier(counts: dict[tuple[int, int], int], rounds: int = 60) -> dic
     """(kind, votes) -> probability that a span is personal data. ``counts``: spans by kind and
     votes, at most ``3 ** 5`` patterns a kind."""
     cells = [(kind, _votes(code), n) for (kind, code), n in sorted(counts.items())]
-    # Expectation-maximisation. Start: labelers are right more often than not.
-    right = [[[0.15, 0.35, 0.5] if y else [0.5, 0.35, 0.15] for y in (0, 1)] for _ in LABELERS]
+    # Expectation-maximisation over the votes that are not silent. Start: labelers are right more
+    # often than not. right[j][y][v // 2]: how often labeler j votes v on class y.
+    right = [[[0.3, 0.7] if y else [0.7, 0.3] for y in (0, 1)] for _ in LABELERS]
     share = [0.5] * len(KINDS)
     posterior = [0.5] * len(cells)
     for _ in range(rounds):
         for c, (kind, votes, _) in enumerate(cells):
             odds = math.log(share[kind] / (1 - share[kind]))
-            odds += sum(math.log(right[j][1][v] / right[j][0][v]) for j, v in enumerate(votes))
+            odds += sum(math.log(right[j][1][v // 2] / right[j][0][v // 2]) for j, v in enumerate(votes) if v != 1)
             posterior[c] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
         for j in range(len(LABELERS)):
             for y in (0, 1):
                 # A few imagined votes keep the start's direction where data are few.
-                have = [5 * x for x in ([0.15, 0.35, 0.5] if y else [0.5, 0.35, 0.15])]
+                have = [5 * x for x in ([0.3, 0.7] if y else [0.7, 0.3])]
                 for c, (_, votes, n) in enumerate(cells):
-                    have[votes[j]] += n * (posterior[c] if y else 1 - posterior[c])
+                    if votes[j] != 1:
+                        have[votes[j] // 2] += n * (posterior[c] if y else 1 - posterior[c])
                 right[j][y] = [x / sum(have) for x in have]
         for kind in range(len(KINDS)):
             own = [(posterior[c], n) for c, (k, _, n) in enumerate(cells) if k == kind]
@@ -264,7 +266,7 @@ def span_classifier(counts: dict[tuple[int, int], int], rounds: int = 60) -> dic
     # The span classifier: logistic regression on votes and kind against the inferred labels.
     size = len(KINDS) + 3 * len(LABELERS)
     weights = [0.0] * size
-    rows = [([kind, *(len(KINDS) + 3 * j + v for j, v in enumerate(votes))], n) for kind, votes, n in cells]
+    rows = [([kind, *(len(KINDS) + 3 * j + v for j, v in enumerate(votes) if v != 1)], n) for kind, votes, n in cells]
     total = sum(n for _, n in rows) or 1
 
     def chance(at: list[int]) -> float:
@@ -279,15 +281,17 @@ def span_classifier(counts: dict[tuple[int, int], int], rounds: int = 60) -> dic
         weights = [w - 2.0 * s for w, s in zip(weights, slope)]
     everything = itertools.product(range(len(KINDS)), range(3 ** len(LABELERS)))
     return {
-        (kind, code): chance([kind, *(len(KINDS) + 3 * j + v for j, v in enumerate(_votes(code)))])
+        (kind, code): chance([kind, *(len(KINDS) + 3 * j + v for j, v in enumerate(_votes(code)) if v != 1)])
         for kind, code in everything
     }
 
 
 def learned(spans: DataFrame) -> dict[tuple[int, int], float]:
     """The classifier, from the vote patterns of all spans of the table ``candidates`` gives."""
+    # An outer explode: the filter that is inferred for the other would make the spans twice.
     cells = (
-        spans.select(F.explode("__spans").alias("s"))
+        spans.select(F.explode_outer("__spans").alias("s"))
+        .where(F.col("s").isNotNull())
         .groupBy(F.col("s")["kind"].alias("kind"), F.col("s")["code"].alias("code"))
         .agg(F.count("*").alias("n"))
         .collect()

@@ -51,7 +51,7 @@ HARD = [
     "4111 1111 1111 1111 4111-1111-1111-1111, 4111111111111111 4111111111111112",
     "+1 (269) 555-3296 4524132264652876 then +49 30 1234567 and +1 2",
     "+1(555)\n123-4567 +12345678\t+123456789.",
-    "call (269) 555-3296 or 078-05-1120; IBAN DE89 3704 0044 0532 0130 00 Mr. John Smith",
+    "call (269) 555-3296, SSN 078-05-1120; IBAN DE89 3704 0044 0532 0130 00 Mr. John Smith",
     "write to john (at) example (dot) com " * 3,
     "日本語 1.2.3.4 日本 " * 400,
     "0" * 3000 + " " + "a" * 5000 + "@" + "9." * 2000,
