@@ -153,6 +153,8 @@ def _keywords(pattern: str) -> frozenset[str]:
     while (inner := re.search(r"\(\?:([^()]*)\)\??", text)) is not None:
         # A group that begins with a space leaves the word before it whole.
         text = text[: inner.start()] + ("" if re.match(r" (?!\?)", inner[1]) else "\0") + text[inner.end() :]
+    # Words around an optional space may be one word.
+    text = re.sub(r"\S+(?: \?\S*)+", " ", text)
     # A word touched by an option, a class or a repeat is not certain.
     text = re.sub(r"\S*[\0?\[\]{}.*+|\\]\S*", " ", text)
     return frozenset(w for w in text.split() if len(w) > 1)

@@ -62,6 +62,52 @@ def test_keywords_are_needed():
         assert all(w in plain for w in rule.keywords), rule
 
 
+def matches(parsed):
+    """Texts that a parsed pattern matches: every branch, every option with and without."""
+    out = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            of = [chr(arg)]
+        elif name == "ANY":
+            of = ["x"]
+        elif name == "IN":
+            of = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+        elif name == "BRANCH":
+            of = [m for b in arg[1] for m in matches(b)]
+        elif name == "SUBPATTERN":
+            of = matches(arg[-1])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            of = [m * n for n in {least, min(most, least + 1)} for m in matches(inner)]
+        else:
+            assert name == "ASSERT_NOT", name
+            continue
+        out = [a + b for a in out for b in dict.fromkeys(of)]
+    return out
+
+
+def test_every_match_passes_the_keywords():
+    for rule in licenses.rules():
+        for text in matches(re._parser.parse(rule.pattern.pattern)):
+            assert rule.pattern.fullmatch(text), (rule, text)
+            assert rule.keywords <= set(text.split()), (rule, text)
+
+
+def test_joined_names():
+    scanner = licenses.Scanner()
+    for name, label in (
+        ("Attribution-ShareAlike 4.0", "cc-by-sa-4.0"),
+        ("Attribution-Share Alike 3.0", "cc-by-sa-3.0"),
+        ("Attribution-NoDerivatives 4.0", "cc-by-nd-4.0"),
+        ("Attribution-NonCommercial 4.0", "cc-by-nc-4.0"),
+        ("Attribution-NonCommercial-ShareAlike 4.0", "cc-by-nc-sa-4.0"),
+        ("Attribution-NonCommercial-NoDerivatives 4.0", "cc-by-nc-nd-4.0"),
+    ):
+        _, _, _, found, score = scanner.scan(f"Creative Commons {name}")
+        assert [d.label for d in found] == [label] and score == 0.7, name
+
+
 def test_suppression():
     d = licenses.Detection
     kept = licenses.suppressed([d("a", 0, 30, 10, 0.5), d("b", 5, 20, 30, 0.9), d("c", 6, 12, 20, 0.8), d("e", 40, 50, 10, 0.5), d("f", 40, 50, 10, 0.5)])
