@@ -21,6 +21,7 @@ gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -44,7 +45,8 @@ BASE = {
     "phone": (r"+", r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 WIDER = {
-    "email": (" at", r"[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+"),
+    # Every match holds one of these, whatever stands before "at".
+    "email": (("at)", "at]", "at )", "at ]"), r"[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+"),
     "card": ("", r"(?<![0-9.])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9.])"),
     "phone": ("(", r"(?<![0-9+])\+?[0-9]{0,3} ?\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     "ssn": ("-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
@@ -74,9 +76,10 @@ CONTEXT = {
 LABELERS = ("shape", "gazetteer", "checksum", "context", "alone")
 
 
-def _places(text: Column, gate: str, pattern: str, digits: bool) -> Column:
-    """Matches of ``pattern`` and the stretches around them, where the text may match."""
-    wanted = text.contains(gate) if gate else F.lit(True)
+def _places(text: Column, gate: str | tuple[str, ...], pattern: str, digits: bool) -> Column:
+    """Matches of ``pattern`` and the stretches around them, where the text may match: it holds
+    one of ``gate``."""
+    wanted = functools.reduce(Column.__or__, (text.contains(g) for g in ([gate] if isinstance(gate, str) else gate)))
     if digits:
         wanted = wanted & text.rlike("[0-9][ 0-9.-]{4}")
     return F.when(

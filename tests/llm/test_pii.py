@@ -82,6 +82,23 @@ def test_wider_spans(spark):
         assert f"{kind}:" in got[10]
 
 
+OBFUSCATED = [
+    "maria(at)beispiel.de",
+    "x[at]y[dot]com",
+    "john (at) example (dot) com",
+    "x [ at ] y [ dot ] com",
+    "escribe: ana( at )correo.es",
+]
+
+
+def test_obfuscated_addresses_need_no_other_words(spark):
+    assert not any(" at" in t.replace("[ at", "").replace("( at", "") for t in OBFUSCATED)
+    got = {r.doc_id: r.spans for r in pii.digest(rows(spark, OBFUSCATED)).collect()}
+    for i, text in enumerate(OBFUSCATED):
+        at = len("escribe: ") if text.startswith("escribe") else 0
+        assert got[i] == f"email:{at}:{len(text)}", text
+
+
 def test_redaction(spark):
     df = spark.createDataFrame(
         [(0, "mail a@b.co now", 15, None), (1, None, 0, "x"), (2, "clean 12 text", 13, "y"), (3, "ab 1.2.3.4 é a@b.co", 19, "")],
