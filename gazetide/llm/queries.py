@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazetide.llm import chat, decontamination, licenses, lm, neardup, neighbours, packing, pii, sharding, sql, toxicity
+from gazetide.llm import (
+    chat, decontamination, licenses, lm, mixing, neardup, neighbours, packing, pii, sharding, sql, toxicity,
+)
 from gazetide.llm.common import table
 from gazetide.session import cut_lineage
 
@@ -63,6 +65,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.formatted(chat.canonical(records))))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mixed(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_neighbours": op2_neighbours,
@@ -74,10 +80,12 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
     "op10_chat": op10_chat,
+    "op13_mixing": op13_mixing,
 }
 SQL: dict[str, str] = {
     "op2_neighbours": sql.OP2,
     "op5_near_duplicates": sql.OP5,
     "op7_decontamination": sql.OP7,
     "op10_chat": sql.OP10,
+    "op13_mixing": sql.OP13,
 }

@@ -130,3 +130,34 @@ SELECT conv_id,
        CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+OP13 = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS HUGEINT) AS size
+    FROM documents
+),
+sources AS (
+    SELECT source, sum(size) AS s, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w
+    FROM sized GROUP BY source
+),
+-- A source is capped if the water level at which it fills up holds less than all words.
+judged AS (
+    SELECT a.source, a.s, a.w, sum(least(3 * b.s * a.w, 3 * a.s * b.w)) < (SELECT sum(s) FROM sources) * a.w AS capped
+    FROM sources a JOIN sources b ON true GROUP BY a.source, a.s, a.w
+),
+level AS (
+    SELECT sum(s) - coalesce(sum(3 * s) FILTER (capped), 0) AS num, greatest(coalesce(sum(w) FILTER (NOT capped), 0), 1) AS den
+    FROM judged
+),
+goals AS (
+    SELECT source, s AS source_size,
+           CASE WHEN capped THEN CAST(3 * s AS DOUBLE) ELSE CAST(w * num AS DOUBLE) / CAST(den AS DOUBLE) END AS target,
+           CASE WHEN s = 0 THEN 0 WHEN capped THEN 3 * 4294967296 ELSE (w * num * 4294967296) // (s * den) END AS step,
+           CAST(concat('0x', substr(md5(concat('mix:', coalesce(source, ''))), 1, 8)) AS HUGEINT) AS shift
+    FROM judged CROSS JOIN level
+),
+line AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS place FROM sized)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(size * ((place * step + shift) // 4294967296 - ((place - 1) * step + shift) // 4294967296) AS BIGINT) AS taken
+FROM line JOIN goals ON line.source IS NOT DISTINCT FROM goals.source
+"""
