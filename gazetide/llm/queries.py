@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetide.llm import (
-    chat, decontamination, licenses, lm, mixing, neardup, neighbours, packing, pii, sharding, sql, toxicity,
+    chat, decontamination, filter_audit, licenses, lm, mixing, neardup, neighbours, packing, pii, sharding, sql, toxicity,
 )
 from gazetide.llm.common import table
 from gazetide.session import cut_lineage
@@ -65,6 +65,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.formatted(chat.canonical(records))))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counters = filter_audit.followed(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+    return filter_audit.report(counters.counts())
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixed(table(spark, sf_dir, "documents")))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
     "op10_chat": op10_chat,
+    "op12_filter_audit": op12_filter_audit,
     "op13_mixing": op13_mixing,
 }
 SQL: dict[str, str] = {
@@ -87,5 +93,6 @@ SQL: dict[str, str] = {
     "op5_near_duplicates": sql.OP5,
     "op7_decontamination": sql.OP7,
     "op10_chat": sql.OP10,
+    "op12_filter_audit": sql.OP12,
     "op13_mixing": sql.OP13,
 }

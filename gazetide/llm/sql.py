@@ -161,3 +161,52 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
        CAST(size * ((place * step + shift) // 4294967296 - ((place - 1) * step + shift) // 4294967296) AS BIGINT) AS taken
 FROM line JOIN goals ON line.source IS NOT DISTINCT FROM goals.source
 """
+
+OP12 = r"""
+WITH docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+),
+flags AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                 max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+first AS (SELECT text, min(doc_id) AS head FROM docs GROUP BY text),
+masks AS (
+    SELECT d.part, coalesce(f.good, 0) AS good, coalesce(f.toxic, 0) AS toxic,
+           CASE WHEN len(d.w) < 100 THEN 1 ELSE 0 END
+           + CASE WHEN 100 * len(list_distinct(d.w)) < 80 * len(d.w) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * (length(d.text) - length(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(d.text) THEN 4 ELSE 0 END
+           + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN d.doc_id > x.head THEN 16 ELSE 0 END AS mask
+    FROM docs d JOIN first x ON x.text = d.text LEFT JOIN flags f ON f.doc_id = d.doc_id
+),
+counts AS (SELECT part, mask, good, toxic, count(*) AS n FROM masks GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS t(letter, own)),
+orders AS (
+    SELECT concat(a.letter, b.letter, c.letter, d.letter, e.letter) AS filter_order,
+           [a.own, b.own, c.own, d.own, e.own] AS owns
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.own + b.own + c.own + d.own + e.own = 31
+      AND len(list_distinct([a.own, b.own, c.own, d.own, e.own])) = 5
+),
+steps AS (
+    SELECT filter_order, s AS step, owns[s] AS own, coalesce(list_sum(owns[1 : s - 1]), 0) AS earlier
+    FROM (SELECT *, unnest(range(1, 6)) AS s FROM orders)
+),
+per_step AS (
+    SELECT c.part, s.filter_order, s.step, s.own,
+           sum(CASE WHEN c.mask & s.own = 0 AND c.mask & s.earlier = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN c.mask & s.own <> 0 AND c.mask & s.earlier = 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN c.mask & s.own <> 0 AND c.mask & s.earlier <> 0 THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN c.mask = s.own THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN c.mask & s.own <> 0 AND c.mask & s.earlier = 0 AND good = 1 THEN n ELSE 0 END) AS good_lost,
+           sum(CASE WHEN c.mask & s.own <> 0 AND c.mask & s.earlier = 0 AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+    FROM counts c CROSS JOIN (SELECT filter_order, step, CAST(own AS BIGINT) AS own, CAST(earlier AS BIGINT) AS earlier FROM steps) s
+    GROUP BY c.part, s.filter_order, s.step, s.own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM per_step
+"""
