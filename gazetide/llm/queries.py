@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazetide.llm import (
-    chat, decontamination, filter_audit, licenses, lm, mixing, neardup, neighbours, packing, pii, sharding, sql, toxicity,
+    alignment, chat, decontamination, filter_audit, licenses, lm, mixing, neardup, neighbours, packing, pii, sharding, sql, toxicity,
 )
 from gazetide.llm.common import table
 from gazetide.session import cut_lineage
@@ -65,6 +65,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.read_back(chat.formatted(chat.canonical(records))))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.aligned(table(spark, sf_dir, "documents"), a, b).documents
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     counters = filter_audit.followed(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
     return filter_audit.report(counters.counts())
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
     "op10_chat": op10_chat,
+    "op11_alignment": op11_alignment,
     "op12_filter_audit": op12_filter_audit,
     "op13_mixing": op13_mixing,
 }
