@@ -13,9 +13,9 @@ group, ranges without a common end stay open as a whole. A tree of small groups
 only open ends, counts and the groups on seams travel, the closed groups stay where they are.
 
 Documents lie in blocks of ``block_bytes`` of text, made by the task that read them, with a
-dictionary of units and pairs each. A block sends its pairs with their numbers of documents, gets
-back the count of each, and prices its documents by units. So what is shuffled for a very common
-pair is one row per block, not one per document.
+dictionary of pairs each. A block sends its pairs with their numbers of documents, gets back the
+count of each, and prices its documents' bags of pairs. So what is counted for a very common pair
+is one row per block, not one per document.
 
 Defined results: a null or empty text, one that is not valid UTF-8, and one whose A or B tokens
 do not spell space+text have no tokens: zeros and an empty column. Rows that repeat a document
@@ -27,12 +27,14 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,14 +46,17 @@ from gazetide.llm.packing import byte_characters
 # A space after something that is no space and before an ASCII character that is not white or a
 # letter from U+00C0 on: A's pattern begins a new piece there, and no piece of B reaches over it.
 CUT = re.compile(rb"(?<=[^ ])(?= [!-~\xc3-\xc9])")
+# Units that begin and end so that they may be laid end to end.
+REGULAR = re.compile(rb"(?s: [!-~\xc3-\xc9](?:(?!\xe2\x96\x81).)*(?<! ))")
 STEP_BYTES = 1 << 20
+HUGE = 1 << 12  # links of a group that are expanded one by one
 FAN = 16  # fragments composed at once
 
 RECORD = (
     "block long, key long, chunk long, chunks long, doc_id long, ok boolean, n_a long, n_b long, n_groups long,"
-    " n_links long, groups_sha256 string, units binary, times binary, closed binary, codes binary, bounded boolean,"
+    " n_links long, groups_sha256 string, bag binary, times binary, closed binary, codes binary, bounded boolean,"
     " prefix_a array<int>, prefix_b array<int>, suffix_a array<int>, suffix_b array<int>,"
-    " pairs binary, documents binary, unit_ends binary, unit_pairs binary, unit_links binary"
+    " pairs binary, documents binary"
 )
 _KINDS = {
     "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(),
@@ -128,12 +133,20 @@ def group_text(groups) -> bytes:
     return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups).encode()
 
 
+class Tokens(NamedTuple):
+    """Tokens of units laid end to end: ids and the byte each one ends at, and the units' ends."""
+
+    a: np.ndarray
+    a_ends: np.ndarray
+    b: np.ndarray
+    b_ends: np.ndarray
+    unit_ends: np.ndarray
+
+
 class Tokenizers:
-    """Tokens of units under both tokenizers, with the byte each one ends at."""
+    """Tokens of units under both tokenizers."""
 
     def __init__(self, a_path: str, b_path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
@@ -150,182 +163,201 @@ class Tokenizers:
             bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
         ]
-
-    def tokens(self, units: list[bytes]) -> list:
-        """(A's, B's) tokens of every unit as lists of (id, end); None where they do not spell it."""
-        texts = [u.decode() for u in units]
-        out = []
-        for unit, a, b in zip(
-            units,
-            self.a.encode_batch_fast(texts, add_special_tokens=False),
-            self.b.encode([t[1:] for t in texts], num_threads=1),
-        ):
-            a = self._placed(unit, a.ids, self.a_bytes)
-            b = self._placed(unit, b, self.b_bytes)
-            out.append(None if a is None or b is None else (a, b))
-        return out
-
-    @staticmethod
-    def _placed(unit: bytes, ids: list[int], spelled: list[bytes]):
-        parts = [spelled[i] for i in ids]
-        if b"".join(parts) != unit:
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
+        # Decimal digits of every id, one after the other.
+        numbers = [str(i).encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.digits = np.frombuffer(b"".join(numbers), np.uint8)
+        self.n_digits = np.array(list(map(len, numbers)))
+        self.first_digit = np.cumsum(self.n_digits) - self.n_digits
+
+    def spelled(self, text: bytes) -> tuple | None:
+        """(A's, B's) ids of a text that begins with a space; None if either does not spell it."""
+        try:
+            whole = text.decode()
+        except UnicodeDecodeError:
             return None
-        ends, end = [], 0
-        for i, part in zip(ids, parts):
-            end += len(part)
-            ends.append((i, end))
-        return ends
+        a = self.a.encode_batch_fast([whole], add_special_tokens=False)[0].ids
+        b = self.b.encode(whole[1:])
+        for ids, parts in ((a, self.a_bytes), (b, self.b_bytes)):
+            if b"".join([parts[i] for i in ids]) != text:
+                return None
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def tokens(self, units: list[bytes]) -> tuple[list[bytes], list[bytes], Tokens]:
+        """(units that are spelled, others, tokens of the former laid end to end). Units that
+        may follow each other are encoded in one go: their edges are cuts there as well."""
+        regular = [u for u in units if REGULAR.fullmatch(u)]
+        together = self.spelled(b"".join(regular)) if regular else None
+        apart = [u for u in units if not REGULAR.fullmatch(u)] if together else units
+        each = [self.spelled(u) for u in apart]
+        good = regular * bool(together) + [u for u, x in zip(apart, each) if x]
+        found = [x for x in [together, *each] if x]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[side] for x in found)]) for side in (0, 1))
+        return good, [u for u, x in zip(apart, each) if not x], Tokens(
+            a, np.cumsum(self.a_sizes[a]), b, np.cumsum(self.b_sizes[b]), np.cumsum([len(u) for u in good], dtype=np.int64)
+        )
+
+    def group_texts(self, t: Tokens, group_a, group_b) -> list[bytes]:
+        """The groups of every unit in decimal."""
+        ids, place = np.concatenate((t.a, t.b)), np.concatenate((2 * group_a, 2 * group_b + 1))
+        order = np.argsort(place, kind="stable")
+        ids, place = ids[order], place[order]
+        last = np.append(place[1:] != place[:-1], True)
+        after = np.where(last, np.where(place % 2, ord(";"), ord("|")), ord(",")).astype(np.uint8)
+        sizes = self.n_digits[ids] + 1
+        ends = np.cumsum(sizes)
+        line = self.digits[
+            np.minimum(np.repeat(self.first_digit[ids] - ends + sizes, sizes) + np.arange(ends[-1]), len(self.digits) - 1)
+        ]
+        line[ends - 1] = after
+        n = np.searchsorted(t.a_ends, t.unit_ends, "right") + np.searchsorted(t.b_ends, t.unit_ends, "right")
+        line, stops = line.tobytes(), ends[n - 1].tolist()
+        return [line[s : e - 1] for s, e in zip([0, *stops], stops)]
+
+
+def linked(t: Tokens, group_a, group_b):
+    """(index of the A token, code, times) of the linked pairs."""
+    n_a, n_b = np.bincount(group_a), np.bincount(group_b)
+    first_b = np.cumsum(n_b) - n_b
+    huge = n_a * n_b > HUGE
+    n = np.where(huge[group_a], 0, n_b[group_a])
+    at_a = np.repeat(np.arange(len(t.a)), n)
+    at_b = np.repeat(first_b[group_a] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    at, code, times = [at_a], [t.a[at_a] << 32 | t.b[at_b]], [np.ones(len(at_a), np.int64)]
+    for g in np.flatnonzero(huge).tolist():  # distinct pairs with their numbers
+        first = int(np.searchsorted(group_a, g))
+        a, of_a = np.unique(t.a[group_a == g], return_counts=True)
+        b, of_b = np.unique(t.b[group_b == g], return_counts=True)
+        for x, m in zip(a.tolist(), of_a.tolist()):
+            at.append(np.full(len(b), first))
+            code.append(x << 32 | b)
+            times.append(m * of_b)
+    if len(at) > 1:
+        at, code, times = (np.concatenate(x) for x in (at, code, times))
+        order = np.argsort(at, kind="stable")
+        return at[order], code[order], times[order]
+    return at[0], code[0], times[0]
 
 
 class Block:
-    """Units, pairs and documents of one block of text."""
-
-    KNOWN = 100_000  # units remembered from earlier blocks
+    """Units and pairs of the documents of one block of text."""
 
-    def __init__(self, tokenizers: Tokenizers, number: int, known: dict):
-        self.tokenizers, self.number, self.known = tokenizers, number, known
+    def __init__(self, tokenizers: Tokenizers, number: int):
+        self.tokenizers, self.number = tokenizers, number
         self.unit_of: dict[bytes, int] = {}
         self.bad: set[int] = set()
         self.texts: list[bytes] = []
         self.sizes = [array("q") for _ in range(4)]  # A tokens, B tokens, groups, links
         self.pair_of: dict[int, int] = {}
-        self.ends, self.pairs, self.links = array("q"), array("i"), array("q")
-        self.documents = array("q")
-
-    def _add(self, name: bytes, entry) -> int:
-        number = self.unit_of[name] = len(self.texts)
-        if entry is None:
-            self.bad.add(number)
-            entry = (0, 0, 0, 0, b"", ())
-        for column, value in zip(self.sizes, entry):
-            column.append(value)
-        self.texts.append(entry[4])
-        for code, times in entry[5]:
-            pair = self.pair_of.get(code)
-            if pair is None:
-                pair = self.pair_of[code] = len(self.documents)
-                self.documents.append(0)
-            self.pairs.append(pair)
-            self.links.append(times)
-        self.ends.append(len(self.pairs))
-        return number
-
-    @staticmethod
-    def _entry(groups):
-        linked: Counter = Counter()
-        for a, b in groups:
-            if len(a) == len(b) == 1:
-                linked[a[0] << 32 | b[0]] += 1
-            else:
-                of_b = Counter(b).items()
-                for x, n in Counter(a).items():
-                    for y, m in of_b:
-                        linked[x << 32 | y] += n * m
-        return (
-            sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups),
-            sum(len(a) * len(b) for a, b in groups), group_text(groups), tuple(linked.items()),
-        )
+        self.ends, self.pairs, self.times = array("q"), array("q"), array("q")
+        self.documents = np.zeros(0, np.int64)
+
+    def _add(self, names: list[bytes], texts: list[bytes], sizes, ends, codes, times) -> None:
+        """More units: their numbers of tokens, groups and links, and where their pairs end."""
+        self.unit_of.update(zip(names, range(len(self.texts), len(self.texts) + len(names))))
+        self.texts.extend(texts)
+        for column, values in zip(self.sizes, sizes):
+            column.frombytes(np.asarray(values, np.int64).tobytes())
+        distinct, inverse = np.unique(codes, return_inverse=True)
+        numbers = [self.pair_of.setdefault(c, len(self.pair_of)) for c in distinct.tolist()]
+        self.ends.frombytes((np.asarray(ends, np.int64) + len(self.pairs)).tobytes())
+        self.pairs.frombytes(np.array(numbers, np.int64)[inverse].tobytes())
+        self.times.frombytes(np.asarray(times, np.int64).tobytes())
 
     def learn(self, units) -> None:
         """Make sure that all ``units`` have a number."""
         new = [u for u in dict.fromkeys(units) if u not in self.unit_of]
-        fresh = [u for u in new if u not in self.known]
-        if len(self.known) + len(fresh) > self.KNOWN:
-            kept = {u: self.known[u] for u in new if u in self.known}
-            self.known.clear()
-            self.known.update(kept)
-        made = {}
-        for unit, both in zip(fresh, self.tokenizers.tokens(fresh)):
-            made[unit] = None if both is None else self._entry(cut_groups(*both)[0])
-        for unit in new:
-            self._add(unit, made[unit] if unit in made else self.known[unit])
-        self.known.update((u, e) for u, e in made.items() if len(u) <= 64)
+        good, bad, t = self.tokenizers.tokens(new) if new else ([], [], None)
+        if good:
+            common = np.intersect1d(t.a_ends, t.b_ends, assume_unique=True)
+            group_a, group_b = np.searchsorted(common, t.a_ends), np.searchsorted(common, t.b_ends)
+            at, codes, times = linked(t, group_a, group_b)
+            n = [np.diff(np.searchsorted(x, t.unit_ends, "right"), prepend=0) for x in (t.a_ends, t.b_ends, common)]
+            ends = np.searchsorted(at, np.cumsum(n[0]))
+            total = np.concatenate(([0], np.cumsum(times)))[ends]
+            texts = self.tokenizers.group_texts(t, group_a, group_b)
+            self._add(good, texts, [*n, np.diff(total, prepend=0)], ends, codes, times)
+        self.bad.update(range(len(self.texts), len(self.texts) + len(bad)))
+        if bad:
+            none = np.zeros(len(bad), np.int64)
+            self._add(bad, [b""] * len(bad), [none] * 4, none, [], [])
 
     def closed(self, groups) -> list[int]:
         """The number of a run of groups that is no unit, as a list; nothing for no groups."""
         if not groups:
             return []
         name = group_text(groups)  # begins with a digit, units begin with a space
-        number = self.unit_of.get(name)
-        return [self._add(name, self._entry(groups)) if number is None else number]
+        if name not in self.unit_of:
+            links: Counter = Counter()
+            for a, b in groups:
+                of_b = Counter(b)
+                for x, n in Counter(a).items():
+                    for y, m in of_b.items():
+                        links[x << 32 | y] += n * m
+            sizes = [sum(len(a) for a, _ in groups), sum(len(b) for _, b in groups), len(groups), sum(links.values())]
+            self._add([name], [name], [[n] for n in sizes], [len(links)], list(links), list(links.values()))
+        return [self.unit_of[name]]
 
     def arrays(self):
-        import numpy as np
-
-        sizes = [np.array(c, np.int64) for c in self.sizes]
+        """sizes, ends, pairs, times as they are now."""
         ends = np.concatenate(([0], np.array(self.ends, np.int64)))
-        return sizes, ends, np.array(self.pairs, np.int64)
-
-    @staticmethod
-    def pairs_of(distinct, ends, pairs):
-        """The pairs linked in any of the ``distinct`` units."""
-        import numpy as np
-
-        first, n = ends[distinct], ends[distinct + 1] - ends[distinct]
-        return np.unique(pairs[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())])
-
-    def record(self, numbers, sizes) -> dict:
-        """Counts of a run of units and the bag of its units."""
-        import numpy as np
-
-        distinct, times = np.unique(numbers, return_counts=True)
-        n = [int((c[distinct] * times).sum()) for c in sizes]
+        return [np.array(c, np.int64) for c in self.sizes], ends, np.array(self.pairs, np.int64), np.array(self.times, np.int64)
+
+    def record(self, numbers, arrays):
+        """Counts of a run of units with the bag of their pairs, and its distinct pairs."""
+        sizes, ends, pairs, times = arrays
+        numbers = np.array(numbers, np.int64)
+        n = [int(c[numbers].sum()) for c in sizes]
+        first, count = ends[numbers], ends[numbers + 1] - ends[numbers]
+        at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        distinct, inverse = np.unique(pairs[at], return_inverse=True)
+        total = np.bincount(inverse, times[at], len(distinct)).astype("<u8")
         return {
             "block": self.number, "ok": True, "n_a": n[0], "n_b": n[1], "n_groups": n[2], "n_links": n[3],
-            "units": np.diff(distinct, prepend=0).astype("<u4").tobytes(), "times": times.astype("<u4").tobytes(),
+            "bag": np.diff(distinct, prepend=0).astype("<u4").tobytes(), "times": total.tobytes(),
         }, distinct
 
-    def dictionary(self) -> dict:
-        import numpy as np
+    def count(self, documents) -> None:
+        """More documents per pair."""
+        documents[: len(self.documents)] += self.documents
+        self.documents = documents
 
+    def dictionary(self) -> dict:
+        documents = np.zeros(len(self.pair_of), np.int64)
+        self.count(documents)
         return {
             "block": self.number,
             "pairs": np.array(list(self.pair_of), "<i8").tobytes(),
-            "documents": np.array(self.documents, "<u4").tobytes(),
-            "unit_ends": np.diff(np.array(self.ends, np.int64), prepend=0).astype("<u4").tobytes(),
-            "unit_pairs": np.array(self.pairs, "<u4").tobytes(),
-            "unit_links": np.array(self.links, "<u8").tobytes(),
+            "documents": documents.astype("<u4").tobytes(),
         }
 
 
-NOTHING = {"ok": False, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "units": b"", "times": b""}
-
-
-def _valid(text: bytes | None) -> bool:
-    try:
-        return bool(text) and text.decode() is not None
-    except UnicodeDecodeError:
-        return False
+NOTHING = {"ok": False, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "bag": b"", "times": b""}
 
 
 def whole_documents(block: Block, rows: list[dict], with_groups: bool) -> Iterator[dict]:
     """Records of documents that are one range each."""
-    import numpy as np
-
-    found = [CUT.split(b" " + r["text"]) if _valid(r["text"]) else None for r in rows]
-    block.learn(u for units in found if units for u in units)
-    sizes, ends, pairs = block.arrays()
-    documents = np.zeros(len(block.documents), np.int64)
+    found = [CUT.split(b" " + r["text"]) if r["text"] else [] for r in rows]
+    block.learn(u for units in found for u in units)
+    arrays = block.arrays()
+    documents = np.zeros(len(block.pair_of), np.int64)
     for row, units in zip(rows, found):
         base = {"block": block.number, "chunks": 1, "chunk": 0, "doc_id": row["doc_id"]}
-        numbers = [block.unit_of[u] for u in units or ()]
-        if not numbers or (block.bad and not block.bad.isdisjoint(numbers)):
-            yield {**base, **NOTHING}
+        numbers = [block.unit_of[u] for u in units]
+        if not numbers or not block.bad.isdisjoint(numbers):
+            yield base | NOTHING
             continue
-        record, distinct = block.record(numbers, sizes)
-        documents[block.pairs_of(distinct, ends, pairs)] += 1
+        record, distinct = block.record(numbers, arrays)
+        documents[distinct] += 1
         text = b";".join([block.texts[i] for i in numbers])
         record["groups_sha256"] = hashlib.sha256(text).hexdigest()
-        yield {**base, **record, "closed": text if with_groups else None}
-    for i in np.flatnonzero(documents).tolist():
-        block.documents[i] += int(documents[i])
+        yield base | record | {"closed": text if with_groups else None}
+    block.count(documents)
 
 
 def byte_ranges(block: Block, rows: list[dict]) -> Iterator[dict]:
     """Fragments of byte ranges of long documents. A row has the units that its range touches
     and, in their bytes, the place after which the range begins and the one it ends at."""
-    import numpy as np
-
     todo = []
     for row in rows:
         units = CUT.split(row["text"])
@@ -338,11 +370,13 @@ def byte_ranges(block: Block, rows: list[dict]) -> Iterator[dict]:
     for row, units, ends, apart in todo:
         base = {k: row[k] for k in ("key", "chunk", "chunks", "doc_id")} | {"block": block.number}
         cut, middle = {}, [block.unit_of[u] for i, u in enumerate(units) if i not in apart]
-        for i, tokens in zip(sorted(apart), block.tokenizers.tokens([units[i] for i in sorted(apart)])):
-            start = ends[i] - len(units[i])
-            cut[i] = tokens and cut_groups(
-                *([(t, start + e) for t, e in side if row["lo"] < start + e <= row["hi"]] for side in tokens)
-            )
+        for i in apart:
+            good, _, t = block.tokenizers.tokens([units[i]])
+            start, sides = ends[i] - len(units[i]), ((t.a, t.a_ends), (t.b, t.b_ends))
+            cut[i] = cut_groups(*(
+                [(x, start + e) for x, e in zip(ids.tolist(), at.tolist()) if row["lo"] < start + e <= row["hi"]]
+                for ids, at in sides
+            )) if good else None
         if None in cut.values() or not block.bad.isdisjoint(middle):
             records.append((base | NOTHING | {"bounded": False, "closed": b""}, []))
             continue
@@ -358,18 +392,14 @@ def byte_ranges(block: Block, rows: list[dict]) -> Iterator[dict]:
         for side, at in (("a", 0), ("b", 1)):
             open_ends |= {f"prefix_{side}": prefix[at], f"suffix_{side}": suffix[at]}
         records.append((base | open_ends, numbers))
-    sizes, ends, pairs = block.arrays()
-    codes = np.array(list(block.pair_of), "<i8")
+    arrays, codes = block.arrays(), np.array(list(block.pair_of), "<i8")
     for base, numbers in records:
         if "ok" in base:
             yield base
             continue
-        record, distinct = block.record(np.array(numbers, np.int64), sizes)
-        yield {
-            **base, **record,
-            "closed": b";".join([block.texts[i] for i in numbers]),
-            "codes": codes[block.pairs_of(distinct, ends, pairs)].tobytes(),
-        }
+        record, distinct = block.record(numbers, arrays)
+        closed = b";".join([block.texts[i] for i in numbers])
+        yield base | record | {"closed": closed, "codes": codes[distinct].tobytes()}
 
 
 def encoded(rows: DataFrame, a_path: str, b_path: str, block_bytes: int, branch: int, with_groups: bool = False) -> DataFrame:
@@ -377,7 +407,7 @@ def encoded(rows: DataFrame, a_path: str, b_path: str, block_bytes: int, branch:
     ranges = "chunk" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers, known = Tokenizers(a_path, b_path), {}
+        tokenizers = Tokenizers(a_path, b_path)
         first, made, size = (TaskContext.get().partitionId() * 2 + branch) << 32, 0, 0
         block = None
         for batch in batches:
@@ -385,7 +415,7 @@ def encoded(rows: DataFrame, a_path: str, b_path: str, block_bytes: int, branch:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step).to_pylist()
                 if block is None:
-                    block, size = Block(tokenizers, first + made, known), 0
+                    block, size = Block(tokenizers, first + made), 0
                     made += 1
                 made_rows = byte_ranges(block, part) if ranges else whole_documents(block, part, with_groups)
                 yield _batch(list(made_rows), RECORD)
@@ -405,8 +435,6 @@ def ranges_of(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         schema = "key long, doc_id long, chunk long, chunks long, lo long, hi long, text binary"
         key = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -482,8 +510,6 @@ def _unpacked(rows: DataFrame, ids: list[str], column: str, name: str, also: str
     """One row per number in the binary ``column``, with its place, and the one of ``also``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
@@ -505,31 +531,16 @@ def _unpacked(rows: DataFrame, ids: list[str], column: str, name: str, also: str
 
 def _priced(left: pa.Table, right: pa.Table) -> pa.Table:
     """Links that are the best of their A id, and sums of counts, of a block's documents."""
-    import numpy as np
-
-    n_pairs = right.num_rows
-    count, best = np.zeros(n_pairs, np.int64), np.zeros(n_pairs, np.int64)
-    if n_pairs:
-        place = right.column("place").to_numpy()
-        count[place] = right.column("n").to_numpy()
-        best[place] = right.column("best").to_numpy(zero_copy_only=False)
-    book = left.filter(pa.compute.is_valid(left.column("pairs"))).to_pylist()[0]
-    ends = np.concatenate(([0], np.cumsum(np.frombuffer(book["unit_ends"], "<u4").astype(np.int64))))
-    pairs = np.frombuffer(book["unit_pairs"], "<u4")
-    links = np.frombuffer(book["unit_links"], "<u8").astype(np.int64)
-
-    def per_unit(value):
-        sums = np.concatenate(([0], np.cumsum(links * value[pairs])))
-        return sums[ends[1:]] - sums[ends[:-1]]
-
-    count, best = per_unit(count), per_unit(best)
-    rows = left.filter(pa.compute.is_null(left.column("pairs")))
+    count, best = np.zeros(right.num_rows, np.int64), np.zeros(right.num_rows, np.int64)
+    place = right.column("place").to_numpy()
+    count[place] = right.column("n").to_numpy()
+    best[place] = right.column("best").to_numpy(zero_copy_only=False)
     sums = []
-    for units, times in zip(rows.column("units").to_pylist(), rows.column("times").to_pylist()):
-        units = np.cumsum(np.frombuffer(units, "<u4").astype(np.int64))
-        times = np.frombuffer(times, "<u4").astype(np.int64)
-        sums.append((int((best[units] * times).sum()), int((count[units] * times).sum())))
-    kept = rows.select(["key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
+    for bag, times in zip(left.column("bag").to_pylist(), left.column("times").to_pylist()):
+        pairs = np.cumsum(np.frombuffer(bag, "<u4").astype(np.int64))
+        times = np.frombuffer(times, "<u8").astype(np.int64)
+        sums.append((int((best[pairs] * times).sum()), int((count[pairs] * times).sum())))
+    kept = left.select(["key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
     return kept.append_column("n_best", pa.array([s[0] for s in sums], pa.int64())).append_column(
         "count_sum", pa.array([s[1] for s in sums], pa.int64())
     )
@@ -566,7 +577,7 @@ class Aligned(NamedTuple):
 
 
 def aligned(
-    docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = 1 << 16, block_bytes: int = 16 << 20,
+    docs: DataFrame, a_path: str, b_path: str, chunk_bytes: int = 1 << 16, block_bytes: int = 8 << 20,
     with_groups: bool = False,
 ) -> Aligned:
     """Alignment of all ``docs`` (doc_id, text) under a byte-level BPE file and a sentencepiece
@@ -612,9 +623,9 @@ def aligned(
         "block", "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("best", F.lit(False)).alias("best")
     )
     sums = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
-    needed = ["block", "key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "times",
-              "pairs", "unit_ends", "unit_pairs", "unit_links"]
-    bags = short.select(*needed).unionByName(ranged.select(*needed)).withColumn("pairs", F.when(F.col("pairs").isNotNull(), F.lit(b"")))
+    bags = short.unionByName(ranged).where("pairs is null").select(
+        "block", "key", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "bag", "times"
+    )
     per_range = bags.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_priced, sums)
     per_range = written(per_range, "align-priced")
     result = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -92,15 +93,50 @@ def test_units_are_encoded_as_in_their_text(whole):
     tokenizers = alignment.Tokenizers(A, B)
     for text in odd_texts(1500, 12)[2:]:
         units = alignment.CUT.split((" " + text).encode())
-        have, at = ([], []), 0
-        for unit, both in zip(units, tokenizers.tokens(units)):
-            for side in (0, 1):
-                have[side].extend((t, at + e) for t, e in (both[side] if both else []))
+        want, at = whole(text), 0
+        have, spelled = ([], []), True
+        for unit in units:
+            good, bad, t = tokenizers.tokens([unit])
+            spelled &= not bad
+            for side, (ids, ends) in enumerate(((t.a, t.a_ends), (t.b, t.b_ends))):
+                have[side].extend((i, at + e) for i, e in zip(ids.tolist(), ends.tolist()))
             at += len(unit)
-        a, b = whole(text)
-        assert (b is None) == any(x is None for x in tokenizers.tokens(units))
-        if b is not None:
-            assert have == (a, b)
+        assert spelled == (None not in want)
+        if spelled:
+            assert have == want
+
+
+def test_units_are_encoded_together_as_alone(whole):
+    tokenizers = alignment.Tokenizers(A, B)
+    units = list(dict.fromkeys(u for t in odd_texts(400, 30)[2:] for u in alignment.CUT.split((" " + t).encode())))
+    good, bad, t = tokenizers.tokens(units)
+    alone = [tokenizers.tokens([u])[2] for u in good]
+    assert set(good) | set(bad) == set(units) and bad
+    for name in ("a", "b"):
+        assert getattr(t, name).tolist() == [i for x in alone for i in getattr(x, name).tolist()]
+
+
+def test_links_of_a_huge_group(monkeypatch, whole):
+    tokenizers = alignment.Tokenizers(A, B)
+    units = list(dict.fromkeys(u for t in odd_texts(200, 30)[2:] for u in alignment.CUT.split((" " + t).encode())))
+
+    def all_links():
+        block = alignment.Block(tokenizers, 0)
+        block.learn(units)
+        numbers = sorted(set(range(len(block.texts))) - block.bad)
+        return [block.record([n], block.arrays())[0] for n in numbers], block
+
+    def decoded(records, block):
+        codes, out = list(block.pair_of), []
+        for r in records:
+            places = np.cumsum(np.frombuffer(r["bag"], "<u4").astype(int)).tolist()
+            out.append((r["n_links"], {codes[p]: n for p, n in zip(places, np.frombuffer(r["times"], "<u8").tolist())}))
+        return out
+
+    plain = decoded(*all_links())
+    monkeypatch.setattr(alignment, "HUGE", 1)
+    assert decoded(*all_links()) == plain
+    assert all(n == sum(links.values()) for n, links in plain)
 
 
 def test_query_against_brute_force(spark, whole):
