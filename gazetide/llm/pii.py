@@ -46,7 +46,7 @@ BASE = {
 }
 WIDER = {
     # Every match holds one of these, whatever stands before "at".
-    "email": (("at)", "at]", "at )", "at ]"), r"[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)+"),
+    "email": (("at)", "at]", "at )", "at ]"), r"[A-Za-z0-9._%+-]++ ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]++(?: ?[\[(] ?dot ?[\])] ?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++"),
     "card": ("", r"(?<![0-9.])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9.])"),
     "phone": ("(", r"(?<![0-9+])\+?[0-9]{0,3} ?\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}(?![0-9-])"),
     "ssn": ("-", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),

@@ -129,3 +129,11 @@ def test_query_against_brute_force(spark):
         assert {f"{k}:{a}:{b}" for k, s in spans.items() for a, b in s} <= set(own)
         found += len(own)
     assert found
+
+
+def test_address_of_very_many_labels(spark):
+    long = "x(at)b" + ".c" * 100_000
+    texts = [long + " y(at)d.e", "x(at)b" + " [dot] c" * 50_000]
+    first, second = pii.digest(rows(spark, texts)).orderBy("doc_id").collect()
+    assert f"email:0:{len(long)}" in first.spans and f"email:{len(long) + 1}:{len(long) + 9}" in first.spans
+    assert second.spans.startswith("email:0:")
