@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazetide.llm.common import unused
 from gazetide.session import cut_lineage
 
 # Bytes that are no part of a word become spaces; A-Z become a-z.
@@ -263,15 +264,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """``docs`` without the contaminated ones. Rows with a null id are judged too: those go by
-    their text."""
-    found = matches(docs, benchmark, window).where(CONTAMINATED)
-    bad = cut_lineage(found.select("doc_id").distinct())
-    clean = docs.join(bad.where("doc_id is not null"), "doc_id", "left_anti").select(docs.columns)
-    if bad.where("doc_id is null").isEmpty():
-        return clean
-    unnamed = docs.where("doc_id is null").withColumn("__key", F.xxhash64("text"))
-    texts = matches(unnamed.select(F.col("__key").alias("doc_id"), "text"), benchmark, window).where(CONTAMINATED)
-    return clean.where("doc_id is not null").union(
-        unnamed.join(texts.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(docs.columns)
-    )
+    """``docs`` without the contaminated rows. Every row goes or stays by its own text, whatever
+    its id is and whether others have it."""
+    key = unused(docs, "__key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = matches(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, window).where(CONTAMINATED)
+    bad = cut_lineage(found.select(F.col("doc_id").alias(key)).distinct())
+    return keyed.join(bad, key, "left_anti").select(docs.columns)
