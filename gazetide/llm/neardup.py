@@ -16,6 +16,9 @@ task. Links are confirmed on full sets. Two documents of one bucket are thus in
 compared, and at 0.8 similarity 32 bands of 4 leave a pair without a bucket with probability
 (1 - 0.8**4)**32, below 1e-7.
 
+Sets are made from the texts of the documents asked for and travel once per pair, in compressed
+shuffles; nothing of their size is stored.
+
 Defined results: null and empty texts have no shingles and stand alone. Rows with a null id
 stand alone, with a null component, and are kept. Rows that repeat an id are each judged by their
 own text. An empty table gives an empty result. Extra columns are ignored.
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gazetide.llm.common import unused
 from gazetide.llm.components import connected_components
 from gazetide.session import cut_lineage
 
@@ -95,7 +99,7 @@ def sketch(shingles, t: int):
 
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (null without words), keys array<long>: one per band."""
+    """doc_id, text_key, n_shingles, set_hash (null without words), keys array<long>: one per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -123,20 +127,45 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(sizes, pa.int64()),
                         pa.array(hashes, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
                     ],
-                    names=["doc_id", "n_shingles", "set_hash", "keys"],
+                    names=["doc_id", "text_key", "n_shingles", "set_hash", "keys"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, set_hash binary, keys array<long>"
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text, F.xxhash64(text)).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, set_hash binary, keys array<long>"
     )
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id, shingles array<long> of the documents in ``ids``."""
+BITMAP = 1 << 20
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns of ``wanted`` (doc_id, ...) for its documents. A bitmap
+    of fixed size drops most texts of other documents before they are shuffled, as long as
+    ``wanted`` is small against it; the join decides."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+    words = (
+        wanted.groupBy(F.floor(place / 64).cast("int").alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("bits"))
+        .collect()
+    )  # at most BITMAP / 64 rows
+    bits = dict(map(tuple, words))
+    if len(bits) < BITMAP // 64:  # every word taken: nothing would be dropped
+        line = ",".join(str(bits.get(i, 0)) for i in range(BITMAP // 64))
+        word = F.get(F.split(F.lit(line), ",").cast("array<bigint>"), F.floor(place / 64).cast("int"))
+        texts = texts.where(F.call_function("shiftright", word, (place % 64).cast("int")).bitwiseAND(1) == 1)
+    return texts.join(wanted, "doc_id")
+
+
+def full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """``texts`` (id, text, more longs) with ``shingles`` array<long> in place of the text."""
+    others = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -145,31 +174,40 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingle_set(text.as_py(), words_of, k).view(np.int64) for text in part.column(1)]
+                sets = [shingle_set(text.as_py(), words_of, k).view(np.int64) for text in part.column(len(others))]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))],
-                    names=["doc_id", "shingles"],
+                    [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))],
+                    names=[*others, "shingles"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles array<long>")
+    return texts.select(*others, "text").mapInArrow(
+        run, ", ".join(f"{c} long" for c in others) + ", shingles array<long>"
+    )
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` whose full sets reach ``percent`` of their union."""
+    """The pairs ``a``, ``b`` whose full sets reach ``percent`` of their union. Texts are shuffled
+    once; the set of ``a`` travels once, the set of ``b`` with its partner once a pair."""
     pairs = cut_lineage(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut_lineage(full_sets(docs, ids, k))
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
+    if pairs.isEmpty():
+        return pairs
+    partners = (
+        pairs.select(F.col("b").alias("doc_id"), "a")
+        .union(pairs.select(F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("a")).distinct())
+        .groupBy("doc_id")
+        .agg(F.collect_list("a").alias("partners"), F.count_if(F.col("a").isNull()).alias("asked"))
+    )
+    texts = texts_of(docs, cut_lineage(partners))
+    left = full_sets(texts.where("asked > 0").select(F.col("doc_id").alias("a"), "text"), k)
+    right = full_sets(texts.select("doc_id", F.explode("partners").alias("a"), "text"), k).select(
+        "a", F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")
+    )
+    both = F.size(F.array_intersect("shingles", "of_b"))
     return cut_lineage(
-        pairs.join(left, "a")
-        .join(right, "b")
-        .where(100 * both >= percent * (F.size("of_a") + F.size("of_b") - both))
+        right.join(left, "a")
+        .where(100 * both >= percent * (F.size("shingles") + F.size("of_b") - both))
         .select("a", "b")
-        .distinct()
     )
 
 
@@ -181,7 +219,9 @@ def tile_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> Dat
     bucket's members are dealt into blocks of about ``TILE`` and every two blocks meet in
     a task of their own, where intersections come from products of incidence tiles. No pair leaves
     a task but links that join two components there, fewer than the task has members."""
-    sets = full_sets(docs, members.select(F.col("id").alias("doc_id")).distinct(), k)
+    if members.isEmpty():
+        return members.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    sets = full_sets(texts_of(docs, members.select(F.col("id").alias("doc_id")).distinct()), k)
     blocks = F.ceil(F.col("c") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
     placed = members.select("key", "id", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
@@ -296,10 +336,8 @@ def link_table(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> Da
     return connected_components(links.union(rest))
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4
-) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``."""
+def judged_rows(docs: DataFrame, k: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_hash, component_id and kept for every row."""
     sketched = cut_lineage(sketches(docs, k, bands, rows))
     labels = link_table(docs, sketched, k, percent)
     heads = (
@@ -310,25 +348,40 @@ def near_duplicates(
         .select("set_hash", F.coalesce("component", "head").alias("component_id"))
     )
     apart = F.col("doc_id").isNull() | F.col("set_hash").isNull()
-    linked = sketched.where(~apart).select("doc_id", "n_shingles", "set_hash").join(heads, "set_hash", "left")
-    out = linked.select("doc_id", "n_shingles", "component_id").union(
-        sketched.where(apart).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    )
-    return out.select(
-        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    columns = ["doc_id", "text_key", "n_shingles", "set_hash"]
+    linked = sketched.where(~apart).select(*columns).join(heads, "set_hash", "left")
+    out = linked.select(*columns, "component_id").union(
+        sketched.where(apart).select(*columns, F.col("doc_id").alias("component_id"))
     )
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4
+) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for every row of ``docs``."""
+    return judged_rows(docs, k, percent, bands, rows).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
-    """``docs`` with one row of each group: the smallest id, and of rows that repeat it the
-    first text. Rows without an id stay."""
-    kept = near_duplicates(docs, k, percent, bands, rows).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
+    """``docs`` with one row of each group: the smallest id. A row is judged by its own text, so
+    of rows that repeat an id some may go and others stay; rows equal in id and words are one, of
+    which the first text stays. Rows without an id stay."""
     names = docs.columns
+    id_, key, group, row = (unused(docs, f"__{x}") for x in ("id", "key", "group", "row"))
+    kept = (
+        judged_rows(docs, k, percent, bands, rows)
+        .where("kept and doc_id is not null")
+        .groupBy(F.col("doc_id").alias(id_), F.coalesce("text_key", F.lit(0)).alias(key))
+        .agg(F.first("set_hash").alias(group))
+    )
+    text = F.col("text").cast("string")
+    first = Window.partitionBy(id_, F.coalesce(group, F.col(key).cast("string").cast("binary"))).orderBy("text")
     return (
-        docs.join(kept, "doc_id", "left_semi")
-        .withColumn("__row", F.row_number().over(first))
-        .where("__row = 1")
+        docs.withColumns({id_: F.col("doc_id").cast("long"), key: F.coalesce(F.xxhash64(text), F.lit(0))})
+        .join(kept, [id_, key])
+        .withColumn(row, F.row_number().over(first))
+        .where(F.col(row) == 1)
         .select(names)
         .union(docs.where("doc_id is null").select(names))
     )

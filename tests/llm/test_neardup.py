@@ -80,3 +80,22 @@ def test_sketch_fills_and_estimates():
     b = np.concatenate((a[:800], rng.integers(0, 2**63, 100, dtype=np.uint64)))
     agree = np.mean(neardup.sketch(a, 512) == neardup.sketch(b, 512))
     assert abs(agree - 0.8) < 0.1
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    x, y = "a b c d e f g", "other words that are alone here now"
+    rows = [(5, x), (5, y), (1, x), (6, y + " z"), (7, "p q r s t u"), (7, "P Q R s t u"), (7, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = neardup.without_near_duplicates(df, k=4, percent=80)
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(
+        map(str, [(5, y), (1, x), (7, "P Q R s t u"), (7, None)])
+    )
+
+
+def test_bitmap_drops_only_other_documents(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('t', id) as text")
+    wanted = docs.where("doc_id % 7 = 0").selectExpr("doc_id", "doc_id + 1 as more")
+    for bits in (64, 1 << 12, 1 << 20):
+        monkeypatch.setattr(neardup, "BITMAP", bits)
+        got = {(r.doc_id, r.text, r.more) for r in neardup.texts_of(docs, wanted).collect()}
+        assert got == {(i, f"t{i}", i + 1) for i in range(0, 3000, 7)}
