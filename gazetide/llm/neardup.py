@@ -365,22 +365,24 @@ def near_duplicates(
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
     """``docs`` with one row of each group: the smallest id. A row is judged by its own text, so
-    of rows that repeat an id some may go and others stay; rows equal in id and words are one, of
-    which the first text stays. Rows without an id stay."""
+    of rows that repeat an id some may go and others stay; of rows equal in id and words one
+    stays, the one whose text has the smallest hash. Rows without an id stay. That is decided on
+    narrow rows; texts are shuffled once."""
     names = docs.columns
-    id_, key, group, row = (unused(docs, f"__{x}") for x in ("id", "key", "group", "row"))
+    id_, key, row = (unused(docs, f"__{x}") for x in ("id", "key", "row"))
     kept = (
         judged_rows(docs, k, percent, bands, rows)
         .where("kept and doc_id is not null")
-        .groupBy(F.col("doc_id").alias(id_), F.coalesce("text_key", F.lit(0)).alias(key))
-        .agg(F.first("set_hash").alias(group))
+        .withColumn("text_key", F.coalesce("text_key", F.lit(0)))
+        .groupBy(F.col("doc_id").alias(id_), F.coalesce("set_hash", F.col("text_key").cast("string").cast("binary")))
+        .agg(F.min("text_key").alias(key))
+        .select(id_, key)
     )
-    text = F.col("text").cast("string")
-    first = Window.partitionBy(id_, F.coalesce(group, F.col(key).cast("string").cast("binary"))).orderBy("text")
+    text_key = F.coalesce(F.xxhash64(F.col("text").cast("string")), F.lit(0))
     return (
-        docs.withColumns({id_: F.col("doc_id").cast("long"), key: F.coalesce(F.xxhash64(text), F.lit(0))})
-        .join(kept, [id_, key])
-        .withColumn(row, F.row_number().over(first))
+        docs.withColumns({id_: F.col("doc_id").cast("long"), key: text_key})
+        .join(kept, [id_, key], "left_semi")
+        .withColumn(row, F.row_number().over(Window.partitionBy(id_, key).orderBy(id_)))
         .where(F.col(row) == 1)
         .select(names)
         .union(docs.where("doc_id is null").select(names))
