@@ -114,29 +114,39 @@ def _chained(edges: DataFrame) -> DataFrame:
         )
 
 
+def _placed(edges: DataFrame, key: str, name: str) -> DataFrame:
+    """With the first ``ord`` at the node of ``key``, and the edge's place there: 0 first, 1 second, 2
+    later. Both come from partial aggregates of numbers."""
+    first, second, place = f"{name}_first", f"{name}_second", f"{name}_place"
+    with_first = edges.join(edges.groupBy(key).agg(F.min("ord").alias(first)), key)
+    seconds = (
+        with_first.where(F.col("ord") > F.col(first)).groupBy(F.col(key).alias("_key")).agg(F.min("ord").alias(second))
+    )
+    at = F.when(F.col("ord") == F.col(first), 0).when(F.col("ord") == F.col(second), 1).otherwise(2)
+    return with_first.join(seconds, F.col(key) == F.col("_key"), "left").withColumn(place, at).drop("_key", second)
+
+
 def first_come(edges: DataFrame) -> DataFrame:
     """``ord`` of the rows a reader would keep, from columns ord, tkey, ukey.
 
     Copies of the same pair of keys are folded first (map-side), as only the earliest can
-    ever be kept. A path of any length takes two rounds; further rounds are for branches.
+    ever be kept. A path of any length takes two rounds, whatever later rows hang on its nodes;
+    further rounds are for rows with several earlier neighbours.
     Nodes with very many rows are folded map-side, and their side of a join can be split.
     """
     left = cut_lineage(edges.groupBy("tkey", "ukey").agg(F.min("ord").alias("ord")))
     folder = f"{shared_folder(edges.sparkSession)}/first-come-{uuid.uuid4().hex}"
     edges.select(F.col("ord").cast("long")).limit(0).write.parquet(folder)
     while not left.isEmpty():
-        by_t = left.groupBy("tkey").agg(F.min("ord").alias("t_first"), F.count("*").alias("t_n"))
-        by_u = left.groupBy("ukey").agg(F.min("ord").alias("u_first"), F.count("*").alias("u_n"))
-        seen = left.join(by_t, "tkey").join(by_u, "ukey")
-        first_t, first_u = F.col("ord") == F.col("t_first"), F.col("ord") == F.col("u_first")
+        seen = _placed(_placed(left, "tkey", "t"), "ukey", "u")
+        # Exactly one earlier neighbour: first at one node and second at the other.
         seen = cut_lineage(
             seen.select(
                 "ord", "tkey", "ukey",
-                F.when(first_t & first_u, 0)
-                .when(first_u & (F.col("t_n") == 2), 1)
-                .when(first_t & (F.col("u_n") == 2), 1)
+                F.when(F.expr("t_place = 0 and u_place = 0"), 0)
+                .when(F.expr("t_place + u_place = 1"), 1)
                 .otherwise(2).alias("n_earlier"),
-                F.when(first_t, F.col("u_first")).otherwise(F.col("t_first")).alias("earlier"),
+                F.when(F.col("t_place") == 0, F.col("u_first")).otherwise(F.col("t_first")).alias("earlier"),
             )
         )
         starts = seen.where("n_earlier = 0").select("ord")

@@ -96,6 +96,25 @@ def test_first_come_of_a_long_chain(spark, monkeypatch):
     assert len(rounds) <= 3
 
 
+def test_first_come_of_a_chain_with_later_rows_on_every_node(spark, monkeypatch):
+    n = 10_000
+    place = F.col("id")
+    node = lambda name, at: F.encode(F.concat(F.lit(name), F.floor(at / 2)), "utf-8")
+    chain = spark.range(n).select(place.alias("ord"), node("c", place + 1).alias("tkey"), node("d", place).alias("ukey"))
+    own = F.encode(F.concat(F.lit("own"), place), "utf-8")
+    later = spark.range(n).select(
+        (place + n).alias("ord"),
+        F.when(place % 2 == 0, node("c", place)).otherwise(own).alias("tkey"),
+        F.when(place % 2 == 0, own).otherwise(node("d", place)).alias("ukey"),
+    )
+    rounds = []
+    inner = quality._chained
+    monkeypatch.setattr(quality, "_chained", lambda e: rounds.append(1) or inner(e))
+    kept = quality.first_come(chain.union(later))
+    assert kept.count() == n // 2 and kept.where(f"ord >= {n} or ord % 2 = 1").isEmpty()
+    assert len(rounds) <= 2
+
+
 def test_first_come_empty(spark):
     edges = spark.createDataFrame([], "ord long, tkey binary, ukey binary")
     assert quality.first_come(edges).count() == 0
