@@ -423,10 +423,15 @@ def oracle_queries() -> dict[str, str]:
     words = ["AI", "of", "the", "Ingre", "nt er", "ü", "çon", "des", "GPU", "que los"]
     out["keyword_hits"] = f"""SELECT doc_id, coalesce(array_to_string({hits('t', words)}, '|'), '') AS hits
       FROM (SELECT doc_id, {match_text('text')} AS t FROM documents)"""
-    out["keyword_hits_table"] = f"""WITH kw AS (SELECT DISTINCT keyword, {match_text('keyword')} AS norm
-        FROM (SELECT split_part(text, ' ', 2) AS keyword FROM documents) WHERE length(keyword) > 7),
-      texts AS (SELECT doc_id AS id, {match_text('text')} AS t FROM documents)
-      SELECT id, keyword FROM texts JOIN kw ON norm <> '' AND CASE WHEN length(norm) <= 4 AND regexp_matches(norm, '^[a-z0-9]+$')
+    out["keyword_hits_table"] = f"""WITH kw AS (SELECT keyword, {match_text('keyword')} AS norm
+        FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS keyword FROM documents) WHERE length(keyword) > 7),
+      texts AS (SELECT doc_id AS id, {match_text('text')} AS t FROM documents),
+      -- Texts meet keywords by their first 8 characters; the few that are shorter without white space one by one.
+      places AS (SELECT id, t, unnest(range(1, length(t) - 6)) AS i FROM texts)
+      SELECT DISTINCT id, keyword FROM places JOIN kw ON length(norm) >= 8 AND substr(t, i, 8) = substr(norm, 1, 8)
+        AND substr(t, i, length(norm)) = norm
+      UNION ALL SELECT id, keyword FROM texts JOIN kw ON length(norm) < 8 AND norm <> ''
+        AND CASE WHEN length(norm) <= 4 AND regexp_matches(norm, '^[a-z0-9]+$')
         THEN list_contains(string_split_regex(t, '[^a-z0-9]+'), norm) ELSE contains(t, norm) END"""
     score = f"WITH {ITEMS}, {scoring('items', T.TEST_POLICY)} "
     out["relevance_score"] = score + f"""SELECT ord, relevance, score, {js('topics')} AS topics, {js('leads')} AS priority_sources,

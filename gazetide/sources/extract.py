@@ -323,11 +323,15 @@ _NEXT_ITEMS = "$.props.pageProps.data.content[0].data.item"
 _NEXT_SCRIPT = r"""(?is)<script[^>]*\bid=["']?__NEXT_DATA__["']?[^>]*>(.*?)</script>"""
 
 
-def json_elements(text: Column, path: str, fields: dict[str, str], closing: str) -> Column:
-    """Elements of the JSON array at ``path`` as structs of strings: NULL if the text is no
-    JSON, does not end with ``closing``, or has no array there; an element that is no object has NULLs."""
-    whole = F.when(F.rtrim(strip_space(text)).endswith(closing), text)
-    elements = F.try_variant_get(F.try_parse_json(whole), path, "array<variant>")
+def json_elements(text: Column, path: str, fields: dict[str, str]) -> Column:
+    """Elements of the JSON array at ``path`` as structs of strings: NULL if the text is not one
+    whole JSON value or has no array there; an element that is no object has NULLs. The parser
+    stops behind the first value of a text, so the text is read as the only element of an array.
+    A byte order mark before it is no part of it. Of repeated keys the last counts where
+    ``spark.sql.variant.allowDuplicateKeys`` is on, as ``parse_captures`` sets it."""
+    whole = F.concat(F.lit("["), F.regexp_replace(text, "^\ufeff", ""), F.lit("]"))
+    values = F.try_variant_get(F.try_parse_json(whole), "$", "array<variant>")
+    elements = F.when(F.size(values) == 1, F.try_variant_get(F.get(values, F.lit(0)), path, "array<variant>"))
     return F.transform(
         elements, lambda e: F.struct(*[F.try_variant_get(e, at, "string").alias(name) for name, at in fields.items()])
     )
@@ -402,6 +406,7 @@ def parse_captures(captures: DataFrame, profiles: DataFrame) -> DataFrame:
     own captures. ``profiles`` is a small table, joined by what the planner knows of its
     size.
     """
+    captures.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # One expression list, read top down; every step is a narrow projection.
     css = F.struct(*[F.col(f"_p.{f}").alias(f) for f in P.FIELDS])
     links_css = F.struct(*[F.lit("a[href]" if f == "item" else None).cast("string").alias(f) for f in P.FIELDS])
@@ -421,11 +426,11 @@ def parse_captures(captures: DataFrame, profiles: DataFrame) -> DataFrame:
         .withColumn("_css", F.when(layout == "links", links_css).otherwise(css))
         .withColumn("_page", read_page(F.when(layout.isin(page_layouts), good_body), F.col("_css")))
         .withColumn("_feed", read_feed(F.when(layout == "feed", good_body)))
-        .withColumn("_cms", json_elements(F.when(layout == "cms_json", good_body), "$", _CMS_FIELDS, "]"))
-        .withColumn("_open", json_elements(F.when(layout == "open_data", good_body), "$", _OPEN_FIELDS, "]"))
+        .withColumn("_cms", json_elements(F.when(layout == "cms_json", good_body), "$", _CMS_FIELDS))
+        .withColumn("_open", json_elements(F.when(layout == "open_data", good_body), "$", _OPEN_FIELDS))
         .withColumn("_texts", html_texts(F.transform("_open", lambda r: r["內容"])))
         .withColumn("_script", F.when(layout == "next_data", F.regexp_extract(good_body, _NEXT_SCRIPT, 1)))
-        .withColumn("_next", json_elements(F.col("_script"), _NEXT_ITEMS, _NEXT_FIELDS, "}"))
+        .withColumn("_next", json_elements(F.col("_script"), _NEXT_ITEMS, _NEXT_FIELDS))
     )
     found = (
         F.when(layout == "feed", feed_rows(source, F.col("_feed.rows")))

@@ -199,6 +199,22 @@ def test_json_sources(spark):
     assert rows["國家資通安全研究院", "b"].message.endswith("missing __NEXT_DATA__")
 
 
+def test_json_is_read_to_its_end(spark):
+    one = '[{"publish_up":"2026-08-06","title":"一","id":1}]'
+    bodies = {
+        "plain": one, "spaces": f" \n{one}\n", "mark": "\ufeff" + one,
+        "twice": '[{"publish_up":"2026-08-06","title":"a","title":"一","id":1}]',
+        "junk": one + " junk]", "two": f"{one},{one}", "open": one[:-1], "object": '{"a":[]}', "none": " ",
+    }
+    rows = parse(spark, [{"source": "國家公園署", "route_id": k, "body": b, "kind": "json"} for k, b in bodies.items()])
+    for name in bodies:
+        row = rows["國家公園署", name]
+        if name in ("plain", "spaces", "mark", "twice"):
+            assert [i.title for i in row["items"]] == ["一"], name
+        else:
+            assert row.failure_class and not row["items"], name
+
+
 def test_link_list_outcomes_and_unknown_parser(spark):
     rows = parse(spark, [
         {"source": "測試", "route_id": "l", "body": '<a class="news" href="/news/1">第一則新聞</a><a>無</a><a href="/2"> </a>'},
