@@ -16,8 +16,8 @@ task. Links are confirmed on full sets. Two documents of one bucket are thus in
 compared, and at 0.8 similarity 32 bands of 4 leave a pair without a bucket with probability
 (1 - 0.8**4)**32, below 1e-7.
 
-Sets are made from the texts of the documents asked for and travel once per pair, in compressed
-shuffles; nothing of their size is stored.
+Pairs whose lengths rule a link out are dropped unseen. For the others the texts travel, once per
+pair in compressed shuffles, and sets are made where both meet; nothing of their size is stored.
 
 Defined results: null and empty texts have no shingles and stand alone. Rows with a null id
 stand alone, with a null component, and are kept. Rows that repeat an id are each judged by their
@@ -29,7 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -186,9 +186,39 @@ def full_sets(texts: DataFrame, k: int) -> DataFrame:
     )
 
 
+def can_link(n: str, m: str, percent: int) -> Column:
+    """Whether sets of so many shingles can reach ``percent`` of their union at all."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def similar(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """``a``, ``b`` of the rows (a, b, of_a, of_b) whose two texts' sets reach ``percent`` of
+    their union. The set of a text that stands in several rows in a row is made once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        words_of = WordHashes()
+        last, left = None, None
+        for batch in batches:
+            linked = np.zeros(batch.num_rows, bool)
+            for i, (one, other) in enumerate(zip(batch.column(2), batch.column(3))):
+                if last is None or not one.equals(last):
+                    last, left = one, shingle_set(one.as_py(), words_of, k)
+                right = shingle_set(other.as_py(), words_of, k)
+                if len(left) and len(right):
+                    at = np.minimum(np.searchsorted(left, right), len(left) - 1)
+                    both = int((left[at] == right).sum())
+                    linked[i] = 100 * both >= percent * (len(left) + len(right) - both)
+            yield batch.select([0, 1]).filter(pa.array(linked))
+
+    return texts.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``a``, ``b`` whose full sets reach ``percent`` of their union. Texts are shuffled
-    once; the set of ``a`` travels once, the set of ``b`` with its partner once a pair."""
+    once by their id, where those of ``a`` stay, and once more with each partner as those of ``b``:
+    compressed, a text is far smaller than its set of hashes."""
     pairs = cut_lineage(pairs)
     if pairs.isEmpty():
         return pairs
@@ -199,16 +229,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         .agg(F.collect_list("a").alias("partners"), F.count_if(F.col("a").isNull()).alias("asked"))
     )
     texts = texts_of(docs, cut_lineage(partners))
-    left = full_sets(texts.where("asked > 0").select(F.col("doc_id").alias("a"), "text"), k)
-    right = full_sets(texts.select("doc_id", F.explode("partners").alias("a"), "text"), k).select(
-        "a", F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")
-    )
-    both = F.size(F.array_intersect("shingles", "of_b"))
-    return cut_lineage(
-        right.join(left, "a")
-        .where(100 * both >= percent * (F.size("shingles") + F.size("of_b") - both))
-        .select("a", "b")
-    )
+    left = texts.where("asked > 0").select(F.col("doc_id").alias("a"), F.col("text").alias("of_a"))
+    right = texts.select(F.explode("partners").alias("a"), F.col("doc_id").alias("b"), F.col("text").alias("of_b"))
+    return cut_lineage(similar(right.join(left, "a"), k, percent))
 
 
 SMALL, TILE, COLUMNS = 32, 512, 4096
@@ -287,11 +310,14 @@ def link_table(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> Da
     pivots = (
         buckets.join(company, "id")
         .groupBy("key")
-        .agg(F.max(F.struct("company", F.negative("id").alias("minus"))).alias("best"))
-        .select("key", (-F.col("best")["minus"]).alias("pivot"))
+        .agg(F.max(F.struct("company", F.negative("id").alias("minus"), "n_shingles")).alias("best"))
+        .select("key", (-F.col("best")["minus"]).alias("pivot"), F.col("best")["n_shingles"].alias("of_pivot"))
     )
     votes = cut_lineage(
-        buckets.join(pivots, "key").where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("n"))
+        buckets.join(pivots, "key")
+        .where((F.col("id") != F.col("pivot")) & can_link("n_shingles", "of_pivot", percent))
+        .groupBy("id", "pivot")
+        .agg(F.count("*").alias("n"))
     )
     # First every member against the pivot it meets most, then against its other pivots where
     # the two are still apart.
@@ -324,8 +350,7 @@ def link_table(docs: DataFrame, sketched: DataFrame, k: int, percent: int) -> Da
     across = (
         few.join(right, "key")
         .where(
-            (F.col("component") < F.col("component2"))
-            & (100 * F.least("n_shingles", "n2") >= percent * F.greatest("n_shingles", "n2"))
+            (F.col("component") < F.col("component2")) & can_link("n_shingles", "n2", percent)
         )
         .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         .distinct()
