@@ -91,7 +91,8 @@ def dedupe_affiliated(items: DataFrame, affiliation: DataFrame) -> DataFrame:
     group's first row.
 
     The preference and ``ord`` are packed into one number, so that picking a winner is a
-    partial aggregate of numbers; the way back to the full row is by unique ``ord``.
+    partial aggregate of numbers; the way back to the full row is by unique ``ord``. A row whose
+    ``ord`` does not fit (as after a first pass of this operator) stops the job.
     """
     day = clean_text(F.col("date"))
     department = clean_text(F.col("department"))
@@ -101,6 +102,8 @@ def dedupe_affiliated(items: DataFrame, affiliation: DataFrame) -> DataFrame:
         + F.when(clean_text(F.col("link")) == "", 1).otherwise(0)
     ).cast("long")
     grouped = with_affiliation(items, affiliation, clean_text(F.col("source"))).withColumn("_member", F.col("grp").isNotNull() & (day != ""))
+    fits = (F.col("ord") >= 0) & (F.col("ord") < 1 << 60)
+    grouped = grouped.withColumn("ord", F.when(fits, F.col("ord")).otherwise(F.raise_error(F.lit("ord is not within 0 to 2**60 - 1"))))
     packed = F.shiftleft(rank, 60).bitwiseOR(F.col("ord"))
     winners = (
         grouped.where("_member")

@@ -25,9 +25,11 @@ def _failed() -> Column:
 def made_attempts(attempts: DataFrame) -> DataFrame:
     """Attempts up to the first success of a source; all of them for sources whose routes
     are read together."""
-    first = attempts.groupBy("source").agg(F.min(F.when(_ok(), F.col("attempt_no"))).alias("_first"))
+    first = attempts.groupBy("source").agg(
+        F.min(F.when(_ok(), F.col("attempt_no"))).alias("_first"), F.count("*").alias("_rows")
+    )
     return (
-        salted_lookup(attempts, first, ["source"], F.col("attempt_no"))
+        salted_lookup(attempts, first, ["source"], F.col("attempt_no"), "_rows")
         .where(F.col("aggregate_routes") | F.col("_first").isNull() | (F.col("attempt_no") <= F.col("_first")))
         .drop("_first")
     )

@@ -571,6 +571,9 @@ def oracle_queries() -> dict[str, str]:
     out["latest_captures"] = """SELECT 'p' || page_id AS route_id, CAST(200 + n AS INTEGER) AS status_code, md5(html) AS body_md5
       FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seen DESC, n DESC) AS place
         FROM (SELECT page_id, html, n, page_id * (31 * n + 93) % 101 AS seen FROM pages, range(3) AS r(n))) WHERE place = 1"""
+    out["archived_captures"] = """SELECT 'p' || page_id AS route_id, CAST(200 + n AS INTEGER) AS status_code, md5(html) AS body_md5
+      FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seen DESC, n DESC) AS place
+        FROM (SELECT page_id, html, n, page_id * (31 * n + 93) % 101 AS seen FROM pages, range(3) AS r(n)) WHERE seen BETWEEN 20 AND 70) WHERE place = 1"""
     out["source_list"] = "SELECT 'src' || s_suppkey AS name FROM supplier"
     out["capture_gaps"] = """WITH routes AS (
         SELECT 'src' || s_suppkey AS source, unnest(CASE WHEN s_suppkey % 5 = 0 THEN ['early', 'late', 'later']

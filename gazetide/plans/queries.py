@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from functools import reduce
 from collections.abc import Callable
@@ -23,7 +24,7 @@ from gazetide.plans.weekly import RunOptions, run_week, write_sheets
 from gazetide.operators.numbering import number_rows
 from gazetide.session import cut_lineage, shared_folder
 from gazetide.sources import catalog as C
-from gazetide.sources import details, extract, profiles, reports
+from gazetide.sources import archive, details, extract, profiles, reports
 from gazetide.streaming.progress import follow, latest, run_progress
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,6 +526,19 @@ def latest_captures(spark, sf):
     return C.latest_captures(captures).select("route_id", "status_code", F.md5("body").alias("body_md5"))
 
 
+@query
+def archived_captures(spark, sf):
+    """SRC-5 over an archive by day: the newest captures of an interval of days."""
+    pages = T.page_captures(spark, sf)
+    page = F.substring("route_id", 2, 20).cast("long")
+    at = lambda n: F.timestamp_seconds(86_400 * (page * (31 * n + 93) % 101))
+    fetched = [pages.withColumn("fetched_at", at(n)).withColumn("status_code", F.lit(200 + n)) for n in range(3)]
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    archive.add_captures(reduce(DataFrame.unionByName, fetched), path)
+    days = archive.captures_between(spark.read.parquet(path), dt.date(1970, 1, 21), dt.date(1970, 3, 12))
+    return archive.newest_captures(days).select("route_id", "status_code", F.md5("body").alias("body_md5"))
+
+
 @query
 def capture_gaps(spark, sf):
     """JOIN-3: captures without a route, and routes without a capture."""

@@ -18,7 +18,7 @@ from gazetide.operators import policy as P
 from gazetide.operators import quality as Q
 from gazetide.session import cut_lineage
 from gazetide.sources import catalog as C
-from gazetide.sources import details, extract
+from gazetide.sources import archive, details, extract
 
 REPORT_VERSION = 4
 
@@ -35,6 +35,8 @@ class RunOptions:
     end_date: str | None = None
     dedupe_affiliated: bool = False
     fail_on_source_error: bool = False
+    fetched_from: str | None = None
+    fetched_to: str | None = None
 
 
 @dataclass(frozen=True)
@@ -62,15 +64,23 @@ def run_week(
     today: dt.date | None = None,
 ) -> WeeklyRun:
     """Build the run. Parsed captures, judged items and scored rows are each needed by
-    several outputs and are therefore written once to the checkpoint folder."""
+    several outputs and are therefore written once to the checkpoint folder. ``captures`` read
+    from an archive are limited to the days ``fetched_from`` to ``fetched_to`` of the options."""
     started = dt.datetime.now(dt.timezone.utc)
     days = resolve_range(options.date, options.start_date, options.end_date, today)
     selected = C.select_sources(catalog, options.sources)
     routes = C.expand_routes(catalog).join(selected.select("source"), "source", "left_semi")
     of_route = ["src_order", "attempt_no", "aggregate_routes", "coverage_reduced", "url", "kind", "parser", "priority"]
     # Only captures of selected routes are looked at.
+    archived = set(archive.OWN) <= set(captures.columns)
+    ends = [e and dt.date.fromisoformat(e) for e in (options.fetched_from, options.fetched_to)]
+    if any(ends):
+        if not archived:
+            raise ValueError("an interval of fetching needs captures of an archive")
+        captures = archive.captures_between(captures, *ends)
     asked = captures.join(routes.select("source", "route_id"), ["source", "route_id"], "left_semi")
-    fetched = C.latest_captures(asked).drop("url", "kind", "parser", "priority").join(
+    newest = archive.newest_captures(asked) if archived else C.latest_captures(asked)
+    fetched = newest.drop("url", "kind", "parser", "priority").join(
         routes.select("source", "route_id", *of_route), ["source", "route_id"]
     )
     parsed = cut_lineage(extract.parse_captures(fetched, profiles))

@@ -139,6 +139,15 @@ def test_affiliated_order(spark):
     assert [(r.source, r.title) for r in got] == [("獨立", "b"), ("消防署", "a"), ("內政部", "c")]
 
 
+def test_affiliated_refuses_numbers_that_do_not_fit(spark):
+    table = affiliation.default_affiliation(spark)
+    rows = items(spark, [{"source": "內政部", "title": "a"}, {"source": "消防署", "title": "a"}])
+    again = affiliation.dedupe_affiliated(rows, table)
+    assert again.count() == 1
+    with pytest.raises(Exception, match="ord is not within"):
+        affiliation.dedupe_affiliated(again, table).collect()
+
+
 def test_agency_path(spark):
     table = affiliation.default_affiliation(spark)
     rows = items(spark, [{"source": "國土管理署", "department": "國土管理署／都市基礎工程組"},

@@ -4,9 +4,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gazetide.operators import health
+from gazetide.operators import health, lookup
 from gazetide.sources import catalog as C
-from gazetide.sources import details, extract, markup, profiles, reports
+from gazetide.sources import archive, details, extract, markup, profiles, reports
 
 NOW = dt.datetime(2026, 8, 9)
 SCHEMA = (
@@ -326,3 +326,33 @@ def test_capture_gaps(spark):
     captures = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2")], "source string, route_id string")
     routes = spark.createDataFrame([("a", "1"), ("a", "2")], "source string, route_id string")
     assert sorted(tuple(r) for r in C.capture_gaps(captures, routes).collect()) == [("a", "2", "no_capture"), ("b", "2", "no_route")]
+
+
+def test_archive_of_captures(spark, tmp_path):
+    day = lambda n: NOW + dt.timedelta(days=n)
+    row = lambda route, n, body, status=200: ("甲", route, "https://a", "html", "standard", 1, status, None, body, 0.1, n and day(n))
+    rows = [row("p", 1, "first"), row("p", 2, "second"), row("p", 2, "second"), row("p", 9, "late"), row("q", 2, "x", 200),
+            row("q", 2, "y", 404), row("r", 9, "outside"), row("s", None, "no time"), row("t", 1, None)]
+    archive.add_captures(spark.createDataFrame(rows[:4], SCHEMA), str(tmp_path))
+    archive.add_captures(spark.createDataFrame(rows[4:], SCHEMA), str(tmp_path))
+    table = spark.read.parquet(str(tmp_path))
+    days = archive.captures_between(table, day(1).date(), day(3).date())
+    got = archive.newest_captures(days)
+    assert sorted(got.columns) == sorted(c.split()[0] for c in SCHEMA.split(", "))
+    assert {(r.route_id, r.body) for r in got.collect()} == {("p", "second"), ("q", "y"), ("t", None)} and got.count() == 3
+    everything = archive.newest_captures(archive.captures_between(table, None, None))
+    assert {(r.route_id, r.body) for r in everything.collect()} == {("p", "late"), ("q", "y"), ("r", "outside"), ("s", "no time"), ("t", None)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "fetch_day" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert "Sort" not in plan and "hashpartitioning" not in plan  # nothing with a body is sorted or shuffled
+    assert archive.newest_captures(days.where("false")).count() == 0
+
+
+def test_only_hot_keys_are_salted(spark, monkeypatch):
+    rows = [(f"s{i % 7}" if i % 2 else "hot", i + 1, "failed" if i % 3 else "success", i % 5 == 0, False) for i in range(200)]
+    want = sorted(map(tuple, health.made_attempts(attempts(spark, rows)).select("source", "attempt_no").collect()))
+    for least, share in ((50, 1000), (1, 1000), (50, 1)):
+        monkeypatch.setattr(lookup, "HOT_ROWS", least)
+        monkeypatch.setattr(lookup, "HOT_SHARE", share)
+        got = health.made_attempts(attempts(spark, rows)).select("source", "attempt_no").collect()
+        assert sorted(map(tuple, got)) == want
