@@ -1,6 +1,6 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record is a JSON text of any layout. The names of its nested fields, hashed, are its
+A record is a JSON text of any layout, or a variant of one. The names of its nested fields, hashed, are its
 fingerprint; a small table of declarative mappings says for each known fingerprint where the
 turns are. Mapped records become canonical turns, an array of (role, text), and those become one
 formatted text with a loss mask over what the assistant says.
@@ -10,7 +10,10 @@ other common templates, are broken by a backslash after their first character wh
 texts hold them, and backslashes are doubled; ``read_back`` undoes both.
 
 Defined results: a null text is empty, a null role too. Records whose fingerprint is unknown or
-that are no JSON keep a null ``layout`` and null turns; so do records whose list is empty. Roles keep their names but for ``ROLES``. Rows of one conversation are ordered by turn,
+that are no JSON keep a null ``layout`` and null turns; so do records whose list is empty; with
+``strict`` they stop the job instead. JSON texts above the parser's 20 million characters are no
+JSON to it; rows of a table never become JSON, so only a variant's 128 MiB a conversation bound
+them, beyond which the job stops. Roles keep their names but for ``ROLES``. Rows of one conversation are ordered by turn,
 then role and text, so ties and repeated rows have one order. Rows with a null id are one
 conversation. Extra columns are ignored.
 """
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 # name, list path or "", then (role, path) pairs; in a list: the paths of role and text.
 MAPPINGS = (
@@ -92,16 +96,21 @@ def _turns(record: Column, mapping: tuple) -> Column:
     return F.array(*(F.struct(F.lit(role).alias("role"), text(record, name).alias("text")) for role, name in fields))
 
 
-def canonical(records: DataFrame) -> DataFrame:
-    """``records`` (any columns, ``record`` as JSON text) with ``fingerprint``, ``layout``,
-    ``turns``. The mapping table has one row per mapping; a join with it is broadcast by size."""
-    parsed = records.withColumn("__v", F.try_parse_json("record"))
+def canonical(records: DataFrame, strict: bool = False) -> DataFrame:
+    """``records`` (any columns, ``record`` as JSON text or variant) with ``fingerprint``,
+    ``layout``, ``turns``. The mapping table has one row per mapping; a join with it is broadcast
+    by size."""
+    is_variant = isinstance(records.schema["record"].dataType, VariantType)
+    parsed = records.withColumn("__v", F.col("record") if is_variant else F.try_parse_json("record"))
     marked = parsed.withColumn("fingerprint", fingerprint(field_names(F.col("__v"))))
     joined = marked.join(mapping_table(records.sparkSession), "fingerprint", "left")
     turns = F.lit(None).cast(TURNS)
     for mapping in reversed(MAPPINGS):
         turns = F.when(F.col("layout") == mapping[0], _turns(F.col("__v"), mapping)).otherwise(turns)
-    return joined.withColumn("turns", turns.cast(TURNS)).drop("__v")
+    turns = turns.cast(TURNS)
+    if strict:
+        turns = F.coalesce(turns, F.raise_error(F.lit("a record has no known layout")).cast(TURNS))
+    return joined.withColumn("turns", turns).drop("__v")
 
 
 def escaped(text: Column) -> Column:
@@ -160,12 +169,22 @@ def read_back(texts: DataFrame) -> DataFrame:
     )
 
 
+# The layouts in which a role may have any name.
+NAMED_ROLES = [m for m in MAPPINGS if m[1]]
+
+
 def conversations_as_records(rows: DataFrame) -> DataFrame:
-    """conv_id, record: one JSON record of the ``messages`` layout for each conversation."""
+    """conv_id, record: one variant for each conversation, in one of ``NAMED_ROLES``, which the
+    hash of its id picks."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
-    messages = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    record = F.lit(None).cast("variant")
+    for i, (_, path, ((role, text),)) in enumerate(NAMED_ROLES):
+        messages = F.transform("rows", lambda r: F.struct(r["role"].alias(role), r["text"].alias(text)))  # noqa: B023
+        shaped = F.to_variant_object(F.struct(messages.alias(path)))
+        picked = F.pmod(F.xxhash64("conv_id"), F.lit(len(NAMED_ROLES))) == i
+        record = F.when(picked, shaped).otherwise(record)
+    return grouped.select("conv_id", record.alias("record"))
 
 
 def digest(texts: DataFrame) -> DataFrame:

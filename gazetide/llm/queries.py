@@ -62,7 +62,7 @@ CONTROL_STRINGS = """SELECT * FROM VALUES
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     records = chat.conversations_as_records(rows.unionByName(spark.sql(CONTROL_STRINGS)))
-    return chat.digest(chat.read_back(chat.formatted(chat.canonical(records))))
+    return chat.digest(chat.read_back(chat.formatted(chat.canonical(records, strict=True))))
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
