@@ -15,6 +15,7 @@ document are scanned each. An empty table gives an empty result. Extra columns a
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -59,8 +60,8 @@ NAMES: dict[str, tuple[str, ...]] = {
     "mit": (r"mit license", r"mit x11 license", r"expat license"),
     "mit-0": (r"mit no attribution(?: license)?",),
     "bsd-1-clause": (r"bsd 1 clause(?: license)?", r"one clause bsd license"),
-    "bsd-2-clause": (r"bsd 2 clause(?: simplified)?(?: license)?", r"simplified bsd license", r"freebsd license", r"two clause bsd license"),
-    "bsd-3-clause": (r"bsd 3 clause(?: new| revised)?(?: license)?", r"new bsd license", r"modified bsd license", r"three clause bsd license"),
+    "bsd-2-clause": (r"bsd 2 clause(?: simplified)?(?: license)?", r"simplified bsd license", r"freebsd license", r"two clause bsd license", r"2 clause bsd(?: license)?"),
+    "bsd-3-clause": (r"bsd 3 clause(?: new| revised)?(?: license)?", r"new bsd license", r"modified bsd license", r"three clause bsd license", r"3 clause bsd(?: license)?"),
     "bsd-4-clause": (r"bsd 4 clause(?: original)?(?: license)?", r"original bsd license", r"four clause bsd license"),
     "0bsd": (r"bsd zero clause license", r"zero clause bsd(?: license)?"),
     "isc": (r"isc license", r"internet systems consortium license"),
@@ -106,6 +107,27 @@ NAMES: dict[str, tuple[str, ...]] = {
     "cc-by-nc-sa-4.0": (r"cc by nc sa 4 0", r"creative commons attribution non ?commercial share ?alike 4 0"),
     "cc-by-nc-nd-3.0": (r"cc by nc nd 3 0", r"creative commons attribution non ?commercial no ?derivatives 3 0"),
     "cc-by-nc-nd-4.0": (r"cc by nc nd 4 0", r"creative commons attribution non ?commercial no ?derivatives 4 0"),
+    "artistic": (r"artistic licen[cs]e",),
+    "gpl": (r"under (?:the )?(?:terms of the )?(?:gnu )?gpl",),
+    "lgpl": (r"under (?:the )?(?:terms of the )?(?:gnu )?lgpl", r"gnu lesser general public license"),
+    "agpl": (r"under (?:the )?(?:terms of the )?(?:gnu )?agpl",),
+    "epl": (r"eclipse public license",),
+    "mpl": (r"mozilla public license",),
+    "cecill": (r"cecill(?: [bc])?(?: free software)? licen[cs]e", r"cecill 2 [01]"),
+    "ms-pl": (r"microsoft public license",),
+    "ms-rl": (r"microsoft reciprocal license",),
+    "afl-3.0": (r"academic free license(?: (?:version|v)? ?3 0)?",),
+    "osl-3.0": (r"open software license(?: (?:version|v)? ?3 0)?",),
+    "upl-1.0": (r"universal permissive license(?: (?:version|v)? ?1 0)?",),
+    "ncsa": (r"university of illinois ncsa open source license", r"ncsa license"),
+    "vim": (r"vim license",),
+    "w3c": (r"w3c software notice and license", r"w3c license"),
+    "sspl-1.0": (r"server side public license(?: (?:version|v)? ?1)?",),
+    "elastic-2.0": (r"elastic license(?: 2 0)?",),
+    "libpng": (r"libpng license",),
+    "curl": (r"curl license",),
+    "unicode": (r"unicode license(?: agreement)?",),
+    "openrail": (r"(?:creativeml )?open rail [ms](?: license)?", r"openrail(?: m)?(?: license)?"),
     "proprietary": (r"all rights reserved", r"confidential and proprietary", r"may not be reproduced without(?: prior)?(?: written)? permission"),
     "public-domain": (r"(?:is|are) in the public domain", r"dedicated to the public domain", r"released into the public domain"),
 }
@@ -170,7 +192,11 @@ def rules() -> list[Rule]:
         for name in names:
             for before, after, priority, confidence in WORDINGS:
                 out.append(Rule(label, priority, confidence, _keywords(name), re.compile(f"(?<![^ ]){before}{name}{after}(?![^ ])")))
-    return sorted(out, key=lambda r: -r.priority)
+    # Identifiers of file headers are the labels themselves.
+    for label in NAMES.keys() - {"proprietary", "public-domain"}:
+        name = "spdx license identifier " + re.sub(r"[-.]", " ", label) + r"(?: only| or later)?"
+        out.append(Rule(label, 30, 1.0, _keywords(name), re.compile(f"(?<![^ ]){name}(?![^ ])")))
+    return sorted(out, key=lambda r: (-r.priority, r.label, r.pattern.pattern))
 
 
 class Detection(NamedTuple):
@@ -183,13 +209,28 @@ class Detection(NamedTuple):
 
 def suppressed(found: list[Detection]) -> list[Detection]:
     """Detections that stay: by priority, then length, then place; none within a kept interval,
-    none that overlaps a kept one of higher priority."""
+    none that overlaps a kept one of higher priority. One sweep per priority."""
     kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
-        inside = any(k.start <= d.start and d.end <= k.end for k in kept)
-        beaten = any(k.start < d.end and d.start < k.end and k.priority > d.priority for k in kept)
-        if not inside and not beaten:
-            kept.append(d)
+    covered: list[tuple[int, int]] = []  # disjoint stretches of higher priorities, in order
+    in_order = sorted(found, key=lambda d: (-d.priority, d.start, -d.end, d.label))
+    for _, group in itertools.groupby(in_order, key=lambda d: d.priority):
+        own, reach, at = [], -1, 0
+        for d in group:
+            while at < len(covered) and covered[at][1] <= d.start:
+                at += 1
+            beaten = at < len(covered) and covered[at][0] < d.end
+            # What begins no later and reaches as far holds this one.
+            if not beaten and d.end > reach:
+                reach = d.end
+                own.append(d)
+        kept += own
+        merged: list[tuple[int, int]] = []
+        for start, end in sorted(covered + [(d.start, d.end) for d in own]):
+            if merged and start <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+            else:
+                merged.append((start, end))
+        covered = merged
     return sorted(kept, key=lambda d: d.start)
 
 
@@ -218,8 +259,11 @@ class Scanner:
             if need <= have:
                 line = line or b" " + b" ".join(words) + b" "
                 at = line.find(phrase)
+                before = word = 0
                 while at >= 0:
-                    places.append(line.count(b" ", 0, at))
+                    word += line.count(b" ", before, at)
+                    before = at
+                    places.append(word)
                     base.add(label)
                     at = line.find(phrase, at + 1)
         chosen = sorted(

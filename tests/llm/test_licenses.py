@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from gazetide.llm import licenses
 from gazetide.llm.queries import QUERIES
@@ -121,3 +123,36 @@ def test_query_against_brute_force(spark):
     for r in got:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(texts[r.doc_id])
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+
+
+def slowly_suppressed(found):
+    kept = []
+    for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, d.label)):
+        inside = any(k.start <= d.start and d.end <= k.end for k in kept)
+        beaten = any(k.start < d.end and d.start < k.end and k.priority > d.priority for k in kept)
+        if not inside and not beaten:
+            kept.append(d)
+    return sorted(kept, key=lambda d: d.start)
+
+
+def test_sweep_equals_comparing_all():
+    rng = random.Random(5)
+    for _ in range(400):
+        found = [licenses.Detection(rng.choice("abc"), at, at + rng.randint(1, 12), 10 * rng.randint(1, 3), 0.5) for at in (rng.randint(0, 40) for _ in range(rng.randint(0, 25)))]
+        assert licenses.suppressed(found) == slowly_suppressed(found)
+
+
+def test_very_many_detections_take_linear_time():
+    began = time.monotonic()
+    n, places, _, found, _ = licenses.Scanner().scan("the MIT License. " * 60_000)
+    assert n == 180_000 and len(found) == 60_000 and places == list(range(1, 180_000, 3))
+    assert time.monotonic() - began < 20
+
+
+def test_identifiers_and_short_names():
+    scanner = licenses.Scanner()
+    for text, label in (
+        ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2.0"),
+        ("the 3-clause BSD license", "bsd-3-clause"), ("licensed under GPL", "gpl"), ("the Artistic License", "artistic"),
+    ):
+        assert label in [d.label for d in scanner.scan(text)[3]], text
