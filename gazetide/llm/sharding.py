@@ -16,11 +16,13 @@ empty result and a map without bytes. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gazetide.session import cut_lineage
+from gazetide.session import cut_lineage, shared_folder
 
 
 def records(docs: DataFrame, slots: int = 4096) -> DataFrame:
@@ -79,11 +81,42 @@ def grown_map(shard_map: DataFrame, slot_sizes: DataFrame, shards: int) -> DataF
     return shard_map.unionByName(edited)
 
 
-def assigned(docs: DataFrame, shards: int = 8, slots: int = 4096, cell_rows: int = 50_000) -> DataFrame:
+def write_map(versions: DataFrame, path: str) -> None:
+    """Add versions (version, vslot, shard) to the stored map; earlier ones are never changed."""
+    versions.write.mode("append").partitionBy("version").parquet(path)
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """One version of the stored map, the newest when none is named."""
+    stored = spark.read.schema("vslot int, shard int, version int").parquet(path)
+    if version is None:
+        version = stored.agg(F.max("version")).first()[0]
+    return stored.where(F.col("version") == version)
+
+
+def rebalance(docs: DataFrame, path: str) -> None:
+    """Store one more version for one more shard, by the bytes that ``docs`` have per slot now."""
+    last = cut_lineage(read_map(docs.sparkSession, path))
+    number, shards, slots = last.agg(F.max("version"), F.max("shard") + 1, F.count("*")).first()
+    edited = grown_map(last, slot_bytes(records(docs, slots), slots), shards)
+    write_map(edited.where(F.col("version") == number + 1), path)
+
+
+def assigned(
+    docs: DataFrame, shards: int = 8, slots: int = 4096, cell_rows: int = 50_000, path: str | None = None, version: int | None = None
+) -> DataFrame:
     """doc_id, size, text_crc32, vslot, shard, and ``slot``: the record's number in its shard,
-    from 0 without gaps."""
-    rows = cut_lineage(records(docs, slots))
-    shard_map = cut_lineage(first_map(slot_bytes(rows, slots), shards)).where("version = 0").select("vslot", "shard")
+    from 0 without gaps. Records go by the map stored at ``path`` in ``version`` (the newest when
+    None), whose shards and slots then count; without ``path`` a first map is stored and read."""
+    spark = docs.sparkSession
+    if path is None:
+        rows = cut_lineage(records(docs, slots))
+        path = f"{shared_folder(spark)}/shard-map-{uuid.uuid4().hex}"
+        write_map(first_map(slot_bytes(rows, slots), shards), path)
+    else:
+        slots = read_map(spark, path, version).count()
+        rows = cut_lineage(records(docs, slots))
+    shard_map = read_map(spark, path, version).select("vslot", "shard")
     # Cells of a slot: so many that each has a bounded number of rows, by the table's size.
     fine = max(1, -(-rows.count() // (slots * cell_rows)))
     celled = rows.withColumn("cell", F.pmod("fine", F.lit(fine)).cast("int"))

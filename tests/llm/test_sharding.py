@@ -54,3 +54,18 @@ def test_map_is_greedy_and_grows_by_moving_into_the_new_shard(spark):
     total, moved = sum(b for _, b in sizes), sum(b for s, b in sizes if new[s] == 5)
     assert moved == pytest.approx(total / 6, rel=0.35)
     assert {r.vslot: r.shard for r in grown.where("version = 0").collect()} == want
+
+
+def test_stored_map_is_read_and_edited(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id as doc_id", "repeat('x', cast(id % 50 as int)) as text")
+    path = str(tmp_path / "map")
+    sharding.write_map(sharding.first_map(sharding.slot_bytes(sharding.records(df, 256), 256), 4), path)
+    first = {r.doc_id: r for r in sharding.assigned(df, path=path).collect()}
+    sharding.rebalance(df, path)
+    new = {r.doc_id: r for r in sharding.assigned(df, path=path).collect()}
+    moved = [i for i in first if first[i].shard != new[i].shard]
+    assert moved and {new[i].shard for i in moved} == {4} and {r.shard for r in first.values()} == {0, 1, 2, 3}
+    assert 3000 / 5 * 0.5 < len(moved) < 3000 / 5 * 1.5
+    texts = {i: "x" * (i % 50) for i in range(3000)}
+    sound(list(new.values()), texts, 5)
+    assert {r.doc_id: r for r in sharding.assigned(df, path=path, version=0).collect()} == first
