@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gazetide.operators import affiliation, policy, quality, relevance
+from gazetide.operators import affiliation, policy, quality, relevance, scoring
 from gazetide.schemas import as_items
 
 
@@ -227,3 +227,35 @@ def test_scoring_branches(spark):
     pair = scored(spark, "災防 人工智慧", "國科會", "開源人工智慧")
     assert pair.score == 80 and pair.relevance == "高度相關"
     assert pair.topic_matches[1].score == 45 and pair.topics == ["全民智慧生活圈", "AI數位產業登峰"]
+
+
+def test_score_by_table(spark):
+    """A policy as tables gives what the same policy in the plan gives."""
+    topics = (
+        policy.Topic("Alpha Plan", "s1", ("quantum bit", "gpu"), ("chip", "cloud", "chip")),
+        policy.Topic("Beta", "s2", ("robot",), ("chip", "arm")),
+        policy.Topic("Gamma", "s3", (), ("cloud",)),
+    )
+    made = policy.Policy("t", topics, ("AI", "LLM"), ("hiring", "tender"))
+    texts = [
+        "alpha plan", "quantum  bit chip", "chip", "chip AI", "cloud LLM AI", "robot hiring", "hiring", "AI hiring", "AI", "arm cloud",
+        "AIR chipset", "gpux", "GPU", "", None, "tender robot alphaplan cloud chip AI",
+    ]
+    rows = [(3 * (len(texts) * i + j) - 7, t, s, u) for i, t in enumerate(texts) for j, u in enumerate(texts) for s in [("s1", "s2", "s4", None)[(i + j) % 4]]]
+    items = spark.createDataFrame(rows, "ord long, title string, source string, summary string")
+    got = scoring.score_by_table(items, scoring.policy_table(spark, made))
+    want = relevance.score_items(items.fillna("", ["title", "summary"]), made).select("ord", "rel").collect()
+    matches = {(r.ord, r.name): r for r in got.matches.collect()}
+    fields = ["priority_sources", "relevance", "score", "matched_keywords", "excluded_keywords", "reasons"]
+    expected = {(r.ord, m.name): m for r in want for m in r.rel.topic_matches if m.name != relevance.MANUAL_TOPIC}
+    assert len(expected) > 100
+    assert {k: [m[f] for f in fields] for k, m in matches.items()} == {k: [m[f] for f in fields] for k, m in expected.items()}
+    of_topic = {r.ord: [m for m in r.rel.topic_matches if m.name != relevance.MANUAL_TOPIC] for r in want}
+    wanted_rows = {
+        r.ord: (r.rel.relevance, r.rel.score, len(of_topic[r.ord]), next((m.name for m in r.rel.topic_matches if m.score == r.rel.score), ""))
+        for r in want
+    }
+    assert {r.ord: tuple(r)[1:] for r in got.rows.collect()} == wanted_rows
+    empty = scoring.PolicyTable(*[d.limit(0) for d in (policy.policy_topics(spark, made), *[scoring.word_table(spark, ["x"])] * 2)])
+    silent = scoring.score_by_table(items, empty)
+    assert silent.matches.isEmpty() and {tuple(r)[1:] for r in silent.rows.collect()} == {("", 0, 0, "")}
