@@ -223,6 +223,46 @@ scored AS MATERIALIZED (SELECT {key}, c,
   FROM r)"""
 
 
+def policy_by_table() -> str:
+    """``facts`` and ``matches`` of documents judged by a topic per document."""
+    rules = [
+        (0, 0, "TRUE", "100", R.TITLE_NAME[1]), (0, 1, "TRUE", "85", R.TITLE_CORE[1]),
+        (0, 2, "ctx", "CASE WHEN own THEN 80 ELSE 65 END", R.TITLE_PAIR[2]), (0, 2, "own AND NOT ctx", "50", R.TITLE_LEAD[1]),
+        (1, 0, "TRUE", "70", R.SUMMARY_NAME[1]), (1, 1, "TRUE", "60", R.SUMMARY_CORE[1]),
+        (1, 2, "ctx", "CASE WHEN own THEN 55 ELSE 45 END", R.SUMMARY_PAIR[2]), (1, 2, "own AND NOT ctx", "40", R.SUMMARY_LEAD[1]),
+    ]
+    fires = [f"(f = {f} AND slot = {slot} AND {c})" for f, slot, c, _, _ in rules]
+    best = "max(CASE " + " ".join(f"WHEN {c} THEN {r[3]}" for c, r in zip(fires, rules)) + " END)"
+    reasons = ", ".join(f"CASE WHEN bool_or{c} THEN {q(r[4])} END" for c, r in zip(fires, rules))
+    return f"""WITH tok AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS keyword FROM documents),
+      topics AS (SELECT doc_id AS topic_no, source AS lead, source || '-' || doc_id AS name FROM documents),
+      rules AS (SELECT topic_no, 0 AS slot, name AS keyword FROM topics UNION ALL
+        SELECT min(doc_id), CASE WHEN length(keyword) > 10 THEN 1 ELSE 2 END, keyword FROM tok WHERE length(keyword) > 8 GROUP BY keyword),
+      kw AS (SELECT keyword, {match_text('keyword')} AS norm FROM
+        (SELECT keyword FROM rules UNION VALUES ('of the'), ('des'), ('hat'))),
+      texts AS MATERIALIZED (SELECT doc_id AS ord, 0 AS f, {match_text(LINE)} AS t FROM documents
+        UNION ALL SELECT doc_id, 1, {match_text('text')} FROM documents),
+      places AS (SELECT ord, f, t, unnest(range(1, length(t) - 6)) AS i FROM texts),
+      hit AS MATERIALIZED (SELECT DISTINCT ord, f, keyword FROM places JOIN kw ON length(norm) >= 8 AND substr(t, i, 8) = substr(norm, 1, 8)
+          AND substr(t, i, length(norm)) = norm
+        UNION ALL SELECT ord, f, keyword FROM texts JOIN kw ON length(norm) < 8 AND norm <> ''
+          AND CASE WHEN length(norm) <= 4 AND regexp_matches(norm, '^[a-z0-9]+$')
+          THEN list_contains(string_split_regex(t, '[^a-z0-9]+'), norm) ELSE contains(t, norm) END),
+      facts AS MATERIALIZED (SELECT doc_id AS ord, source, coalesce(tg, FALSE) AS tg, coalesce(sg, FALSE) AS sg, coalesce(ex, FALSE) AS ex,
+          coalesce(globals, 0) AS globals
+        FROM documents LEFT JOIN (SELECT ord, bool_or(f = 0 AND keyword <> 'hat') AS tg, bool_or(f = 1 AND keyword <> 'hat') AS sg,
+          bool_or(f = 0 AND keyword = 'hat') AS ex, count(DISTINCT keyword) FILTER (keyword <> 'hat') AS globals
+          FROM hit WHERE keyword IN ('of the', 'des', 'hat') GROUP BY 1) m ON m.ord = doc_id),
+      j AS (SELECT hit.ord, topic_no, f, slot, keyword, name, coalesce(source = lead, FALSE) AS own, tg OR (f = 1 AND sg) AS ctx, ex, globals
+        FROM hit JOIN rules USING (keyword) JOIN topics USING (topic_no) JOIN facts ON facts.ord = hit.ord),
+      judged AS (SELECT ord, topic_no, name, ex, {best} AS best, count(DISTINCT keyword) + globals AS keyword_count,
+          concat_ws('；', {reasons}, CASE WHEN ex THEN {q(R.PENALTY_REASON)} END) AS reasons
+        FROM j GROUP BY ord, topic_no, name, ex, globals),
+      matches AS MATERIALIZED (SELECT *, CASE WHEN score >= 80 THEN '高度相關' WHEN score >= 40 THEN '可能相關' ELSE '未納入' END AS relevance
+        FROM (SELECT * EXCLUDE (best), CAST(CASE WHEN ex THEN greatest(best - 50, 0) ELSE best END AS INTEGER) AS score
+          FROM judged WHERE best IS NOT NULL)) """
+
+
 def js(c: str, sep: str = "、") -> str:
     return f"coalesce(array_to_string({c}, '{sep}'), '')"
 
@@ -433,6 +473,16 @@ def oracle_queries() -> dict[str, str]:
       UNION ALL SELECT id, keyword FROM texts JOIN kw ON length(norm) < 8 AND norm <> ''
         AND CASE WHEN length(norm) <= 4 AND regexp_matches(norm, '^[a-z0-9]+$')
         THEN list_contains(string_split_regex(t, '[^a-z0-9]+'), norm) ELSE contains(t, norm) END"""
+    by_table = policy_by_table()
+    out["policy_table_matches"] = by_table + "SELECT ord, topic_no, name, relevance, score, keyword_count, reasons FROM matches"
+    out["policy_table_scores"] = by_table + f"""SELECT ord,
+        CASE WHEN best < 40 THEN '未納入' WHEN best >= 80 THEN '高度相關' WHEN best IS NOT NULL THEN '可能相關'
+          WHEN globals > 0 THEN CASE WHEN ex THEN '未納入' ELSE '可能相關' END WHEN ex THEN '未納入' ELSE '' END AS relevance,
+        CAST(CASE WHEN best IS NOT NULL THEN best WHEN globals > 0 AND NOT ex THEN 40 ELSE 0 END AS INTEGER) AS score,
+        coalesce(n, 0) AS topic_count,
+        CASE WHEN best IS NOT NULL THEN top WHEN globals > 0 THEN {q(R.MANUAL_TOPIC)} ELSE '' END AS best_topic
+      FROM facts LEFT JOIN (SELECT ord, max(score) AS best, count(*) AS n, first(name ORDER BY score DESC, topic_no) AS top
+        FROM matches GROUP BY 1) USING (ord)"""
     score = f"WITH {ITEMS}, {scoring('items', T.TEST_POLICY)} "
     out["relevance_score"] = score + f"""SELECT ord, relevance, score, {js('topics')} AS topics, {js('leads')} AS priority_sources,
       {js('words')} AS matched_keywords, {js('exclusions')} AS excluded_keywords, {js('reasons', '；')} AS reasons FROM scored"""

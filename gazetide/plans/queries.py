@@ -18,6 +18,7 @@ from gazetide.operators import health as H
 from gazetide.operators import policy as P
 from gazetide.operators import quality as Q
 from gazetide.operators import relevance as R
+from gazetide.operators import scoring
 from gazetide.plans import tables as T
 from gazetide.plans import weekly as W
 from gazetide.plans.weekly import RunOptions, run_week, write_sheets
@@ -271,6 +272,31 @@ def relevance_score(spark, sf):
     )
 
 
+def _by_table(spark, sf):
+    items = T.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("ord"), T.first_line(F.col("text")).alias("title"), "source", F.col("text").alias("summary")
+    )
+    words = scoring.word_table
+    return scoring.score_by_table(
+        items, scoring.PolicyTable(T.word_topics(spark, sf), words(spark, ["of the", "des"]), words(spark, ["hat"]))
+    )
+
+
+@query
+def policy_table_scores(spark, sf):
+    """SCA-13, JOIN-5, AGG-11 with a policy table of a topic per document: one row per item."""
+    return _by_table(spark, sf).rows
+
+
+@query
+def policy_table_matches(spark, sf):
+    """SCA-13 with the same policy: one row per item and candidate topic."""
+    return _by_table(spark, sf).matches.select(
+        "ord", "topic_no", "name", "relevance", "score", F.size("matched_keywords").alias("keyword_count"),
+        F.array_join("reasons", "；").alias("reasons"),
+    )
+
+
 @query
 def conversation_relevance(spark, sf):
     """SCA-13 on chat turns: the role is the source, the text title and summary at once."""

@@ -413,3 +413,23 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.filter(words, lambda w: F.char_length(w) > 6).alias("core"),
         F.filter(words, lambda w: F.char_length(w) <= 6).alias("supporting"),
     )
+
+
+def word_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy with a topic per document: the long words of its text that no document before it
+    holds, so that every word is the keyword of one topic."""
+    docs = table(spark, sf_dir, "documents")
+    words = (
+        docs.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+        .where("char_length(word) > 8")
+        .groupBy("word")
+        .agg(F.min("doc_id").alias("doc_id"))
+    )
+    kinds = [F.array_sort(F.collect_list(F.when(c, F.col("word")))) for c in (F.expr("char_length(word) > 10"), F.expr("char_length(word) <= 10"))]
+    lists = words.groupBy("doc_id").agg(kinds[0].alias("core"), kinds[1].alias("supporting"))
+    return docs.select("doc_id", "source").join(lists, "doc_id", "left").select(
+        F.col("doc_id").alias("topic_no"),
+        F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("topic"),
+        F.col("source").alias("lead_source"),
+        "core", "supporting",
+    )
