@@ -658,5 +658,5 @@ def oracle_queries() -> dict[str, str]:
       FROM (SELECT user_id AS run_id, count(*) FILTER (event_type IN ('click', 'error')) AS completed, count(*) FILTER (event_type = 'error') AS failed,
         arg_max(CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'source_started' WHEN 'error' THEN 'source_failed'
           WHEN 'click' THEN 'source_finished' ELSE 'writing_outputs' END, event_id) AS last_kind FROM events GROUP BY 1)"""
-    out["progress_stream"] = out["progress_of_runs"]
+    out["progress_stream"] = out["progress_resent"] = out["progress_of_runs"]
     return out

@@ -26,7 +26,7 @@ from gazetide.operators.numbering import number_rows
 from gazetide.session import cut_lineage, shared_folder
 from gazetide.sources import catalog as C
 from gazetide.sources import archive, details, extract, profiles, reports
-from gazetide.streaming.progress import follow, latest, run_progress
+from gazetide.streaming.progress import follow, follow_resent, latest, merged, run_progress
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -720,6 +720,19 @@ def progress_stream(spark, sf):
     return latest(spark.read.parquet(f"{base}/out"))
 
 
+@query
+def progress_resent(spark, sf):
+    """ST-1 over events that come in several sendings, many of them twice and some far too late."""
+    events, span = T.resent_events(spark, sf)
+    base = f"{shared_folder(spark)}/progress-{uuid.uuid4()}"
+    schema = events.drop("sending").schema
+    for sending in range(T.SENDINGS):
+        events.where(F.col("sending") == sending).drop("sending").write.mode("append").parquet(f"{base}/in")
+        sent = spark.readStream.schema(schema).parquet(f"{base}/in")
+        follow_resent(sent, f"{base}/out", f"{base}/log", f"{span} seconds").awaitTermination()
+    return merged(spark.read.parquet(f"{base}/out"))
+
+
 def _weekly(spark, sf):
     captures, catalog = T.weekly_inputs(spark, sf)
     options = RunOptions(date="2026-08-05", dedupe_affiliated=True)

@@ -170,7 +170,7 @@ def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_events_from(table(spark, sf_dir, "events"))
 
 
-def run_events_from(events: DataFrame) -> DataFrame:
+def run_events_from(events: DataFrame, *more: Column) -> DataFrame:
     """Run events: a user is a run with 200 sources, event types are its steps."""
     kind = (
         F.when(F.col("event_type") == "signup", "started")
@@ -180,10 +180,30 @@ def run_events_from(events: DataFrame) -> DataFrame:
         .otherwise("writing_outputs")
     )
     return events.select(
-        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(200).alias("total")
+        F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.lit(200).alias("total"), *more
     )
 
 
+SENDINGS = 4
+
+
+def resent_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Run events with ``at`` and ``sending``, and the seconds that a sending spans: many come twice
+    in their sending, some of its later half again in the next, some of the first again in the last."""
+    events = run_events_from(table(spark, sf_dir, "events"), F.col("ts").cast("timestamp").alias("at"))
+    low, high = events.agg(F.unix_micros(F.min("at")), F.unix_micros(F.max("at"))).first()
+    span = ((high or 0) - (low or 0)) // SENDINGS + 1
+    place = (F.unix_micros("at") - F.lit(low or 0)) / F.lit(span)
+    own = F.floor(place).cast("int")
+    sendings = F.array(
+        own,
+        F.when(F.col("seq") % 3 == 0, own),
+        F.when((F.col("seq") % 5 == 0) & (place - own >= 0.5) & (own + 1 < SENDINGS), own + 1),
+        F.when((F.col("seq") % 7 == 0) & (own == 0), F.lit(SENDINGS - 1)),
+    )
+    return events.withColumn("sending", F.explode(F.array_compact(sendings))), span // 1_000_000 + 1
+
+
 # --- captures ------------------------------------------------------------------------
 
 PER_PAGE = 8

@@ -52,6 +52,47 @@ def follow(events: DataFrame, out: str, checkpoint: str):
     )
 
 
+def partial_progress(events: DataFrame) -> DataFrame:
+    """What some events add to the progress of their runs."""
+    return events.groupBy("run_id").agg(
+        F.count_if(F.col("kind").isin(DONE_KINDS)).alias("completed"),
+        F.count_if(F.col("kind") == "source_failed").alias("failed"),
+        F.max("total").alias("total"),
+        F.max(F.struct("seq", "kind")).alias("last"),
+    )
+
+
+def follow_resent(events: DataFrame, out: str, checkpoint: str, delay: str):
+    """Start a stream over events (run_id, seq, kind, total, at) that senders may repeat. An event
+    sent again within ``delay`` meets its first copy in the state; one sent later than that is behind
+    the watermark and goes. The state therefore holds the events of one ``delay``, not all runs:
+    every micro-batch stores what its new events add, and ``merged`` sums that up. A repeated
+    micro-batch replaces its folder. An event that comes for the first time behind the watermark
+    goes too, so ``delay`` is the longest that a sender may hold one back."""
+
+    def store(batch: DataFrame, epoch: int) -> None:
+        partial_progress(batch).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return (
+        events.withWatermark("at", delay)
+        .dropDuplicatesWithinWatermark(["run_id", "seq"])
+        .writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(store)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def merged(stored: DataFrame) -> DataFrame:
+    """Progress per run from what ``follow_resent`` stored, as ``run_progress`` gives it."""
+    per_run = stored.groupBy("run_id").agg(
+        F.sum("completed").alias("completed"), F.sum("failed").alias("failed"), F.max("total").alias("total"),
+        F.max("last")["kind"].alias("last_kind"),
+    )
+    return per_run.withColumn("percent", percent(F.col("last_kind"), F.col("completed"), F.col("total")))
+
+
 def latest(stored: DataFrame) -> DataFrame:
     """Newest progress per run from what ``follow`` stored."""
     columns = [c for c in stored.columns if c not in ("run_id", "epoch")]

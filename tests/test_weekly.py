@@ -148,3 +148,26 @@ def test_progress(spark, tmp_path):
     progress.follow(stream(), out, log).awaitTermination()
     stored = {r.run_id: (r.completed, r.failed, r.percent) for r in progress.latest(spark.read.parquet(out)).collect()}
     assert stored == got
+
+
+def test_resent_progress(spark, tmp_path):
+    """Repeats within the delay meet the state, later ones the watermark; the state expires."""
+    sent, out, log = (str(tmp_path / x) for x in ("sent", "out", "log"))
+    kinds = ["source_started", "source_finished", "source_failed"]
+    event = lambda n: (n % 3, n, kinds[n % 3 if n % 2 else 1], 40, 1_700_000_000 + n * 60)
+    sendings = [range(100), [*range(100, 200), *range(95, 100), 150, 150], [*range(200, 300), *range(0, 20), 199]]
+    schema = "run_id long, seq long, kind string, total int, at long"
+    for numbers in sendings:
+        rows = spark.createDataFrame([event(n) for n in numbers], schema).withColumn("at", F.timestamp_seconds("at"))
+        rows.write.mode("append").parquet(sent)
+        query = progress.follow_resent(spark.readStream.schema(rows.schema).parquet(sent), out, log, "30 minutes")
+        query.awaitTermination()
+    state = [p["stateOperators"][0] for p in query.recentProgress]
+    assert sum(s["numRowsDroppedByWatermark"] for s in state) == 20
+    assert state[-1]["numRowsTotal"] < 150
+    stored = spark.read.parquet(out)
+    once = spark.createDataFrame([event(n) for n in range(300)], schema)
+    assert stored.select("epoch").distinct().count() >= 3
+    columns = ["run_id", "completed", "failed", "total", "last_kind", "percent"]
+    got = sorted(map(tuple, progress.merged(stored).select(columns).collect()))
+    assert got == sorted(map(tuple, progress.run_progress(once).select(columns).collect()))
