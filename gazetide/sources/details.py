@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gazetide.functions.exprs import text_array
+from gazetide.functions.exprs import text_array, with_once
 from gazetide.functions.text import DETAIL_SUMMARY_LIMIT, cut_trim
 from gazetide.sources.extract import read_detail
 from gazetide.sources.profiles import DETAIL_SELECTORS
@@ -38,13 +38,14 @@ def enrich(items: DataFrame, pages: DataFrame, selectors: dict[str, list[str]] |
     wanting = items.where(needs_detail(selectors))
     wanted = wanting.select(F.col("link").alias("url"), "source").distinct()
     fetched = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
+    asked = pages.where(F.col("body").isNotNull()).join(wanted, "url")
+    # Once: the filter below would have every page read a second time.
     found = (
-        pages.where(F.col("body").isNotNull())
-        .join(wanted, "url")
+        with_once(asked, detail_summary(F.col("source"), F.col("body"), selectors).alias("_text"))
         .select(
             F.col("url").alias("link"), "source",
             F.struct(fetched.alias("at"), F.xxhash64("body").alias("body")).alias("_recency"),
-            detail_summary(F.col("source"), F.col("body"), selectors).alias("_text"),
+            "_text",
         )
         .where(F.col("_text") != "")
         .groupBy("link", "source")

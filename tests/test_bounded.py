@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from gazetide.operators import relevance as R
-from gazetide.sources import extract
+from gazetide.sources import details, extract
 from gazetide.sources import profiles as P
 
 
@@ -76,3 +76,15 @@ def test_pages_of_a_batch_are_read_one_after_another(reader):
         gc.enable()
     assert sum(parts) == count and max(parts) < count / 3
     assert peak < 16 << 20
+
+
+def python_steps(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
+
+
+def test_detail_pages_are_read_once(spark):
+    items = spark.createDataFrame([("web", "u", ""), ("web", "v", ""), ("web", "w", "own")], "source string, link string, summary string")
+    pages = spark.createDataFrame([("u", "<article><p>a</p></article>"), ("v", "<p>b</p>")], "url string, body string")
+    filled = details.enrich(items, pages, {"web": ["article"]})
+    assert python_steps(filled) == 1
+    assert sorted(tuple(r) for r in filled.collect()) == [("web", "u", "a"), ("web", "v", ""), ("web", "w", "own")]
