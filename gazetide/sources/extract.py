@@ -172,6 +172,22 @@ def html_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from _in_portions(_fragments(values), pa.list_(pa.string()))
 
 
+_MARKUP_ARROW = pa.struct([("page", _PAGE_ARROW), ("feed", _FEED_ARROW), ("texts", pa.list_(pa.string()))])
+
+
+def _markup(page: pa.Array, css: pa.Array, feed: pa.Array, fragments: pa.Array) -> Iterator:
+    for (a, rows), (b, fields), (c, texts) in zip(_pages(page, css), _feeds(feed), _fragments(fragments)):
+        yield a + b + c, {"page": rows, "feed": fields, "texts": texts}
+
+
+@F.arrow_udf(from_arrow_type(_MARKUP_ARROW))
+def read_markup(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """What ``read_page`` (page, css), ``read_feed`` and ``html_texts`` (fragments) read, in one pass: a
+    task needs one Python worker for captures of all kinds."""
+    for columns in batches:
+        yield from _in_portions(_markup(*columns), _MARKUP_ARROW)
+
+
 def _detail(text: str | None, selectors: list[str] | None) -> str:
     if not text or not selectors:
         return ""
@@ -470,11 +486,16 @@ def parse_captures(captures: DataFrame, profiles: DataFrame) -> DataFrame:
         .withColumn("_early", capture_failure(F.col("kind"), F.col("status_code"), F.col("transport_error"), body))
         .withColumn("_reader", dispatch(source, F.col("_layout"), F.col("kind"), F.col("parser"), url, body))
         .withColumn("_css", F.when(layout == "links", links_css).otherwise(css))
-        .withColumn("_page", read_page(F.when(layout.isin(page_layouts), good_body), F.col("_css")))
-        .withColumn("_feed", read_feed(F.when(layout == "feed", good_body)))
         .withColumn("_cms", json_elements(F.when(layout == "cms_json", good_body), "$", _CMS_FIELDS))
         .withColumn("_open", json_elements(F.when(layout == "open_data", good_body), "$", _OPEN_FIELDS))
-        .withColumn("_texts", html_texts(F.transform("_open", lambda r: r["內容"])))
+        .withColumn(
+            "_read",
+            read_markup(
+                F.when(layout.isin(page_layouts), good_body), F.col("_css"), F.when(layout == "feed", good_body),
+                F.transform("_open", lambda r: r["內容"]),
+            ),
+        )
+        .withColumns({"_page": F.col("_read.page"), "_feed": F.col("_read.feed"), "_texts": F.col("_read.texts")})
         .withColumn("_script", F.when(layout == "next_data", F.regexp_extract(good_body, _NEXT_SCRIPT, 1)))
         .withColumn("_next", json_elements(F.col("_script"), _NEXT_ITEMS, _NEXT_FIELDS))
     )

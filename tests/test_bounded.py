@@ -82,6 +82,30 @@ def python_steps(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython")
 
 
+def test_captures_of_all_kinds_need_one_python_worker_a_task(spark):
+    item = "<item><title>t</title><link>https://a.test/1</link><description>&lt;b&gt;s&lt;/b&gt;</description></item>"
+    open_data = '[{"公告日期":"2026-08-03T00:00:00","Title":"o","Source":"https://b.test/1","資料來源":"","內容":"<p>x</p>"}]'
+    rows = [
+        ("財政部", "feed", "rss", "standard-rss", f"<rss><channel>{item}</channel></rss>"),
+        ("外交部", "page", "html", "standard", "<table><tr><td>2026-08-03</td><td><a href='/n'>p</a></td></tr></table>"),
+        ("公路局", "open", "json", "thb-json", open_data),
+        ("財政部", "broken", "rss", "standard-rss", "<rss><item></rss>"),
+        ("財政部", "nothing", "rss", "standard-rss", None),
+    ]
+    captures = spark.createDataFrame(rows, "source string, route_id string, kind string, parser string, body string").selectExpr(
+        "source", "route_id", "concat('https://c.test/', route_id) AS url", "kind", "parser", "1 AS priority", "200 AS status_code",
+        "CAST(NULL AS STRING) AS transport_error", "body", "0.5D AS elapsed_seconds", "CAST(NULL AS TIMESTAMP) AS fetched_at",
+    )
+    parsed = extract.parse_captures(captures, P.default_profiles(spark))
+    assert python_steps(parsed) == 1
+    got = {r.route_id: (r.failure_class, [(i.title, i.summary) for i in r["items"] or []]) for r in parsed.collect()}
+    assert got["feed"] == ("", [("t", "s")])
+    assert got["page"] == ("", [("p", "")])
+    assert got["open"] == ("", [("o", "x")])
+    assert got["broken"] == ("parser_regression", [])
+    assert got["nothing"] == ("", [])
+
+
 def test_detail_pages_are_read_once(spark):
     items = spark.createDataFrame([("web", "u", ""), ("web", "v", ""), ("web", "w", "own")], "source string, link string, summary string")
     pages = spark.createDataFrame([("u", "<article><p>a</p></article>"), ("v", "<p>b</p>")], "url string, body string")
