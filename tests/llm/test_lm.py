@@ -161,3 +161,20 @@ def test_blocks_go_there_and_back():
         assert lm.unpacked_words(lm.packed_words(some)).to_pylist() == some.to_pylist()
     keys = np.sort(np.array([0, 1, 2**24, 2**47, 2**48 - 1], np.uint64))
     assert lm.bucket_of(keys, 7).tolist() == [0, 0, 0, 3, 6]
+
+
+def test_states_of_pairs_are_averaged(spark, monkeypatch):
+    """The default is the mean of two states, each with seats of pairs and levels below of its own."""
+    texts = [(i, " ".join(("a b a b c", "a b d", "b a b", "c d a", "d")[(i + j) % 5] for j in range(4))) for i in range(20)]
+    docs = spark.createDataFrame([*texts, (100, "a"), (101, "b")], "doc_id long, text string")
+    kept, seats, train = [], lm.seats_of, lm.train
+    monkeypatch.setattr(lm, "seats_of", lambda *a: kept.append("pairs") or seats(*a))
+    monkeypatch.setattr(lm, "train", lambda *a: kept.append(a[4]) or train(*a))
+    mean = {r.doc_id: 10**r.score for r in lm.scores(docs).collect()}
+    assert kept == [1, "pairs", 3, "pairs", 3]
+    one = {r.doc_id: 10**r.score for r in lm.scores(docs, pair_sweeps=1).collect()}
+    none = {r.doc_id: 10**r.score for r in lm.scores(docs, pair_sweeps=0).collect()}
+    assert all(0 < mean[i] < 1 for i in mean) and mean[0] != one[0] != none[0]
+    # The first state is that of a single sweep, and its share is half of each chance: a text of two
+    # tokens keeps at least a quarter of its chance there.
+    assert all(mean[i] > one[i] / 4 for i in (100, 101))
