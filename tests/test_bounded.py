@@ -112,3 +112,46 @@ def test_detail_pages_are_read_once(spark):
     filled = details.enrich(items, pages, {"web": ["article"]})
     assert python_steps(filled) == 1
     assert sorted(tuple(r) for r in filled.collect()) == [("web", "u", "a"), ("web", "v", ""), ("web", "w", "own")]
+
+
+def test_keywords_travel_once_to_a_chunk(spark):
+    """What is shuffled are compressed blocks: no row for a hit, whatever the number of texts that hold a keyword."""
+    words = [f"keyword number {i}" for i in range(200)]
+    texts = spark.createDataFrame([(i, " ".join(words)) for i in range(2_000)], "id long, text string").coalesce(1)
+    found = R.keyword_matches(texts, spark.createDataFrame([(w,) for w in words], "keyword string"))
+    plan = found._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "SortMergeJoin" not in plan
+    assert found.count() == 2_000 * 200
+    norms = spark.createDataFrame([(R.squeezed(w).encode(), w) for w in words], "norm binary, keyword string")
+    keyed = R._keyed(norms, 1)
+    bits = R._filter(keyed, len(words))
+    chunks = R._chunks(texts.selectExpr("0L AS part", "id", "cast(replace(text, ' ', '') AS binary) AS norm"))
+    asked = R._asked(chunks, [14, 15, 16], bits, 1)
+    (answer,) = R._answered(asked, keyed).collect()
+    assert len(chunks.collect()) == 1 and len(asked.collect()) == 1
+    assert sum(len(x) for x in (answer.norms, answer.written, answer.words)) < 20_000
+    assert [w.as_py().decode() for w in R._unpacked_words(answer.norms)] == sorted(R.squeezed(w) for w in words)
+
+
+def test_search_against_brute_force(monkeypatch):
+    """Keywords of all lengths, some the beginning of others, across portions and at the ends of texts."""
+    monkeypatch.setattr(R, "PORTION", 97)
+    rng = np.random.default_rng(3)
+    draw = lambda n: bytes(rng.choice(list(b"ab-\xc3\xa9"), n).astype(np.uint8))
+    texts = [draw(int(n)) for n in rng.integers(0, 120, 60)] + [b"", b"a" * 300, b"ab", b""]
+    words = {draw(int(n)) for n in rng.integers(1, 6, 40)} | {t[i : i + n] for t in texts for i in (0, 7, 50) for n in (7, 8, 9, 15, 16, 17, 18, 40)}
+    words = sorted((words | {b"a" * n for n in range(1, 40)}) - {b""})
+    sizes = np.array([len(t) for t in texts])
+    got = R._held(b"".join(texts), np.cumsum(sizes) - sizes, pa.array(words, pa.large_binary()))
+    letter = lambda b: b in b"abcdefghijklmnopqrstuvwxyz0123456789"
+
+    def holds(t, w):
+        if len(w) > 4 or not all(map(letter, w)):
+            return w in t
+        return any(
+            t[i : i + len(w)] == w and not (i and letter(t[i - 1])) and not (i + len(w) < len(t) and letter(t[i + len(w)]))
+            for i in range(len(t))
+        )
+
+    want = [i * len(words) + j for i, t in enumerate(texts) for j, w in enumerate(words) if holds(t, w)]
+    assert got.tolist() == want and len(want) > 1_000
